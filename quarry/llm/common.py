@@ -40,3 +40,27 @@ def unit_hash(*cols) -> F.Column:
     joined by ':'. A null part counts as the empty string."""
     parts = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("")) for c in cols]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+#: Documents that cross to Python at once. Long texts are common, so this bounds a worker's memory.
+BATCH_ROWS = 500
+
+
+def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
+    """mapInArrow with small batches. make() runs once in each task and returns a function from a dict of lists, one per
+    column of df, to a dict of lists, one per column of schema."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        f = None
+        for b in batches:
+            f = f or make()
+            got = f({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)})
+            yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
+
+    return df.mapInArrow(run, schema)

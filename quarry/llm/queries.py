@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, sharding
+from quarry.llm import mixing, piece_bpe, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op6_piece_bpe": piece_bpe.op6_piece_bpe,
     "op10_sharding": sharding.op10_sharding,
 }
 
