@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, piece_bpe, sharding
+from quarry.llm import mixing, piece_bpe, quality_rules, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op6_piece_bpe": piece_bpe.op6_piece_bpe,
     "op10_sharding": sharding.op10_sharding,
 }
