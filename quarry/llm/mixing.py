@@ -68,6 +68,7 @@ def mix(docs: DataFrame, size: F.Column | None = None, key: str = "doc_id", seed
     cut = hist.alias("h").join(by.alias("t"), F.expr("h.source <=> t.source")).where("upto >= want").groupBy("t.source").agg(
         F.min_by(F.struct("bucket", (F.col("upto") - F.col("in_bucket")).alias("before")), "bucket").alias("c"))
     by = by.alias("t").join(cut.alias("c"), F.expr("t.source <=> c.source"), "left").select("t.*", F.coalesce("c.c.bucket", F.lit(1 << BUCKET_BITS)).alias("cut"), F.coalesce("c.c.before", F.lit(0).cast("long")).alias("before"))
+    by = materialise(by, "mix-cuts")  # its size is then known: one row a source is broadcast if it is small, sorted if not
     rows = sized.alias("d").join(by.alias("t"), F.expr("d.source <=> t.source")).select(F.col(f"d.{key}").alias(key), "d.source", "size", "source_size", "target", "whole", "want", "before", "cut", "bucket", "u")
     earlier = Window.partitionBy("source").orderBy("u", F.col(key).asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where("bucket = cut").withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("want") - F.col("before") - F.coalesce(F.sum("size").over(earlier), F.lit(0)))))
