@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, piece_bpe, quality_rules, sharding
+from quarry.llm import html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_media": media.op3_media,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_piece_bpe": piece_bpe.op6_piece_bpe,
+    "op7_html_extract": html_extract.op7_html_extract,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op10_sharding": sharding.op10_sharding,
 }
 
