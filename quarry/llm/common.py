@@ -46,9 +46,9 @@ def unit_hash(*cols) -> F.Column:
 BATCH_ROWS = 500
 
 
-def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with small batches. make() runs once in each task and returns a function from a dict of lists, one per
-    column of df, to a dict of lists, one per column of schema."""
+    column of df, to a dict of lists, one per column of schema. It sees at most `rows` rows at once."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -60,7 +60,9 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
         f = None
         for b in batches:
             f = f or make()
-            got = f({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)})
-            yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                got = f({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
+                yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)

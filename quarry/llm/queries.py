@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, sharding, url_filter
+from quarry.llm import html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, setsketch, sharding, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_piece_bpe": piece_bpe.op6_piece_bpe,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_setsketch": setsketch.op9_setsketch,
     "op10_sharding": sharding.op10_sharding,
 }
 
