@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, setsketch, sharding, url_filter
+from quarry.llm import html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, setsketch, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_media": media.op3_media,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_piece_bpe": piece_bpe.op6_piece_bpe,
     "op7_html_extract": html_extract.op7_html_extract,
