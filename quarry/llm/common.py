@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,23 @@ def unit_hash(*cols) -> F.Column:
 BATCH_ROWS = 500
 
 
+@lru_cache(8)
+def _ship(app: str, context) -> None:
+    """Send this package to the executors of an application: theirs is a path of its own on a cluster."""
+    root = Path(__file__).resolve().parents[2]
+    out = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted((root / "quarry").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(out))
+
+
+def prepare_python(spark: SparkSession) -> None:
+    """Before Python runs on executors: the code is there, and batches are small."""
+    _ship(spark.sparkContext.applicationId, spark.sparkContext)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with small batches. make() runs once in each task and returns a function from a dict of lists, one per
     column of df, to a dict of lists, one per column of schema. It sees at most `rows` rows at once."""
@@ -53,7 +73,7 @@ def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> Dat
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

@@ -329,8 +329,10 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     return map_batches(docs.select(key, text), make, f"{key} {kind}, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encode() without shipping ids, for tables where only digests count."""
+def encode_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """key, columns to carry, n_tokens, ids_sha256, decoded_sha256: encode() without shipping ids, for tables where only
+    digests count."""
+    keep = [key, *(carry or [])]
 
     def make():
         e = Encoder(model_path)
@@ -338,12 +340,12 @@ def encode_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text:
 
         def f(b):
             got = e.batch(b[text])
-            return {key: b[key], "n_tokens": [sum([x[0] for x in g]) for g in got], "ids_sha256": [sha(",".join([x[1] for x in g])) for g in got], "decoded_sha256": [sha("".join([x[2] for x in g])[1:]) for g in got]}
+            return {c: b[c] for c in keep} | {"n_tokens": [sum([x[0] for x in g]) for g in got], "ids_sha256": [sha(",".join([x[1] for x in g])) for g in got], "decoded_sha256": [sha("".join([x[2] for x in g])[1:]) for g in got]}
 
         return f
 
-    kind = dict(docs.dtypes)[key]
-    return map_batches(docs.select(key, text), make, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = dict(docs.dtypes)
+    return map_batches(docs.select(*keep, text), make, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:

@@ -281,5 +281,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return components(docs, key, text).select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents that near_duplicates() drops, and with one of each repeated row (same id and text). Rows
+    with a null id can't be told apart by key and stay. Only the dropped ids meet docs, broadcast if they are few."""
+    judged = materialise(near_duplicates(docs, key, text), "near-judged")
+    gone = judged.where(f"NOT kept AND {key} IS NOT NULL").select(key).distinct()
+    out = docs.join(materialise(gone, "near-dropped"), key, "left_anti").select(*docs.columns)
+    twice = materialise(judged.where("kept").groupBy(key).count().where("count > 1").select(key), "near-repeated")
+    if twice.isEmpty():
+        return out
+    return out.join(twice, key, "left_anti").select(*docs.columns).unionByName(out.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates([key, text]))
+
+
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
