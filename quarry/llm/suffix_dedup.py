@@ -31,12 +31,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BATCH_ROWS, materialise, table
+from quarry.llm.common import materialise, prepare_python, table
 
 LENGTH = 50
 GRAM = 20
 #: Bytes of text whose runs are packed together.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of text hashed at once.
 BLOCK = 1 << 20
 LAST = (1 << 63) - 1
@@ -118,7 +118,8 @@ def runs_in_blocks(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def part_of(anchor: np.ndarray, parts: int) -> np.ndarray:
-    return ((anchor >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    # Anchors are minima, so their own leading bits are mostly zero: they are mixed again to spread evenly.
+    return ((_mix(anchor) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
 def settle(group: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -435,7 +436,7 @@ def slots_for(spark: SparkSession, n: int) -> list[int]:
 def deduplicate(docs: DataFrame, make, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row, of schema out, for each row of docs: make(values of docs' columns, text, spans, kept bytes)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = slots_for(spark, n)
     keyed = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc")]
