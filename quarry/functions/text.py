@@ -12,7 +12,7 @@ MAX_SNIPPET = 1000
 UNSAFE = r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}\x{890}\x{891}\x{13439}-\x{1343F}&&[^\t]]"
 BLANKS = " \t\n\r\0\x0b"
 #: White space as Python's str.split() knows it.
-SPACES = "\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def _c(x) -> Column:
@@ -113,7 +113,8 @@ def epoch_seconds(ts) -> Column:
 
 
 def iso_seconds(ts) -> Column:
-    return F.concat(F.date_format(F.date_trunc("second", _c(ts)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    s = _c(ts).cast("string")
+    return F.concat(F.left(s, F.lit(10)), F.lit("T"), F.substring(s, 12, 8), F.lit("+00:00"))
 
 
 #: What the bytes 0x80 to 0x9F mean in Windows-1252, where they differ from Latin-1; the five unused ones stay.

@@ -141,7 +141,7 @@ def permission_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.denied(T.hits(spark, sf_dir), T.nodes(spark, sf_dir)).select("user_id", "pos", "file_id")
 
 
-TEXTS = [(-1, "a\x07b\nc\td"), (-2, "left‮right line​zero"), (-3, "\x7f\x85\xa0kept"), (-4, "😀" * 1001), (-5, ""), (-6, None), (-7, "x" * 256)]
+TEXTS = [(-1, "a\x07b\nc\td"), (-2, "left" + chr(0x202E) + "right" + chr(0x2028) + "line" + chr(0x200B) + "zero"), (-3, "\x7f\x85\xa0kept"), (-4, chr(0x1F600) * 1001), (-5, ""), (-6, None), (-7, "x" * 256)]
 
 
 @query(f"""WITH {values('inline', ['doc_id', 'text'], TEXTS)}, t AS (SELECT doc_id, text FROM documents UNION ALL FROM inline)
