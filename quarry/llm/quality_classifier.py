@@ -1,7 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 1. Each whole text becomes a few numbers (FEATURES); a logistic regression is fitted on the driver to the labelled ones,
-   at most MAX_LABELLED of them (those with the smallest hash of the key), which is a bounded sample of bounded rows.
+   at most MAX_LABELLED of them (those with the smallest hash of the key: a fixed share of the hash range), which is a bounded sample of bounded rows.
 2. Every document's classifier probability is summed by path and by host with grouped, map-side combined aggregation.
    Beta priors tie the levels: a host's mean is shrunk toward the global mean and a path's toward its host's, each with a
    prior strength estimated by moments over all hosts (paths), so a site with few documents stays near its parent.
@@ -87,7 +87,9 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("k"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).alias("t"))
     rows = materialise(map_batches(rows, make, f"k {kinds[key]}, host string, path string, " + ", ".join(f"{f} double" for f in FEATURES)), "quality-features")
     known = rows.join(labels.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).dropDuplicates(["k"]), "k")
-    known = known.orderBy(unit_hash("k"), "k").limit(MAX_LABELLED).select(*FEATURES, "y").collect()
+    known = materialise(known.select(*FEATURES, "y", unit_hash("k").alias("h")), "quality-labelled")
+    bar = int((1 << 60) * min(1.0, 0.95 * MAX_LABELLED / max(known.count(), 1)))  # the share with the smallest hash
+    known = known.where(F.col("h") <= bar).select(*FEATURES, "y").limit(MAX_LABELLED).collect()
     data = np.array([list(r) for r in known], float).reshape(-1, len(FEATURES) + 1)
     w, bias, share = fit(data[:, :-1], data[:, -1])
     z = F.lit(bias)
