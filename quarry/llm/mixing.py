@@ -47,9 +47,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL
     fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(F.lit(1))
-    by = by.withColumn("level", (F.sum("source_size").over(whole) * F.lit(total_share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+    by = by.withColumn("level", (F.sum("source_size").over(whole) * F.lit(total_share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)).withColumn("turn", F.row_number().over(fill))
     # The first source, in that order, whose share at its own level is within its cap sets the level of all after it.
-    by = by.withColumn("open", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)["level"])
+    by = by.withColumn("open", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("turn", "level"))).over(whole)["level"])
     return by.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("open") * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -99,8 +99,8 @@ by1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
                (source_size * {MAX_EPOCHS})::DOUBLE AS cap FROM by0),
 by2 AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * {TOTAL_SHARE}::DOUBLE
                - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
-               / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM by1),
-by3 AS (SELECT source, source_size, least(cap, (SELECT arg_min(level, cap / weight) FROM by2 WHERE level * weight <= cap) * weight) AS t, cap FROM by2),
+               / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS turn FROM by1),
+by3 AS (SELECT source, source_size, least(cap, (SELECT arg_min(level, turn) FROM by2 WHERE level * weight <= cap) * weight) AS t, cap FROM by2),
 by4 AS (SELECT source, source_size, coalesce(t, cap) AS target FROM by3),
 by5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM by4),
 runs AS (SELECT d.doc_id, d.source, d.size, b.source_size, b.target, b.whole, greatest(round(b.target)::BIGINT - b.whole * b.source_size, 0) AS want,
