@@ -45,8 +45,10 @@ def unit_hash(*cols) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-#: Documents that cross to Python at once. Long texts are common, so this bounds a worker's memory.
+#: Documents that cross to Python at once, and bytes of text that are worked on at once: long texts may lie together, and
+#: a text's words take many times its size in Python.
 BATCH_ROWS = 500
+BATCH_BYTES = 2 << 20
 
 
 @lru_cache(8)
@@ -66,9 +68,28 @@ def prepare_python(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def slices(batch, rows: int, size: int = BATCH_BYTES):
+    """A batch in slices of at most `rows` rows and, but for single rows, about `size` bytes of texts and binaries."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(total)
+    lo = 0
+    while lo < batch.num_rows:
+        before = upto[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(upto, before + size, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with small batches. make() runs once in each task and returns a function from a dict of lists, one per
-    column of df, to a dict of lists, one per column of schema. It sees at most `rows` rows at once."""
+    column of df, to a dict of lists, one per column of schema. It sees slices() of batches."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -80,8 +101,7 @@ def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> Dat
         f = None
         for b in batches:
             f = f or make()
-            for lo in range(0, b.num_rows, rows):
-                part = b.slice(lo, rows)
+            for part in slices(b, rows):
                 got = f({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
 

@@ -1,7 +1,7 @@
 """MinHash near-dedup with SetSketch registers.
 
 Sketch: register i of a document holds floor(1 - log_BASE(h)) of the least exponential variate h that hash i gives its
-shingles, cut to a byte: exponentially spaced truncated minima, mergeable by maximum and locality-sensitive.
+shingles, cut to 16 bits: exponentially spaced truncated minima, mergeable by maximum and locality-sensitive.
 
 1. One pass over the texts gives, per document, the number of distinct shingles, a digest of the set and the registers.
    Documents with equal sets form a class, represented by its smallest id.
@@ -36,10 +36,11 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, BAND_ROWS = 32, 4
 REGISTERS = BANDS * BAND_ROWS
-BASE = 1.1
+#: So fine that unrelated sets agree in a register once in 4000: chance buckets would grow with the square of the corpus.
+BASE = 1.001
 #: Five standard deviations of an estimate from REGISTERS registers.
 SLACK = 0.19
-#: Members of a block, on average, in step 4.
+#: Members of a block, on average, whose sets meet in step 4; four times as many where registers do.
 BLOCK = 256
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -109,7 +110,7 @@ def registers(shingles: np.ndarray) -> bytes:
         v *= _MUL
         np.minimum(low, v.min(0), out=low)
     h = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32)
-    return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, 255).astype(np.uint8).tobytes()
+    return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, 65535).astype(np.uint16).tobytes()
 
 
 def joint_estimate(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.ndarray) -> np.ndarray:
@@ -152,7 +153,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         return f
 
-    return map_batches(docs.select(key, text), make, "id long, n_shingles long, digest binary, registers binary")
+    return map_batches(docs.select(F.col(key).cast("long").alias(key), text), make, "id long, n_shingles long, digest binary, registers binary")
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = both.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"), F.col("shingles").alias("sb")), "b")
 
     def make():
-        array = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, REGISTERS)
+        array = lambda x: np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS)
 
         def f(b):
             if not b["a"]:
@@ -207,68 +208,110 @@ def stars(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def across_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members(bucket, id, component) of one bucket and different components: a spanning set of them."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def in_blocks(members: DataFrame, data: DataFrame, per_block: int, work, schema: str) -> DataFrame:
+    """work(blocks) over batches of (bucket, band, rows, others) of members(bucket, band, id, component) joined with
+    data(id, ...): a block alone (others is None), then each pair of a bucket's blocks. Blocks hold per_block members on
+    average. Rows are few bytes but much work, so they are dealt out to as many tasks as a shuffle has."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
     rows = members.join(materialise(sizes, "near-bucket-sizes"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets, "id")
-    packed = rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "n", "registers", "shingles")).alias("rows"))
-    packed = materialise(packed, "near-blocks")
-    first = packed.select("bucket", F.col("block").alias("i"), "rows", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    alone = first.where("i = j").select("rows", F.lit(None).cast(packed.schema["rows"].dataType).alias("others"))
-    pair = first.where("i < j").join(packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("others")), ["bucket", "j"]).select("rows", "others")
-
-    def make():
+    rows = rows.join(data, "id")
+    fields = ["id", "component", *[c for c in data.columns if c != "id"]]
+    packed = materialise(rows.groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(F.struct(*fields)).alias("rows")), "near-blocks")
+    first = packed.select("bucket", "band", F.col("block").alias("i"), "rows", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    alone = first.where("i = j").select("bucket", "band", "rows", F.lit(None).cast(packed.schema["rows"].dataType).alias("others"), "i", "j")
+    pair = first.where("i < j").join(packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("others")), ["bucket", "j"]).select("bucket", "band", "rows", "others", "i", "j")
+    dealt = alone.unionByName(pair).repartition(n, "bucket", "i", "j").drop("i", "j")
+
+    def batches():
         def f(b):
-            out = []
-            for own, others in zip(b["rows"], b["others"]):
-                rows = own + (others or [])
-                n, reg = np.array([r["n"] for r in rows]), np.frombuffer(b"".join(r["registers"] for r in rows), np.uint8).reshape(-1, REGISTERS)
-                sets_ = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-                root = {r["component"]: r["component"] for r in rows}
-
-                def find(x):
-                    while root[x] != x:
-                        x = root[x]
-                    return x
-
-                for i in range(len(rows) if others is None else len(own)):
-                    lo = i + 1 if others is None else len(own)
-                    mine = find(rows[i]["component"])
-                    far = np.array([k for k in range(lo, len(rows)) if find(rows[k]["component"]) != mine], np.int64)
-                    if not len(far):
-                        continue
-                    ok = maybe(np.full(len(far), n[i]), n[far], np.broadcast_to(reg[i], (len(far), REGISTERS)), reg[far])
-                    for k in far[ok].tolist():
-                        x, y = find(rows[i]["component"]), find(rows[k]["component"])
-                        if x != y and linked(sets_[i], sets_[k]):
-                            root[max(x, y)] = min(x, y)
-                            out.append((max(x, y), min(x, y)))
-            return {"a": [x for x, _ in out], "b": [y for _, y in out]}
+            out = list(work(list(zip(b["bucket"], b["band"], b["rows"], b["others"]))))
+            return {c.split()[0]: [x[k] for x in out] for k, c in enumerate(schema.split(", "))}
 
         return f
 
-    return map_batches(alone.unionByName(pair), make, "a long, b long", rows=1)
+    return map_batches(dealt, batches, schema, rows=64)
+
+
+def candidates(blocks: list) -> list[tuple[list, list[tuple[int, int]]]]:
+    """(rows, pairs of indices) of each block or two blocks: members of different components that pass maybe() and agree
+    in no earlier band than this one, as that band's bucket has them too. One call of maybe() serves all blocks."""
+    out, found = [], []
+    for _, band, own, others in blocks:
+        rows = own + (others or [])
+        component = np.array([r["component"] for r in rows])
+        reg = np.frombuffer(b"".join(r["registers"] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        n = np.array([r["n"] for r in rows])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(rows) if others is None else len(own)):
+            lo = i + 1 if others is None else len(own)
+            far = lo + np.flatnonzero(component[lo:] != component[i])
+            if len(far):
+                same = reg[far] == reg[i]
+                far = far[(same.reshape(-1, BANDS, BAND_ROWS).all(2).argmax(1) == band) & (2 * same.sum(1) >= REGISTERS)]
+                left.append(np.full(len(far), i))
+                right.append(far)
+        left, right = np.concatenate(left), np.concatenate(right)
+        out.append([rows, left, right])
+        found.append((n[left], n[right], reg[left], reg[right]))
+    ok = maybe(*(np.concatenate(x) for x in zip(*found)))
+    at = 0
+    for x in out:
+        keep = ok[at : at + len(x[1])]
+        at += len(x[1])
+        x[1:] = [list(zip(x[1][keep].tolist(), x[2][keep].tolist()))]
+    return out
+
+
+def sieve(blocks: list):
+    """(bucket, id) of every member of a candidate pair."""
+    for (bucket, *_), (rows, pairs) in zip(blocks, candidates(blocks)):
+        yield from {(bucket, rows[x]["id"]) for p in pairs for x in p}
+
+
+def link(blocks: list):
+    """(larger, smaller) components that a confirmed pair joins; pairs that links found before have joined are passed."""
+    for rows, pairs in candidates(blocks):
+        root = {r["component"]: r["component"] for r in rows}
+
+        def find(x):
+            while root[x] != x:  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        for i, k in pairs:
+            x, y = find(rows[i]["component"]), find(rows[k]["component"])
+            if x != y and linked(np.frombuffer(rows[i]["shingles"], np.uint64), np.frombuffer(rows[k]["shingles"], np.uint64)):
+                root[max(x, y)] = min(x, y)
+                yield max(x, y), min(x, y)
+
+
+def across_blocks(members: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members(bucket, band, id, component) of one bucket and different components: a spanning set of them.
+    Registers alone say which members need their sets."""
+    near = materialise(in_blocks(members, sketched, 4 * BLOCK, sieve, "bucket long, id long").distinct(), "near-open-members")
+    return in_blocks(members.join(near, ["bucket", "id"]), sets, BLOCK, link, "a long, b long")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component of every row of docs."""
     drawn = materialise(sketches(docs, key, text), "near-sketches")
-    classes = materialise(drawn.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"), F.first("registers").alias("registers")), "near-classes")
-    band = [F.xxhash64(F.lit(i), F.substring("registers", i * BAND_ROWS + 1, BAND_ROWS)) for i in range(BANDS)]
-    bands = classes.where("class IS NOT NULL").select(F.col("class").alias("id"), F.explode(F.array(*band)).alias("bucket"))
+    classes = materialise(drawn.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n")), "near-classes")
+    classes = classes.where("class IS NOT NULL")
+    band = [F.xxhash64(F.lit(i), F.substring("registers", 2 * i * BAND_ROWS + 1, 2 * BAND_ROWS)) for i in range(BANDS)]
+    bands = classes.select(F.col("class").alias("id"), F.posexplode(F.array(*band)).alias("band", "bucket"))
     pivots = materialise(bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("last > pivot").select("bucket", "pivot"), "near-pivots")
     shared = materialise(bands.join(pivots, "bucket"), "near-members")
     ids = shared.select("id").distinct()
-    sets = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(materialise(ids, "near-ids"), "id", "left_semi")
+    sets = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(materialise(ids, "near-ids"), "id", "left_semi")
     sets = materialise(with_sets(sets).where("n > 0"), "near-sets")
     edges = confirmed(shared.where("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
     links = stars(edges)
     # What the pivots did not settle: buckets of more than one component.
-    placed = shared.select("bucket", "id").join(links.select(F.col("a").alias("id"), "b"), "id", "left").select("bucket", "id", F.coalesce("b", "id").alias("component"))
+    placed = shared.select("bucket", "band", "id").join(links.select(F.col("a").alias("id"), "b"), "id", "left").select("bucket", "band", "id", F.coalesce("b", "id").alias("component"))
     placed = materialise(placed, "near-placed")
     open_ = materialise(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "near-open")
-    more = materialise(across_blocks(placed.join(open_, "bucket"), sets), "near-across")
+    more = materialise(across_blocks(placed.join(open_, "bucket"), classes.select(F.col("class").alias("id"), "n", "registers"), sets), "near-across")
     if not more.isEmpty():
         links = stars(links.unionByName(more))
     top = classes.select("digest", "class").join(links.select(F.col("a").alias("class"), F.col("b")), "class", "left").select("digest", F.coalesce("b", "class").alias("component"))
