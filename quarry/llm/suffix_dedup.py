@@ -171,9 +171,8 @@ def refine(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     return number
 
 
-def compare(strings: list[bytes], doc: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each string of a document, which of its windows are covered by a smaller document's among the strings, and
-    which are the first of their kind."""
+def compare(strings: list[bytes], doc: np.ndarray) -> list[np.ndarray]:
+    """For each string of a document, which of its windows are covered by a smaller document's among the strings."""
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     data = np.frombuffer(b"".join(strings), np.uint8)
     end = np.cumsum(size)
@@ -181,9 +180,8 @@ def compare(strings: list[bytes], doc: np.ndarray) -> tuple[list[np.ndarray], li
     number = refine(data, left)
     at = np.flatnonzero(number >= 0)
     owner = np.repeat(np.arange(len(strings)), size)[at]
-    covered, first, _ = settle(number[at], np.zeros(len(at), np.int8), doc[owner])
-    cut = np.searchsorted(owner, np.arange(1, len(strings)))
-    return np.split(covered, cut), np.split(first, cut)
+    covered, _, _ = settle(number[at], np.zeros(len(at), np.int8), doc[owner])
+    return np.split(covered, np.searchsorted(owner, np.arange(1, len(strings))))
 
 
 def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -191,6 +189,17 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def equal_runs(r: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, k): every run of a document that has the bytes of chosen[k], itself included. A verdict on one of a
+    document's equal runs holds for all, so only one of them is sent."""
+    key = _mix(r["anchor"] * _ODD ^ r["bytes"])
+    order = np.argsort(key, kind="stable")
+    lo, hi = (np.searchsorted(key[order], key[chosen], side) for side in ("left", "right"))
+    n = hi - lo
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return order[at], np.repeat(np.arange(len(chosen)), n)
+
+
 def _rows(schema, **columns):
     import pyarrow as pa
 
@@ -307,21 +316,21 @@ def send_windows(slots: list[int]):
     parts, schema = len(slots), _schema(ROUTED)
 
     def run(batches):
-        ids, crcs, starts, anchors, strings, total = [], [], [], [], [], 0
+        ids, crcs, numbers, anchors, strings, total = [], [], [], [], [], 0
 
         def flush():
             id_ = np.array(ids, np.int64)
-            covered, first = compare(strings, id_) if strings else ([], [])
+            covered = compare(strings, id_)
             done: dict = {}
             out: dict = {}
-            for k, (c, f) in enumerate(zip(covered, first)):
+            for k, c in enumerate(covered):
                 for a, b in intervals(c):
-                    done.setdefault((ids[k], crcs[k]), []).extend((starts[k] + a, starts[k] + b))
-                for a, b in intervals(f):
-                    out.setdefault(anchors[k], []).append((ids[k], crcs[k], starts[k] + a, strings[k][a : b + LENGTH - 1]))
+                    done.setdefault((ids[k], crcs[k]), []).extend((numbers[k], a, b))
+                for a, b in intervals(~c):
+                    out.setdefault(anchors[k], []).append((ids[k], crcs[k], numbers[k], a, strings[k][a : b + LENGTH - 1]))
             rows = list(out.items())
             none = [None] * len(rows)
-            blob = [b"".join([np.int64(len(x)).tobytes(), np.array([(i, c, s, len(t)) for i, c, s, t in x], np.int64).tobytes(), *[t for *_, t in x]]) for _, x in rows]
+            blob = [b"".join([np.int64(len(x)).tobytes(), np.array([(*m, len(t)) for *m, t in x], np.int64).tobytes(), *[t for *_, t in x]]) for _, x in rows]
             yield _rows(schema, part=[slots[p] for p, _ in rows], id=none, crc=none, blob=blob)
             keys = list(done)
             yield _rows(schema, part=[slots[i % parts] for i, _ in keys], id=[i for i, _ in keys], crc=[c for _, c in keys], blob=[np.array(done[k], np.int64).tobytes() for k in keys])
@@ -334,15 +343,15 @@ def send_windows(slots: list[int]):
                 flags = np.sort(flags[flags & np.uint32(1) == 1] >> np.uint32(1)).astype(np.int64)
                 if len(flags):
                     r = runs([text])
-                    for s, w, p in zip(r["start"][flags].tolist(), r["windows"][flags].tolist(), part_of(r["anchor"][flags], parts).tolist()):
+                    for k, s, w, p in zip(flags.tolist(), r["start"][flags].tolist(), r["windows"][flags].tolist(), part_of(r["anchor"][flags], parts).tolist()):
                         ids.append(i)
                         crcs.append(c)
-                        starts.append(s)
+                        numbers.append(k)
                         anchors.append(p)
                         strings.append(text[s : s + w + LENGTH - 1])
             if total >= CHUNK:
                 yield from flush()
-                ids, crcs, starts, anchors, strings, total = [], [], [], [], [], 0
+                ids, crcs, numbers, anchors, strings, total = [], [], [], [], [], 0
         if ids:
             yield from flush()
 
@@ -360,20 +369,20 @@ def judge_windows():
                     yield _rows(schema, id=[i], crc=[c], blob=[blob])
                     continue
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
-                x = np.frombuffer(blob, np.int64, 4 * n, 8).reshape(-1, 4)
-                at = 8 + 32 * n
-                for size in x[:, 3].tolist():
+                x = np.frombuffer(blob, np.int64, 5 * n, 8).reshape(-1, 5)
+                at = 8 + 40 * n
+                for size in x[:, 4].tolist():
                     strings.append(blob[at : at + size])
                     at += size
                 meta.append(x)
         if not meta:
             return
         meta = np.concatenate(meta)
-        covered, _ = compare(strings, meta[:, 0])
+        covered = compare(strings, meta[:, 0])
         done: dict = {}
-        for (i, c, s, _), f in zip(meta.tolist(), covered):
+        for (i, c, number, s, _), f in zip(meta.tolist(), covered):
             for a, b in intervals(f):
-                done.setdefault((i, c), []).extend((s + a, s + b))
+                done.setdefault((i, c), []).extend((number, s + a, s + b))
         keys = list(done)
         for lo in range(0, len(keys), 10_000):
             part = keys[lo : lo + 10_000]
@@ -385,17 +394,16 @@ def judge_windows():
 def removed_spans(text: bytes, run_blobs: list[bytes] | None, window_blobs: list[bytes] | None) -> list[tuple[int, int]]:
     """The maximal removed spans of a text."""
     change = np.zeros(len(text) + 1, np.int32)
-    if run_blobs:
-        flags = np.frombuffer(b"".join(run_blobs), np.uint32)
-        flags = np.unique(flags[flags & np.uint32(1) == 0] >> np.uint32(1)).astype(np.int64)
-        if len(flags):
-            r = runs([text])
-            np.add.at(change, r["start"][flags], 1)
-            np.add.at(change, r["start"][flags] + r["windows"][flags] + LENGTH - 1, -1)
-    if window_blobs:
-        x = np.frombuffer(b"".join(window_blobs), np.int64).reshape(-1, 2)
-        np.add.at(change, x[:, 0], 1)
-        np.add.at(change, x[:, 1] + LENGTH - 1, -1)
+    if run_blobs or window_blobs:
+        r = runs([text])
+        flags = np.frombuffer(b"".join(run_blobs or []), np.uint32)
+        at, _ = equal_runs(r, np.unique(flags[flags & np.uint32(1) == 0] >> np.uint32(1)).astype(np.int64))
+        np.add.at(change, r["start"][at], 1)
+        np.add.at(change, r["start"][at] + r["windows"][at] + LENGTH - 1, -1)
+        x = np.frombuffer(b"".join(window_blobs or []), np.int64).reshape(-1, 3)  # run, first window, end
+        at, k = equal_runs(r, x[:, 0])
+        np.add.at(change, r["start"][at] + x[k, 1], 1)
+        np.add.at(change, r["start"][at] + x[k, 2] + LENGTH - 1, -1)
     return intervals(np.cumsum(change[:-1]) > 0)
 
 
