@@ -13,6 +13,9 @@ a LENGTH-byte window is the least hash among its GRAM-byte substrings. Consecuti
    the initial buckets; a bucket is refined by the bucket at a later offset (i + 8 for 16 bytes, i + 16 for 32, i + 18
    for LENGTH), each round reusing the numbers that the round before gave to all suffixes, and only suffixes that still
    share a bucket are sorted. A window covered by a smaller document of its chunk is settled there, before the shuffle.
+   An anchor in HOT_ROWS documents or more would still gather all their boundaries in one task. Such anchors are found in a
+   sample (which steers only the routing, never a result); their runs are dealt by content, and those of their windows
+   that a chunk leaves open are sent one by one, dealt by a hash of the window.
 3. Covered windows meet their documents again by key, once; spans are merged, and the bytes that remain are kept.
 
 The text is shuffled once: the exchange that feeds step 2 is reused by step 3. Run keys have 100 bits or more; a false
@@ -40,6 +43,9 @@ CHUNK = 8 << 20
 #: Bytes of text hashed at once.
 BLOCK = 1 << 20
 LAST = (1 << 63) - 1
+#: An anchor that about so many documents hold is hot; HOT_SAMPLE documents are looked at to find such anchors.
+HOT_ROWS = 1 << 22
+HOT_SAMPLE = 20_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -122,9 +128,10 @@ def part_of(anchor: np.ndarray, parts: int) -> np.ndarray:
     return ((_mix(anchor) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
-def settle(group: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle(group: np.ndarray, content: np.ndarray, doc: np.ndarray, hot: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of records (group, content, doc): which are covered (their content also in a smaller doc), which is the first of
-    its content (a smallest doc's), and which of the first are open (other contents in the group, from two docs or more)."""
+    its content (a smallest doc's), and which of the first are open (other contents in the group, from two docs or more; or
+    hot, as other contents are then elsewhere)."""
     covered, first, open_ = (np.zeros(len(doc), bool) for _ in range(3))
     if not len(doc):
         return covered, first, open_
@@ -139,6 +146,7 @@ def settle(group: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.
     of = np.cumsum(new_g) - 1
     many = (np.bincount(of, new_c) > 1) & (np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads))
     open_[o] = new_c & many[of]
+    open_ |= first & hot
     return covered, first, open_
 
 
@@ -226,8 +234,8 @@ def _verdicts(ids: np.ndarray, crcs: np.ndarray, values: np.ndarray):
     return i[heads].tolist(), c[heads].tolist(), [v[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())]
 
 
-def pack_runs(slots: list[int]):
-    """Texts to packed runs. slots: the value of `part` that a partition's rows carry."""
+def pack_runs(slots: list[int], hot: np.ndarray):
+    """Texts to packed runs. slots: the value of `part` that a partition's rows carry; hot: the hot anchors."""
     parts, schema = len(slots), _schema(ROUTED)
 
     def run(batches):
@@ -237,20 +245,21 @@ def pack_runs(slots: list[int]):
             r = {k: np.concatenate([x[k] for x in kept]) for k in ("doc", "run", "anchor", "bytes")}
             id_, crc = np.array(docs, np.int64), np.array(crcs, np.int64)
             covered, first, _ = settle(r["anchor"], r["bytes"], id_[r["doc"]])
-            part = part_of(r["anchor"], parts)
+            is_hot = np.isin(r["anchor"], hot)
+            part = part_of(np.where(is_hot, r["bytes"], r["anchor"]), parts) + parts * is_hot  # hot runs in rows of their own
             out_part, out_blob = [], []
             send = np.flatnonzero(first)
             send = send[np.argsort(part[send], kind="stable")]
-            cut = np.searchsorted(part[send], np.arange(parts + 1))
-            for p in range(parts):
+            cut = np.searchsorted(part[send], np.arange(2 * parts + 1))
+            for p in range(2 * parts):
                 x = send[cut[p] : cut[p + 1]]
                 if not len(x):
                     continue
                 used, local = np.unique(r["doc"][x], return_inverse=True)
                 kind = np.uint16 if max(len(used), int(r["run"][x].max()) + 1) <= 0xFFFF else np.uint32
                 key = (r["anchor"][x] & np.uint64(_KEY)).view(np.uint8).reshape(-1, 8)[:, :5]
-                out_part.append(slots[p])
-                out_blob.append(b"".join([np.array([len(x), len(used), kind().itemsize], np.int64).tobytes(), id_[used].tobytes(), crc[used].astype(np.uint32).tobytes(), key.tobytes(), r["bytes"][x].tobytes(), local.astype(kind).tobytes(), r["run"][x].astype(kind).tobytes()]))
+                out_part.append(slots[p % parts])
+                out_blob.append(b"".join([np.array([len(x), len(used), kind().itemsize, p >= parts], np.int64).tobytes(), id_[used].tobytes(), crc[used].astype(np.uint32).tobytes(), key.tobytes(), r["bytes"][x].tobytes(), local.astype(kind).tobytes(), r["run"][x].astype(kind).tobytes()]))
             none = [None] * len(out_part)
             yield _rows(schema, part=out_part, id=none, crc=none, blob=out_blob)
             x = np.flatnonzero(covered)
@@ -277,14 +286,14 @@ def judge_runs():
     schema = _schema(VERDICT)
 
     def run(batches):
-        doc, crc, group, content, index = [], [], [], [], []
+        doc, crc, group, content, index, hot = [], [], [], [], [], []
         for b in batches:
             for part, i, c, blob in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if i is not None:
                     yield _rows(schema, id=[i], crc=[c], blob=[blob])
                     continue
-                n, used, width = np.frombuffer(blob, np.int64, 3).tolist()
-                kind, at = (np.uint16 if width == 2 else np.uint32), 24
+                n, used, width, is_hot = np.frombuffer(blob, np.int64, 4).tolist()
+                kind, at = (np.uint16 if width == 2 else np.uint32), 32
                 ids = np.frombuffer(blob, np.int64, used, at)
                 at += 8 * used
                 crcs = np.frombuffer(blob, np.uint32, used, at).astype(np.int64)
@@ -299,10 +308,11 @@ def judge_runs():
                 group.append(key.view(np.uint64).ravel())
                 doc.append(ids[local])
                 crc.append(crcs[local])
+                hot.append(np.full(n, bool(is_hot)))
         if not doc:
             return
-        doc, crc, group, content, index = map(np.concatenate, (doc, crc, group, content, index))
-        covered, _, open_ = settle(group, content, doc)
+        doc, crc, group, content, index, hot = map(np.concatenate, (doc, crc, group, content, index, hot))
+        covered, _, open_ = settle(group, content, doc, hot)
         x = np.flatnonzero(covered | open_)
         i, c, v = _verdicts(doc[x], crc[x], (index[x] << np.uint32(1)) | open_[x].astype(np.uint32) * ~covered[x])
         for lo in range(0, len(i), 10_000):
@@ -311,7 +321,15 @@ def judge_runs():
     return run
 
 
-def send_windows(slots: list[int]):
+def window_hashes(data: bytes) -> np.ndarray:
+    n = len(data)
+    up, down = _powers_to(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return _mix((sums[LENGTH:] - sums[:-LENGTH]) * down[: n - LENGTH + 1])
+
+
+def send_windows(slots: list[int], hot: np.ndarray):
     """Documents with verdicts to the strings under their open runs, less what their own chunk settles."""
     parts, schema = len(slots), _schema(ROUTED)
 
@@ -326,6 +344,11 @@ def send_windows(slots: list[int]):
             for k, c in enumerate(covered):
                 for a, b in intervals(c):
                     done.setdefault((ids[k], crcs[k]), []).extend((numbers[k], a, b))
+                if anchors[k] < 0:  # hot
+                    at = np.flatnonzero(~c)
+                    for a, p in zip(at.tolist(), part_of(window_hashes(strings[k])[at], parts).tolist()):
+                        out.setdefault(p, []).append((ids[k], crcs[k], numbers[k], a, strings[k][a : a + LENGTH]))
+                    continue
                 for a, b in intervals(~c):
                     out.setdefault(anchors[k], []).append((ids[k], crcs[k], numbers[k], a, strings[k][a : b + LENGTH - 1]))
             rows = list(out.items())
@@ -343,7 +366,7 @@ def send_windows(slots: list[int]):
                 flags = np.sort(flags[flags & np.uint32(1) == 1] >> np.uint32(1)).astype(np.int64)
                 if len(flags):
                     r = runs([text])
-                    for k, s, w, p in zip(flags.tolist(), r["start"][flags].tolist(), r["windows"][flags].tolist(), part_of(r["anchor"][flags], parts).tolist()):
+                    for k, s, w, p in zip(flags.tolist(), r["start"][flags].tolist(), r["windows"][flags].tolist(), np.where(np.isin(r["anchor"][flags], hot), -1, part_of(r["anchor"][flags], parts)).tolist()):
                         ids.append(i)
                         crcs.append(c)
                         numbers.append(k)
@@ -430,6 +453,29 @@ def finish(columns: list[str], make, out: str):
     return run
 
 
+def hot_anchors(source: DataFrame) -> np.ndarray:
+    """Anchors that, by a sample of source(_id, _text, _crc), HOT_ROWS documents or more hold. What comes to the driver is
+    bounded: an anchor must be in `least` / tasks sampled documents, and a document counts its `seen` smallest anchors only."""
+    n = source.count()
+    if n < HOT_ROWS:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, HOT_SAMPLE / n)
+    least, tasks, seen = max(2, HOT_ROWS * share / 2), 4, 4096
+
+    def run(batches):
+        found: dict = {}
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for a in np.unique(runs([text.encode("utf-8", "surrogatepass")])["anchor"])[:seen].tolist():
+                    found[a] = found.get(a, 0) + 1
+        hot = [a for a, k in found.items() if k >= least / tasks]
+        yield _rows(schema, anchor=np.array(hot, np.uint64).view(np.int64))
+
+    schema = _schema("anchor long")
+    some = source.select("_text").sample(share, 7).repartition(tasks).mapInArrow(run, "anchor long").distinct().collect()
+    return np.sort(np.array([r[0] for r in some], np.int64).view(np.uint64))
+
+
 def slots_for(spark: SparkSession, n: int) -> list[int]:
     """n integers that hash partitioning into n sends to n different partitions, so each task gets one part."""
     got: dict = {}
@@ -448,13 +494,14 @@ def deduplicate(docs: DataFrame, make, out: str, key: str = "doc_id", text: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = slots_for(spark, n)
     keyed = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc")]
-    packed = docs.select(*keyed).mapInArrow(pack_runs(slots), ROUTED).repartition(n, "part")
+    hot = hot_anchors(docs.select(*keyed))
+    packed = docs.select(*keyed).mapInArrow(pack_runs(slots, hot), ROUTED).repartition(n, "part")
     of_runs = packed.mapInArrow(judge_runs(), VERDICT).groupBy("id", "crc").agg(F.collect_list("blob").alias("_runs"))
     of_runs = materialise(of_runs.select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_runs"), "repeat-runs")
     # Both joins read the one exchange of the texts, so they take the same columns of docs.
     rest = [F.col(c).alias(f"c_{c}") for c in docs.columns if c != text]
     source = docs.select(*keyed, *rest)
-    sent = source.join(of_runs, ["_id", "_crc"]).mapInArrow(send_windows(slots), ROUTED).repartition(n, "part")
+    sent = source.join(of_runs, ["_id", "_crc"]).mapInArrow(send_windows(slots, hot), ROUTED).repartition(n, "part")
     of_windows = sent.mapInArrow(judge_windows(), VERDICT).groupBy(F.col("id").alias("_id"), F.col("crc").alias("_crc")).agg(F.collect_list("blob").alias("_windows"))
     both = source.join(of_runs, ["_id", "_crc"], "left").join(of_windows, ["_id", "_crc"], "left")
     return both.mapInArrow(finish([f"c_{c}" if c != text else "_text" for c in docs.columns], make, out), out)

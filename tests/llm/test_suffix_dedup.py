@@ -67,6 +67,19 @@ def test_small_chunks(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def test_hot_anchors(spark, monkeypatch):
+    """Everything that ten documents share counts as hot."""
+    monkeypatch.setattr(S, "HOT_ROWS", 10)
+    monkeypatch.setattr(S, "CHUNK", 2000)
+    rng = random.Random(9)
+    tail = lambda: "".join(rng.choice("ab c") for _ in range(rng.randrange(60)))
+    line = "this line stands in every document of the table, and in some of them twice over"
+    rows = [(i, tail() + line + tail() + (line if i % 5 == 0 else "")) for i in range(120)] + [(500 + i, t) for i, t in corpus(6, "abc", 40)]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "_id long, _text string").withColumn("_crc", F.lit(0))
+    assert len(S.hot_anchors(df)) > 3
+    assert result(spark, rows) == brute(rows)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "x" * 49), (4, "y" * 50), (5, "y" * 50), (6, ("long text %d, " % 7) * 20000), (7, ("long text %d, " % 7) * 20000 + "end")]
     got = result(spark, rows)
