@@ -21,19 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session names none (tests, local mode)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/quarry-shared-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder that driver and executors share. Where the session names none (tests, local mode), one of this process."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarry-shared-{os.getpid()}"
     return at.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor costs no rerun
-    of what came before. The path is new on each call."""
+    of what came before. The path is new on each call; release() deletes an application's tables."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -106,3 +107,9 @@ def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what materialise() wrote for this application, once no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
