@@ -100,7 +100,7 @@ LINES = """
 + Los domingos bajaban todos al río con mantas y pan y nadie volvía a casa antes de la noche aunque al otro lado ya se oyera la tormenta
 """
 
-NAMES = ("blank", "1-2 words", "3-7 words", "8+ words", "any symbol", "symbols > 3 %", "symbols > 10 %", "all capitals", "shouts", "ends a sentence", "bar-separated", "digits > 20 %", "notice", "seen before", "few distinct words")
+NAMES = ("blank", "1-2 words", "3-7 words", "8+ words", "any symbol", "symbols > 3 %", "symbols > 10 %", "all capitals", "shouts", "ends a sentence", "bar-separated", "digits > 20 %", "notice", "seen before")
 
 
 def features(line: str, seen: bool) -> tuple[int, list[int]]:
@@ -132,8 +132,6 @@ def features(line: str, seen: bool) -> tuple[int, list[int]]:
         out.append(12)
     if seen:
         out.append(13)
-    if n >= 10 and len(set(words)) * 3 < n:
-        out.append(14)
     return n, out
 
 
