@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
 import zipfile
-from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,20 +52,29 @@ BATCH_ROWS = 500
 BATCH_BYTES = 2 << 20
 
 
-@lru_cache(8)
-def _ship(app: str, context) -> None:
-    """Send this package to the executors of an application: theirs is a path of its own on a cluster."""
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send this package once to the executors of an application, by the shared folder: their disks are their own."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    _shipped.add(spark.sparkContext.applicationId)
     root = Path(__file__).resolve().parents[2]
-    out = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry.zip"
-    with zipfile.ZipFile(out, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in sorted((root / "quarry").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    context.addPyFile(str(out))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tables_dir(spark)}/code-{uuid.uuid4().hex}/quarry.zip")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
 
 
 def prepare_python(spark: SparkSession) -> None:
     """Before Python runs on executors: the code is there, and batches are small."""
-    _ship(spark.sparkContext.applicationId, spark.sparkContext)
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
