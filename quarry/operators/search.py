@@ -28,14 +28,14 @@ def search(docs: DataFrame, terms: list[str], k: int = 20, key: str = "doc_id",
     """key, score (rounded to 6 places) of the k best documents; ties go to the smaller key. Only query terms are
     exploded; the corpus statistics are one row, and one a term."""
     terms = sorted({t.lower() for t in terms})
-    rows = docs.select(key, tokens(text).alias("t")).select(key, F.size("t").alias("len"), F.explode_outer(F.filter("t", lambda x: x.isin(*terms))).alias("term"))
-    per = rows.groupBy(key, "len", "term").agg(F.count("term").alias("tf"))
-    stats = rows.select(key, "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = per.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    rows = docs.select(key, tokens(text).alias("t")).select(key, F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(*terms))).alias("term"))
+    per = rows.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    stats = docs.select(F.size(tokens(text)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = per.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     # df has a row a query term and stats one row in all, whatever the corpus.
-    scored = per.where("term IS NOT NULL").join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    scored = per.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     return scored.groupBy(key).agg(F.round(F.sum(idf * tf), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
@@ -44,7 +44,7 @@ def highlights(docs: DataFrame, term: str, key: str = "doc_id", text: str = "tex
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     fold = F.when(F.length(low) == F.length(F.coalesce(F.col(text), F.lit(""))), low).otherwise(F.col(text))
     quoted = "".join("\\" + c if re.match(r"[^\w\s]", c) else c for c in term.lower())
-    parts = docs.select(key, F.posexplode(F.split(fold, quoted, -1))).select(key, "pos", F.length("col").alias("n"))
+    parts = docs.where(F.contains(fold, F.lit(term.lower()))).select(key, F.posexplode(F.split(fold, quoted, -1))).select(key, "pos", F.length("col").alias("n"))
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     size = len(term)
     at = parts.withColumn("start", (F.sum("n").over(before) + F.col("pos") * size).cast("int")).withColumn("last", F.max("pos").over(Window.partitionBy(key)))
