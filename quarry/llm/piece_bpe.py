@@ -26,8 +26,8 @@ from quarry.llm.common import map_batches, table
 
 MARK = "▁"
 LONG = 128
-#: Words a worker keeps, in all; about 400 bytes each.
-CACHE = 800_000
+#: Words a task keeps, in all; about 400 bytes each.
+CACHE = 500_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -314,17 +314,11 @@ class Encoder:
         return [int(i) for _, s, _ in self.batch([text])[0] for i in s.split(",")]
 
 
-@lru_cache(1)
-def encoder_at(path: str) -> Encoder:
-    """A worker's own encoder: tasks that follow each other find its words."""
-    return Encoder(path)
-
-
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids, decoded of every row: the ids of the whole text and the text decoded from them."""
 
     def make():
-        e = encoder_at(model_path)
+        e = Encoder(model_path)
 
         def f(b):
             got = e.batch(b[text])
@@ -342,7 +336,7 @@ def encode_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text:
     keep = [key, *(carry or [])]
 
     def make():
-        e = encoder_at(model_path)
+        e = Encoder(model_path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
         def f(b):
