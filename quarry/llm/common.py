@@ -78,6 +78,22 @@ def prepare_python(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return free memory to the system at the end of a task: workers are reused, and what one operator's arrays leave in
+    the allocators would add to what the next one takes."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def slices(batch, rows: int, size: int = BATCH_BYTES):
     """A batch in slices of at most `rows` rows and, but for single rows, about `size` bytes of texts and binaries."""
     import numpy as np
@@ -114,6 +130,8 @@ def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> Dat
             for part in slices(b, rows):
                 got = f({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
+        f = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -34,12 +34,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, prepare_python, table
+from quarry.llm.common import BATCH_ROWS, give_back, materialise, prepare_python, slices, table
 
 LENGTH = 50
 GRAM = 20
 #: Bytes of text whose runs are packed together.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Open runs of one anchor in a chunk from which on the chunk compares their windows itself.
+OFTEN = 8
 #: Bytes of text hashed at once.
 BLOCK = 1 << 20
 LAST = (1 << 63) - 1
@@ -208,6 +210,21 @@ def equal_runs(r: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[at], np.repeat(np.arange(len(chosen)), n)
 
 
+def sliced(batches):
+    for b in batches:
+        yield from slices(b, BATCH_ROWS)
+
+
+def frugal(run):
+    """run, giving memory back when its task ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def _rows(schema, **columns):
     import pyarrow as pa
 
@@ -266,7 +283,7 @@ def pack_runs(slots: list[int], hot: np.ndarray):
             i, c, v = _verdicts(id_[r["doc"][x]], crc[r["doc"][x]], (r["run"][x] << 1).astype(np.uint32))
             yield _rows(schema, part=[slots[k % parts] for k in i], id=i, crc=c, blob=v)
 
-        for b in batches:
+        for b in sliced(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             r = runs_in_blocks(texts)
             kept.append(r | {"doc": r["doc"] + len(docs)})
@@ -334,11 +351,16 @@ def send_windows(slots: list[int], hot: np.ndarray):
     parts, schema = len(slots), _schema(ROUTED)
 
     def run(batches):
-        ids, crcs, numbers, anchors, strings, total = [], [], [], [], [], 0
+        ids, crcs, numbers, values, anchors, strings, total = [], [], [], [], [], [], 0
 
         def flush():
             id_ = np.array(ids, np.int64)
-            covered = compare(strings, id_)
+            # Only what a chunk holds often is worth settling here; it is what would meet in one task.
+            _, of, times = np.unique(np.array(values, np.uint64), return_inverse=True, return_counts=True)
+            often = np.flatnonzero(times[of] >= OFTEN)
+            covered = [np.zeros(len(s) - LENGTH + 1, bool) for s in strings]
+            for k, c in zip(often.tolist(), compare([strings[k] for k in often.tolist()], id_[often]) if len(often) else []):
+                covered[k] = c
             done: dict = {}
             out: dict = {}
             for k, c in enumerate(covered):
@@ -358,7 +380,7 @@ def send_windows(slots: list[int], hot: np.ndarray):
             keys = list(done)
             yield _rows(schema, part=[slots[i % parts] for i, _ in keys], id=[i for i, _ in keys], crc=[c for _, c in keys], blob=[np.array(done[k], np.int64).tobytes() for k in keys])
 
-        for b in batches:
+        for b in sliced(batches):
             for i, text, c, blobs in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("_id", "_text", "_crc", "_runs"))):
                 text = (text or "").encode("utf-8", "surrogatepass")
                 total += len(text)
@@ -366,6 +388,7 @@ def send_windows(slots: list[int], hot: np.ndarray):
                 flags = np.sort(flags[flags & np.uint32(1) == 1] >> np.uint32(1)).astype(np.int64)
                 if len(flags):
                     r = runs([text])
+                    values += r["anchor"][flags].tolist()
                     for k, s, w, p in zip(flags.tolist(), r["start"][flags].tolist(), r["windows"][flags].tolist(), np.where(np.isin(r["anchor"][flags], hot), -1, part_of(r["anchor"][flags], parts)).tolist()):
                         ids.append(i)
                         crcs.append(c)
@@ -374,7 +397,7 @@ def send_windows(slots: list[int], hot: np.ndarray):
                         strings.append(text[s : s + w + LENGTH - 1])
             if total >= CHUNK:
                 yield from flush()
-                ids, crcs, numbers, anchors, strings, total = [], [], [], [], [], 0
+                ids, crcs, numbers, values, anchors, strings, total = [], [], [], [], [], [], 0
         if ids:
             yield from flush()
 
@@ -435,7 +458,7 @@ def finish(columns: list[str], make, out: str):
     schema = _schema(out)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             names = b.schema.names
             data = {n: b.column(k).to_pylist() for k, n in enumerate(names)}
             rows = []
@@ -495,16 +518,16 @@ def deduplicate(docs: DataFrame, make, out: str, key: str = "doc_id", text: str
     slots = slots_for(spark, n)
     keyed = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc")]
     hot = hot_anchors(docs.select(*keyed))
-    packed = docs.select(*keyed).mapInArrow(pack_runs(slots, hot), ROUTED).repartition(n, "part")
-    of_runs = packed.mapInArrow(judge_runs(), VERDICT).groupBy("id", "crc").agg(F.collect_list("blob").alias("_runs"))
+    packed = docs.select(*keyed).mapInArrow(frugal(pack_runs(slots, hot)), ROUTED).repartition(n, "part")
+    of_runs = packed.mapInArrow(frugal(judge_runs()), VERDICT).groupBy("id", "crc").agg(F.collect_list("blob").alias("_runs"))
     of_runs = materialise(of_runs.select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_runs"), "repeat-runs")
     # Both joins read the one exchange of the texts, so they take the same columns of docs.
     rest = [F.col(c).alias(f"c_{c}") for c in docs.columns if c != text]
     source = docs.select(*keyed, *rest)
-    sent = source.join(of_runs, ["_id", "_crc"]).mapInArrow(send_windows(slots, hot), ROUTED).repartition(n, "part")
-    of_windows = sent.mapInArrow(judge_windows(), VERDICT).groupBy(F.col("id").alias("_id"), F.col("crc").alias("_crc")).agg(F.collect_list("blob").alias("_windows"))
+    sent = source.join(of_runs, ["_id", "_crc"]).mapInArrow(frugal(send_windows(slots, hot)), ROUTED).repartition(n, "part")
+    of_windows = sent.mapInArrow(frugal(judge_windows()), VERDICT).groupBy(F.col("id").alias("_id"), F.col("crc").alias("_crc")).agg(F.collect_list("blob").alias("_windows"))
     both = source.join(of_runs, ["_id", "_crc"], "left").join(of_windows, ["_id", "_crc"], "left")
-    return both.mapInArrow(finish([f"c_{c}" if c != text else "_text" for c in docs.columns], make, out), out)
+    return both.mapInArrow(frugal(finish([f"c_{c}" if c != text else "_text" for c in docs.columns], make, out)), out)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

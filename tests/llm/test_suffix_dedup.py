@@ -59,6 +59,7 @@ def test_periodic_text(spark):
 def test_small_chunks(spark, monkeypatch):
     """Documents of one passage in different chunks and blocks."""
     monkeypatch.setattr(S, "CHUNK", 300)
+    monkeypatch.setattr(S, "OFTEN", 2)
     monkeypatch.setattr(S, "BLOCK", 200)
     rows = corpus(3, "abcdefghijklmnop ")
     texts = [t.encode() for _, t in rows]
@@ -71,6 +72,7 @@ def test_hot_anchors(spark, monkeypatch):
     """Everything that ten documents share counts as hot."""
     monkeypatch.setattr(S, "HOT_ROWS", 10)
     monkeypatch.setattr(S, "CHUNK", 2000)
+    monkeypatch.setattr(S, "OFTEN", 3)
     rng = random.Random(9)
     tail = lambda: "".join(rng.choice("ab c") for _ in range(rng.randrange(60)))
     line = "this line stands in every document of the table, and in some of them twice over"
