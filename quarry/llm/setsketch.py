@@ -11,7 +11,8 @@ shingles, cut to 16 bits: exponentially spaced truncated minima, mergeable by ma
    below the threshold, and are confirmed on the full shingle sets. Links are contracted to components.
 4. Buckets that still hold several components are compared exactly: members are cut into blocks of bounded size, and for
    each pair of blocks one task compares members of different components with the same two tests, joining what it links.
-   It emits a spanning set of links, never the pairs. No bucket, partner or candidate is capped.
+   It emits a spanning set of links, never the pairs. The pivot's own component, which may be nearly all of a hot bucket,
+   is compared with the rest only, so the work grows with the bucket. No bucket, partner or candidate is capped.
 
 Components come from alternating large-star and small-star steps over written tables; nothing of a corpus's size comes to
 the driver. Shingles are compared by 64-bit hashes of five word hashes.
@@ -209,19 +210,24 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, data: DataFrame, per_block: int, work, schema: str) -> DataFrame:
-    """work(blocks) over batches of (bucket, band, rows, others) of members(bucket, band, id, component) joined with
-    data(id, ...): a block alone (others is None), then each pair of a bucket's blocks. Blocks hold per_block members on
-    average. Rows are few bytes but much work, so they are dealt out to as many tasks as a shuffle has."""
+    """work(blocks) over batches of (bucket, band, rows, others) of members(bucket, band, id, component, main) joined with
+    data(id, ...). main says that a member is of its bucket's first component, which the pivot leads and which may be
+    nearly all of a large bucket. Blocks hold per_block members on average, all main or none; a block of the others is
+    worked on alone (others is None), with each later block of its kind, and with each main block. Main blocks never meet
+    each other. Rows are few bytes but much work, so they are dealt out to as many tasks as a shuffle has."""
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
-    rows = members.join(materialise(sizes, "near-bucket-sizes"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = lambda main: F.ceil(F.count_if(F.col("main") == main) / per_block).cast("int")
+    sizes = materialise(members.groupBy("bucket").agg(blocks(True).alias("n_main"), blocks(False).alias("n_rest")), "near-bucket-sizes")
+    rows = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     rows = rows.join(data, "id")
     fields = ["id", "component", *[c for c in data.columns if c != "id"]]
-    packed = materialise(rows.groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(F.struct(*fields)).alias("rows")), "near-blocks")
-    first = packed.select("bucket", "band", F.col("block").alias("i"), "rows", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    alone = first.where("i = j").select("bucket", "band", "rows", F.lit(None).cast(packed.schema["rows"].dataType).alias("others"), "i", "j")
-    pair = first.where("i < j").join(packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("others")), ["bucket", "j"]).select("bucket", "band", "rows", "others", "i", "j")
-    dealt = alone.unionByName(pair).repartition(n, "bucket", "i", "j").drop("i", "j")
+    packed = materialise(rows.groupBy("bucket", "band", "n_main", "n_rest", "main", "block").agg(F.collect_list(F.struct(*fields)).alias("rows")), "near-blocks")
+    upto = lambda lo, hi, main: F.when(hi > lo, F.transform(F.sequence(lo, hi - 1), lambda j: F.struct(F.lit(main).alias("main"), j.alias("j")))).otherwise(F.array().cast("array<struct<main:boolean,j:int>>"))
+    first = packed.where("NOT main").select("bucket", "band", F.col("block").alias("i"), "rows", F.explode(F.concat(upto(F.lit(0), F.col("n_main"), True), upto(F.col("block"), F.col("n_rest"), False))).alias("with"))
+    first = first.select("bucket", "band", "i", "rows", "with.*")
+    alone = first.where("NOT main AND i = j").select("bucket", "band", "rows", F.lit(None).cast(packed.schema["rows"].dataType).alias("others"), "main", "i", "j")
+    pair = first.where("main OR i < j").join(packed.select("bucket", "main", F.col("block").alias("j"), F.col("rows").alias("others")), ["bucket", "main", "j"]).select("bucket", "band", "rows", "others", "main", "i", "j")
+    dealt = alone.unionByName(pair).repartition(n, "bucket", "main", "i", "j").drop("main", "i", "j")
 
     def batches():
         def f(b):
@@ -287,7 +293,7 @@ def link(blocks: list):
 
 
 def across_blocks(members: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members(bucket, band, id, component) of one bucket and different components: a spanning set of them.
+    """Links between members(bucket, band, id, component, main) of one bucket and different components: a spanning set of them.
     Registers alone say which members need their sets."""
     near = materialise(in_blocks(members, sketched, 4 * BLOCK, sieve, "bucket long, id long").distinct(), "near-open-members")
     return in_blocks(members.join(near, ["bucket", "id"]), sets, BLOCK, link, "a long, b long")
@@ -310,8 +316,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     # What the pivots did not settle: buckets of more than one component.
     placed = shared.select("bucket", "band", "id").join(links.select(F.col("a").alias("id"), "b"), "id", "left").select("bucket", "band", "id", F.coalesce("b", "id").alias("component"))
     placed = materialise(placed, "near-placed")
-    open_ = materialise(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "near-open")
-    more = materialise(across_blocks(placed.join(open_, "bucket"), classes.select(F.col("class").alias("id"), "n", "registers"), sets), "near-across")
+    open_ = materialise(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket", "x"), "near-open")
+    placed = placed.join(open_, "bucket").withColumn("main", F.col("component") == F.col("x")).drop("x")
+    more = materialise(across_blocks(placed, classes.select(F.col("class").alias("id"), "n", "registers"), sets), "near-across")
     if not more.isEmpty():
         links = stars(links.unionByName(more))
     top = classes.select("digest", "class").join(links.select(F.col("a").alias("class"), F.col("b")), "class", "left").select("digest", F.coalesce("b", "class").alias("component"))
