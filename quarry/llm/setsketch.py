@@ -317,7 +317,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     placed = shared.select("bucket", "band", "id").join(links.select(F.col("a").alias("id"), "b"), "id", "left").select("bucket", "band", "id", F.coalesce("b", "id").alias("component"))
     placed = materialise(placed, "near-placed")
     open_ = materialise(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket", "x"), "near-open")
-    placed = placed.join(open_, "bucket").withColumn("main", F.col("component") == F.col("x")).drop("x")
+    # Written, so that the next join by bucket has exchanges of its own, which adaptive execution can split.
+    placed = materialise(placed.join(open_, "bucket").withColumn("main", F.col("component") == F.col("x")).drop("x"), "near-open-placed")
     more = materialise(across_blocks(placed, classes.select(F.col("class").alias("id"), "n", "registers"), sets), "near-across")
     if not more.isEmpty():
         links = stars(links.unionByName(more))
