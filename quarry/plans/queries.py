@@ -190,9 +190,10 @@ def shaped_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.shaped(rows.select("id", F.try_parse_json("j").alias("element")))
 
 
-@query(f"WITH {ELEMENTS_SQL} SELECT * FROM hits")
+@query(f"WITH {ELEMENTS_SQL} SELECT id, verdict, coalesce(file_id, 0)::BIGINT AS file_id, title, snippet FROM hits")
 def hit_shape_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped_elements(spark, sf_dir).select("id", "verdict", "file_id", "title", "snippet")
+    """An id that is none shows as 0."""
+    return shaped_elements(spark, sf_dir).select("id", "verdict", F.coalesce("file_id", F.lit(0).cast("long")).alias("file_id"), "title", "snippet")
 
 
 @query(f"""WITH {ELEMENTS_SQL}, {T.NODES_SQL}, seen AS (SELECT DISTINCT file_id FROM nodes)
@@ -270,14 +271,14 @@ q AS (SELECT *, list_filter(json_keys(j), lambda k: k NOT IN ('query', 'limit'))
   CASE WHEN json_type(j, '$.limit') IS NULL THEN 20 ELSE try_cast(CASE WHEN regexp_full_match(json_extract_string(j, '$.limit'), '[+-]?[0-9]+') THEN json_extract_string(j, '$.limit') END AS BIGINT) END AS l FROM p),
 c AS (SELECT *, CASE WHEN j IS NOT NULL AND list_has_any(extra, ['user', 'userId', 'user_id', 'userid', 'uid']) THEN 400
   WHEN j IS NULL OR len(extra) > 0 OR t IS NULL OR length(t) < 1 OR l IS NULL OR l NOT BETWEEN 1 AND 100 THEN 422 WHEN coalesce(who, '') = '' THEN 401 ELSE 200 END::INT AS code FROM q)
-SELECT id, code, CASE WHEN code = 200 THEN t END AS query, CASE WHEN code = 200 THEN l END::BIGINT AS "limit" FROM c""")
+SELECT id, code, CASE WHEN code = 200 THEN t END AS query, CASE WHEN code = 200 THEN l ELSE 0 END::BIGINT AS "limit" FROM c""")
 def request_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
     body = (F.when(F.col("event_type") == "view", F.concat(F.lit('{"query": "'), "event_type", F.lit('", "limit": '), user, F.lit("}")))
             .when(F.col("event_type") == "click", F.concat(F.lit('{"query": "q", "user": '), user, F.lit("}"))).when(F.col("event_type") == "error", F.col("props")).otherwise(F.concat(F.lit('{"query": "'), "event_type", F.lit('"}'))))
     rows = e.select(F.col("event_id").alias("id"), body.alias("body"), F.when(F.col("user_id") % 10 == 0, "").otherwise(user).alias("user")).unionAll(spark.createDataFrame(BODIES, "id long, body string, user string"))
-    return requests.validated(rows).select("id", "code", "query", "limit")
+    return requests.validated(rows).select("id", "code", "query", F.coalesce("limit", F.lit(0).cast("long")).alias("limit"))
 
 
 @query("""SELECT e.event_id, e.user_id, e.event_type AS term, greatest(1, least(100, e.user_id - 20))::BIGINT AS "limit" FROM events e
@@ -393,9 +394,11 @@ ID_FILES = [("good", " 11\n12\t13\r\n\x0c14 "), ("word", "11 not-a-number 13"),
 
 @query(f"""WITH {values('f', ['name', 'content'], ID_FILES)}, t AS (SELECT name, list_filter(regexp_split_to_array(content, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}]+'), lambda x: x <> '') AS ts FROM f),
 u AS (SELECT name, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM t)
-SELECT name, pos::INT AS pos, token, CASE WHEN regexp_full_match(token, '[0-9]+') AND try_cast(token AS BIGINT) > 0 THEN try_cast(token AS BIGINT) END AS file_id FROM u""")
+SELECT name, pos::INT AS pos, token, CASE WHEN regexp_full_match(token, '[0-9]+') AND try_cast(token AS BIGINT) > 0 THEN try_cast(token AS BIGINT) ELSE 0 END::BIGINT AS file_id FROM u""")
 def ids_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids.parse(spark.createDataFrame(ID_FILES, "name string, content string"))
+    """A token that is no id shows as 0."""
+    p = ids.parse(spark.createDataFrame(ID_FILES, "name string, content string"))
+    return p.withColumn("file_id", F.coalesce("file_id", F.lit(0).cast("long")))
 
 
 # Rules --------------------------------------------------------------------------------------------------------------
