@@ -43,7 +43,7 @@ CHUNK = 4 << 20
 #: Open runs of one anchor in a chunk from which on the chunk compares their windows itself.
 OFTEN = 8
 #: Bytes of text hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 LAST = (1 << 63) - 1
 #: An anchor that about so many documents hold is hot; HOT_SAMPLE documents are looked at to find such anchors.
 HOT_ROWS = 1 << 22
@@ -156,24 +156,26 @@ def refine(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     """A number for each suffix of data, equal for two suffixes if and only if their first LENGTH bytes are equal; -1
     where fewer than LENGTH bytes are left of the suffix's own string (left)."""
     n = len(data)
-    number = np.full(n, -1, np.int64)
-    at = np.flatnonzero(left >= 8)
+    small = np.int32 if n < 1 << 31 else np.int64
+    number = np.full(n, -1, small)
+    at = np.flatnonzero(left >= 8).astype(small)
     if not len(at):
         return number
     key = np.zeros(len(at), np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | data[at + k]
     number[at] = np.unique(key, return_inverse=True)[1]
+    del key
     size = 8
     for step in (8, 16, LENGTH - 32):  # 16, 32 and LENGTH bytes
         size += step
         shared = np.bincount(number[number >= 0]) > 1
-        at = np.flatnonzero(left >= size)
+        at = np.flatnonzero(left >= size).astype(small)
         alone = ~shared[number[at]]
         live = at[~alone]
-        after = np.full(n, -1, np.int64)
+        after = np.full(n, -1, small)
         # A bucket of one stays one: only suffixes that share a bucket are sorted again.
-        pair = number[live] * np.int64(n + 1) + number[live + step]
+        pair = number[live].astype(np.int64) * (n + 1) + number[live + step]
         ids = np.unique(pair, return_inverse=True)[1] if len(live) else np.zeros(0, np.int64)
         after[live] = ids
         after[at[alone]] = (ids.max() + 1 if len(ids) else 0) + np.arange(int(alone.sum()))
@@ -186,10 +188,11 @@ def compare(strings: list[bytes], doc: np.ndarray) -> list[np.ndarray]:
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     data = np.frombuffer(b"".join(strings), np.uint8)
     end = np.cumsum(size)
-    left = np.repeat(end, size) - np.arange(len(data))
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    left = np.repeat(end.astype(small), size) - np.arange(len(data), dtype=small)
     number = refine(data, left)
     at = np.flatnonzero(number >= 0)
-    owner = np.repeat(np.arange(len(strings)), size)[at]
+    owner = np.repeat(np.arange(len(strings), dtype=small), size)[at]
     covered, _, _ = settle(number[at], np.zeros(len(at), np.int8), doc[owner])
     return np.split(covered, np.searchsorted(owner, np.arange(1, len(strings))))
 
