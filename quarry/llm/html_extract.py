@@ -1,15 +1,19 @@
 """HTML extraction by tree scoring.
 
 A page is read into a tree of containers in one pass over its tags (lenient: unclosed and stray tags are resolved as
-browsers mostly do). Subtrees that are never text of an article (scripts, styles, forms, menus, headers and footers of
-the page, elements whose class, id or role names an advert, a notice, a sidebar or comments) are left out. Every block
-of running text passes points to its ancestors: one, one more for each comma, one more for each 100 characters up to
-three; in full to the parent, half to the grandparent, then 1 / (3 * level). A container's points are discounted by its
-link density. The best container is kept, with those siblings that score a fifth of it or hold running text with few
-links. Its blocks, in page order, are the text.
+browsers mostly do; a quoted attribute that never closes ends with its tag). Subtrees that are never text of an article
+(scripts, styles, forms, menus, headers and footers of the page, elements whose class, id or role names an advert, a notice,
+a sidebar or comments) are left out. Paragraphs and headings are never left out for their class, but for adverts and
+comments. Every block of running text passes points to its ancestors: one, one more for each comma, one more for each 100
+characters up to three; in full to the parent, half to the grandparent, then 1 / (3 * level) up to LEVELS. A container's
+points are discounted by its link density. The best container, widened to the <article> or <main> it lies in, is kept with
+its siblings: headings, paragraphs and running text of any length, and containers that hold paragraphs or score a fifth of
+it; siblings that are mostly links go. The blocks of what is kept, in page order, are the text.
 
 Defined results: null or empty html, and pages without text, give the empty text; plain text without tags is one block;
-repeated rows give equal texts; nothing is cut short.
+of equally good containers the first of the page wins; repeated rows give equal texts, a null page_id or url stays null; an
+empty table gives no rows; whole pages are read, however long, and nothing is cut short; other columns of the table are not
+read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import map_batches, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z][^<>]*\Z|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute. A quoted value closes; if a tag ends and another begins before its quote does, it was never closed.
+_ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>=]+)(?:\s*=\s*(\"(?![^\"<>]*>[^\"<]*<[/a-zA-Z!])[^\"]*\"|'(?![^'<>]*>[^'<]*<[/a-zA-Z!])[^']*'|[^\s>]*))?|=)")
+_END = re.compile(r"[\s/]*>?")
 _SPACE = re.compile(r"\s+")
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template"}
@@ -35,12 +41,21 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
 #: Never part of an article.
 DROPPED = set("head script style noscript template iframe object embed svg canvas form button input select textarea nav footer aside menu dialog audio video map".split()) | RAW
-_UNLIKELY = re.compile(
-    r"(?:^|[_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|sidebar\w*|side-bar|aside|nav\w*|menu\w*|breadcrumbs?"
-    r"|comments?\w*|disqus|respond|replies|reply|discussion|footer\w*|foot|header|masthead|site-header|page-header|topbar|toolbar|share|sharing|social|related|recommend\w*|widget\w*|login|signup|pagination|pager|skip-link|hidden)(?=$|[_-])")
+#: Adverts and comments are left out wherever they stand, as any part of a class or id.
+_FOREIGN = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor(?:ed|s)?|comments?|commentlist|disqus|respond)(?=$|[_-])")
+_FURNITURE = re.compile(r"(?:^|[_-])(?:cookies?|consent|gdpr|popup|modal|newsletter|subscri(?:be|ption)|sidebars?|side-bar|navbar|navigation|breadcrumbs?|pagination|masthead|site-header|page-header|site-footer|page-footer|footer|skip-link)(?=$|[_-])")
+#: Words that name furniture if they are the whole name, or stand beside words of layout only.
+_ALONE = re.compile(
+    r"(?:(?:site|page|main|top|bottom|left|right|global|post|article|entry|header|footer|user|reader|primary|secondary)[_-])*"
+    r"(?:nav|menu|aside|banner|promo|notice|overlay|header|foot|topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|widget|login|signup|pager|hidden|repl(?:y|ies)|discussion)"
+    r"(?:[_-](?:bar|box|links?|list|buttons?|icons?|wrapper|container|area|section|block|panel|widget|media|menu|nav|form|posts?|articles?|stories|content|items?|inner|main|top|bottom|left|right|\d+))*")
+#: Blocks of text, which keep their place whatever furniture their class names.
+_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "figcaption", "caption", "summary"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 #: Where points are given whatever the class says.
 LIKELY = {"article", "main", "body", "html"}
+#: Ancestors that a block passes points to; further ones would get less than a thirtieth each.
+LEVELS = 10
 TAG_POINTS = {"article": 10, "main": 8, "section": 2, "div": 1, "td": 1, "blockquote": 1, "pre": 1, "ul": -1, "ol": -1, "li": -1, "dl": -1, "table": -1}
 
 
@@ -54,21 +69,38 @@ class Node:
         self.chars = self.linked = 0
 
 
-def dropped(tag: str, attributes: str, inside: set) -> bool:
+def attributes(html: str, at: int) -> tuple[dict, int]:
+    """The attributes of the tag whose name ends at `at`, and where the tag ends."""
+    out: dict = {}
+    if html[at : at + 1] != ">":
+        while (m := _ATTRIBUTE.match(html, at)) and m.end() > at:
+            at = m.end()
+            if m[1]:
+                value = m[2] or ""
+                quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+                out.setdefault(m[1].lower(), unescape(value[1:-1] if quoted else value))
+    return out, _END.match(html, at).end()
+
+
+def dropped(tag: str, a: dict, inside: set) -> bool:
     if tag in DROPPED:
         return True
     if tag == "header":
         return not inside & {"article", "main"}
-    if not attributes or tag in LIKELY:
+    if not a or tag in LIKELY:
         return False
-    a = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)}
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     if tag not in BLOCKS and tag != "span":
         return False
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
-        # has-sidebar and the like describe the page; a post's own header holds its title.
-        if _UNLIKELY.search(name) and not name.startswith(("no-", "has-", "with-", "without-")) and not ("header" in name and inside):
+        if name.startswith(("no-", "has-", "with-", "without-")):  # these describe the page
+            continue
+        if _FOREIGN.search(name):
+            return True
+        if tag in _TEXT or "header" in name and inside:  # a post's own header holds its title
+            continue
+        if _ALONE.fullmatch(name) or not inside and _FURNITURE.search(name) or _FURNITURE.fullmatch(name):
             return True
     return False
 
@@ -113,8 +145,9 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         tag, closing = tag.lower(), html[m.start() + 1] == "/"
+        a, at = attributes(html, at)
         if not closing and tag in RAW:
-            e = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            e = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = e.end() if e else end
             continue
         if tag == "br":
@@ -128,7 +161,7 @@ def parse(html: str) -> Node:
                     del hidden_inline[len(hidden_inline) - 1 - hidden_inline[::-1].index(tag) :]
                 elif not closing and tag not in VOID:
                     hidden_inline.append(tag)
-            elif not closing and tag not in VOID and dropped(tag, m[2], inside):
+            elif not closing and tag not in VOID and dropped(tag, a, inside):
                 hidden_inline.append(tag)
             continue
         flush()
@@ -159,7 +192,7 @@ def parse(html: str) -> Node:
                 close(to.parent)
         if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):  # no block stands in a paragraph or heading
             close(node.parent)
-        child = Node(tag, node, node.drop or dropped(tag, m[2], inside))
+        child = Node(tag, node, node.drop or dropped(tag, a, inside))
         node.children.append(child)
         if tag in ("article", "main"):
             inside.add(tag)
@@ -207,8 +240,8 @@ def extract(html: str | None) -> str:
                 if linked * 2 > len(text):
                     continue
                 # A paragraph passes its points on; text right in a container scores it as a parent.
-                up, level = (n.parent, 1) if n.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dd", "td", "blockquote") and n.parent else (n, 1)
-                while up is not None:
+                up, level = (n.parent, 1) if n.tag in _TEXT and n.parent else (n, 1)
+                while up is not None and level <= LEVELS:
                     up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * level)
                     up, level = up.parent, level + 1
     for n in reversed(nodes):
@@ -217,25 +250,35 @@ def extract(html: str | None) -> str:
             n.parent.linked += n.linked
     density = lambda n: n.linked / n.chars if n.chars else 1.0
     score = lambda n: n.points * (1 - density(n))
-    inner = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "tr", "pre"}
-    best = max((n for n in nodes if not n.drop and n.chars and n.tag not in inner), key=score, default=None)
+    best = max((n for n in nodes if not n.drop and n.chars and n.tag not in _TEXT), key=score, default=None)
     if best is None:
         return ""
-    # An article that lies in parts (sections, cells) is as wide as the smallest container of all its strong parts.
+    # An article that lies in parts (sections, cells) is as wide as the smallest container of all its strong parts,
+    # and what lies in an <article> or <main> is as wide as that.
     while best.parent is not None and best.tag not in ("article", "main") and score(best.parent) >= 0.75 * score(best) and best.parent is not root:
         best = best.parent
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    best = up or best
     if best.parent is None:
         return "\n".join(blocks(best))
+    # Beside an <article>, or right in the page's body, a container is as likely furniture of the site as text.
+    strict = best.tag in ("article", "main") or best.parent.tag in ("body", "html")
+
+    def running(c) -> bool:
+        if isinstance(c, tuple):
+            return c[1] * 3 < len(c[0])
+        if c.drop or not c.chars or density(c) * 3 >= 1:
+            return False
+        if c.tag in _TEXT or not strict:
+            return True
+        return score(c) >= max(10, score(best) * 0.2) or c.tag != "div" and any(isinstance(x, Node) and x.tag in _TEXT and x.chars and not x.drop for x in c.children)
+
     out: list[str] = []
     for c in best.parent.children:
-        if c is best:
-            out += blocks(c)
-        elif isinstance(c, Node) and not c.drop and c.chars:
-            running = c.tag in ("p", "blockquote", "pre") and density(c) < 0.25 and c.chars > 80
-            if running or c.tag in ("h1", "h2") and density(c) < 0.25 or c.tag not in inner and score(c) >= max(10, score(best) * 0.2):
-                out += blocks(c)
-        elif isinstance(c, tuple) and len(c[0]) > 80 and c[1] * 4 < len(c[0]):
-            out.append(c[0])
+        if c is best or running(c):
+            out += [c[0]] if isinstance(c, tuple) else blocks(c)
     return "\n".join(out)
 
 

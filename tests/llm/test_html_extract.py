@@ -49,3 +49,40 @@ def test_frames(spark):
     rows = sorted(map(tuple, H.extract_text(df).collect()), key=str)
     assert [r[3] for r in rows] == [1, 1, 0, 599999]
     assert H.extract_text(df.where("false")).count() == 0
+
+
+LONG = f"<p>{PARA}</p><p>{PARA}</p><p>{PARA}</p>"
+THREE = f"{PARA}\n{PARA}\n{PARA}"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div><div class=story>{LONG}</div><p>The end, short.</p></div>", f"{THREE}\nThe end, short."),
+        (f"<div>Intro line.<div class=story>{LONG}</div></div>", f"Intro line.\n{THREE}"),
+        (f"<div><div class=story>{LONG}</div><section><p>Short last.</p></section></div>", f"{THREE}\nShort last."),
+        (f"<body><div class=story>{LONG}</div><section><p>Short last.</p></section>", f"{THREE}\nShort last."),
+        (f"<div><h3>Headline</h3><div class=story>{LONG}</div><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></div>", f"Headline\n{THREE}"),
+        (f"<article><h2>Head</h2><div class=text>{LONG}</div><p class=end>Fin.</p></article>", f"Head\n{THREE}\nFin."),
+        (f'<article><p class="social-history">Short.</p>{LONG}<div class="post-comments"><p>First, of all!</p></div><p class="ad">Buy</p></article>', f"Short.\n{THREE}"),
+        (f'<div class=story><p class="menu-costs">Short.</p>{LONG}</div>', f"Short.\n{THREE}"),
+        (f'<article>{LONG}<div class="sidebar">See also</div><div class="share-buttons">Tweet</div></article>', THREE),
+        (f'<p title="abc>text</p>{LONG}', f"text\n{THREE}"),
+        (f"<p data-x=it's>text</p>{LONG}", f"text\n{THREE}"),
+        (f'<p title="a > b" data-h="<i>x</i>" class=\'y\'>text</p>{LONG}', f"text\n{THREE}"),
+    ],
+)
+def test_nothing_of_the_article_is_lost(html, text):
+    assert H.extract(html) == text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n):
+        begun = time.process_time()
+        assert H.extract("<div>x" * n).count("x") == n
+        return time.process_time() - begun
+
+    took(2000)
+    assert took(32000) < 40 * max(took(2000), 0.01)
