@@ -64,8 +64,8 @@ def test_against_brute_force(spark):
 
 
 def test_small_blocks_and_few_pivot_links(spark, monkeypatch):
-    """Step 4 with blocks of two, over a family in which the smallest document is the odd one out."""
-    monkeypatch.setattr(S, "BLOCK", 2)
+    """Steps 4 and 5 with blocks of two, over a family in which the smallest document is the odd one out."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 2)
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -105,3 +105,61 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (101, 99)], "a long, b long")
     got = {r.a: r.b for r in S.stars(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 100: 99, 101: 99}
+
+
+def templates(n, own, seed=5):
+    """n documents of one text of 100 words and `own` words of their own; each tenth comes a second time, slightly changed."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(100)]
+    rows = []
+    for k in range(n):
+        mine = [f"u{rng.randrange(10**9)}" for _ in range(own)]
+        rows.append((2 * k, " ".join(base + mine)))
+        if k % 10 == 0:
+            mine[rng.randrange(own)] = "changed"
+            rows.append((2 * k + 1, " ".join(base + mine)))
+    return rows
+
+
+def compared(spark, rows):
+    """Pairs of documents that share a bucket of meetings(), each document being a component of its own."""
+    data = [(i, i, len(x), x.tobytes()) for (i, _), x in zip(rows, S.shingle_sets([t for _, t in rows]))]
+    m = S.meetings(spark.createDataFrame(data, "r long, component long, n long, shingles binary"))
+    return m.groupBy("bucket").count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0))).first()[0]
+
+
+def test_work_on_a_template_grows_with_its_documents(spark):
+    """Similarity 1/2 by a shared template: of 12.5 million pairs only those of planted copies meet, by a few shingles each."""
+    small, large = (compared(spark, templates(n, 50)) for n in (1250, 5000))
+    assert 500 <= large <= 30 * 500 and large <= 5 * small
+    assert compared(spark, templates(2000, 34)) <= 30 * 200  # similarity 0.57
+
+
+def test_recall_below_a_template(spark):
+    rows = templates(400, 50) + [(10_000 + i, t.replace("t5 ", f"d{i} ")) for i, t in templates(100, 30, 6)]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_links_that_no_pivot_has(spark):
+    """Windows over one long text: neighbours are linked, others not; and parts of a text with pieces left out, which have
+    no shingle of their own."""
+    rng = random.Random(8)
+    text = [f"w{k}" for k in range(600)]
+    rows = [(k, " ".join(text[5 * k : 5 * k + 100])) for k in range(100)]
+    rng.shuffle(rows)
+    for k in range(60):
+        cut = sorted(rng.sample(range(0, 140, 10), rng.choice([1, 2, 3])), reverse=True)
+        left = [f"z{j}" for j in range(140)]
+        for c in cut:
+            del left[c : c + 10]
+        rows.append((1000 + k, " ".join(left)))
+    assert result(spark, rows) == brute(rows)
+
+
+def test_a_long_text_is_hashed_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["ab", "Cé", "long" * 9]) + rng.choice([" ", "\n", "  "]) for _ in range(5000))
+    whole = S.shingle_sets([text])[0]
+    monkeypatch.setattr(S, "PIECE", 1000)
+    assert (S.shingle_sets([text, None, "a b"])[0] == whole).all()
+    assert S.shingle_sets([" " * 5000, "x" * 5000])[1].size == 1
