@@ -10,6 +10,7 @@ import argparse
 import os
 import sys
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quarry.operators import content
@@ -38,10 +39,13 @@ def main(args: list[str] | None = None, spark=None) -> int:
     if wanted.isEmpty():
         p.error("no file ids")
     results = content.content_read(wanted.withColumn("user_id", F.lit(a.user_id)), tables.files(spark, a.tables))
+    results = results.persist(StorageLevel.DISK_ONLY)  # read once for the lines, the summary and the code
     for line in results.orderBy("pos").select(content.report_line().alias("line")).toLocalIterator():
         print(line["line"])
     print(content.summary_line(content.summary(results)).first()["line"])
-    return content.exit_code(results).first()["exit_code"]
+    code = content.exit_code(results).first()["exit_code"]
+    results.unpersist()
+    return code
 
 
 if __name__ == "__main__":

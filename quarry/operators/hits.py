@@ -65,19 +65,22 @@ def denied(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 def permission_filter(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """user_id, pos, file_id, path, title, snippet of hits(user_id, pos, file_id, title, snippet) whose user sees the file.
     Title and path come from the node, the snippet from the answer. nodes has one row a (user_id, file_id)."""
-    h = hits.select("user_id", "pos", "file_id", plain_text("snippet", MAX_SNIPPET).alias("snippet")).where("snippet IS NOT NULL")
-    n = nodes.select("user_id", "file_id", plain_text("name", MAX_TITLE).alias("title"), plain_text(relative_path("path"), MAX_TITLE).alias("path"))
-    return h.join(n, ["user_id", "file_id"]).where("title IS NOT NULL AND path IS NOT NULL").select("user_id", "pos", "file_id", "path", "title", "snippet")
+    h = hits.select("user_id", "pos", "file_id", F.col("snippet").alias("_snippet")).where(F.is_valid_utf8("snippet"))
+    n = nodes.select("user_id", "file_id", "name", "path").where(F.is_valid_utf8("name") & F.is_valid_utf8(F.coalesce("path", F.lit(""))))
+    # What no node matches is never cleaned.
+    both = h.join(n, ["user_id", "file_id"])
+    return both.select("user_id", "pos", "file_id", plain_text(relative_path("path"), MAX_TITLE).alias("path"), plain_text("name", MAX_TITLE).alias("title"), plain_text("_snippet", MAX_SNIPPET).alias("snippet"))
 
 
 def recheck(hits: DataFrame, nodes: DataFrame, folders: DataFrame) -> DataFrame:
     """user_id, answer_id, pos, verdict, file_id, path, title, snippet: the whole filter over shaped(...) rows with user_id
     and answer_id. An answer with a positive id of a user without a home folder (folders(user_id)) is lost whole, kept
     sentinels included; one without positive ids never asks for the folder. verdict: kept, dropped, unresolved or lost."""
-    n = nodes.select("user_id", "file_id", plain_text("name", MAX_TITLE).alias("_title"), plain_text(relative_path("path"), MAX_TITLE).alias("_path"), F.lit(True).alias("_seen"))
+    n = nodes.select("user_id", "file_id", F.col("name").alias("_name"), F.col("path").alias("_at"), F.lit(True).alias("_seen"))
     needs = hits.groupBy("user_id", "answer_id").agg(F.bool_or(F.col("verdict") == "ok").alias("_asks")).where("_asks").select("user_id", "answer_id")
     lost = needs.join(folders.select("user_id"), "user_id", "left_anti").withColumn("_lost", F.lit(True))
     out = hits.join(lost, ["user_id", "answer_id"], "left").join(n, ["user_id", "file_id"], "left")
+    out = out.withColumn("_title", plain_text("_name", MAX_TITLE)).withColumn("_path", F.when(F.col("_seen"), plain_text(relative_path("_at"), MAX_TITLE)))
     verdict = (F.when(F.col("_lost"), "lost").when(F.col("verdict") == "dropped", "dropped").when(F.col("verdict") == "sentinel", "kept")
                .when(F.col("_seen").isNull(), "unresolved").when(F.col("_title").isNull() | F.col("_path").isNull(), "dropped").otherwise("kept"))
     ok = F.col("verdict") == "ok"

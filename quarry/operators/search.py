@@ -25,18 +25,34 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def search(docs: DataFrame, terms: list[str], k: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score (rounded to 6 places) of the k best documents; ties go to the smaller key. Only query terms are
-    exploded; the corpus statistics are one row, and one a term."""
+    """key, score (rounded to 6 places) of the k best documents with a key; ties go to the smaller key. Texts are read and
+    split once: what is left of a document, its length and its counts of the query's terms, feeds both the corpus
+    statistics, which are one row, and the scores, from one exchange."""
     terms = sorted({t.lower() for t in terms})
-    rows = docs.select(key, tokens(text).alias("t")).select(key, F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(*terms))).alias("term"))
-    per = rows.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    stats = docs.select(F.size(tokens(text)).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = per.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # df has a row a query term and stats one row in all, whatever the corpus.
-    scored = per.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    return scored.groupBy(key).agg(F.round(F.sum(idf * tf), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    counts = [(F.size("t") - F.size(F.array_remove("t", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), tokens(text).alias("t")).select("key", F.size("t").alias("len"), *counts).repartition("key")
+    stats = rows.agg(F.count("key").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf > 0, idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))).otherwise(0.0)
+    found = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))  # stats is one row
+    return found.groupBy(F.col("key").alias(key)).agg(F.round(F.sum(score), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def normalised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and text in Unicode form NFC, so that letters written with combining marks are found as such."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            texts = [None if t is None else unicodedata.normalize("NFC", t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, text])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {text} string")
 
 
 def highlights(docs: DataFrame, term: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import content, hits, manifest, requests, rules, search, status
 from quarry.plans import tables as T
-from quarry.sources import config, ids
+from quarry.sources import config, files, ids, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -403,24 +403,141 @@ def ids_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Rules --------------------------------------------------------------------------------------------------------------
 
-NODES = [("app/client.py", 3, "import", "httpx", [], None, None), ("app/views.py", 1, "import", "httpx.client", [], None, None), ("app/views.py", 2, "import", "httpxx", [], None, None), ("app\\jobs.py", 4, "import", "nc_py_api", [], None, None),
-         ("app/client.py", 9, "identifier", "set_user", [], None, None), ("app/views.py", 9, "identifier", "uploads", [], None, None), ("app/views.py", 12, "call", "ocs", ["nc"], "put", "/x"), ("app/views.py", 13, "call", "request", ["_session", "nc"], None, None),
-         ("app/views.py", 14, "call", "request", ["index"], None, "/y"), ("app/views.py", 15, "call", "ocs", ["nc"], "GET", "/x"), ("app/views.py", 16, "call", "delete", ["session"], None, "/ok"), ("app/views.py", 16, "identifier", "delete", [], None, None), ("app/views.py", 17, "call", "post", ["writer"], None, None), ("app/views.py", 18, "call", "request_json", ["local"], "POST", None)]
+NODES = [("app/client.py", 3, "import", "httpx", None, None, None), ("app/views.py", 1, "import", "httpx.client", None, None, None), ("app/views.py", 2, "import", "httpxx", None, None, None), ("app\\jobs.py", 4, "import", "nc_py_api", None, None, None),
+         ("app/client.py", 9, "identifier", "set_user", None, None, None), ("app/views.py", 9, "identifier", "uploads", None, None, None), ("app/views.py", 12, "call", "ocs", "nc", "put", "/x"), ("app/views.py", 13, "call", "request", "nc._session", None, None),
+         ("app/views.py", 14, "call", "request", "index", None, "/y"), ("app/views.py", 15, "call", "ocs", "nc", "GET", "/x"), ("app/views.py", 16, "call", "delete", "session", "/ok", None), ("app/views.py", 16, "identifier", "delete", None, None, None), ("app/views.py", 17, "call", "post", "writer", None, None), ("app/views.py", 18, "call", "request_json", "local", "POST", None)]
 
+REMOTE_SQL = "list_has_any(string_split(receiver, '.'), ['nc', 'ocs', '_session', 'session', 'adapter'])"
 
-@query(f"""WITH {values('raw', ['path', 'line', 'kind', 'name', 'receiver', 'method', 'target'], NODES)}, n AS (SELECT * REPLACE (replace(path, '\\', '/') AS path) FROM raw),
-m AS (SELECT *, CASE WHEN name IN ('ocs', 'request', 'request_json') THEN CASE WHEN method IS NULL THEN CASE WHEN list_has_any(receiver, ['nc', 'ocs', '_session', 'session', 'adapter']) THEN 'an unreadable method' END
-    WHEN upper(method) IN ('PUT', 'POST', 'PATCH', 'DELETE') THEN upper(method) END
-  WHEN upper(name) IN ('PUT', 'POST', 'PATCH', 'DELETE') AND list_has_any(receiver, ['nc', 'ocs', '_session', 'session', 'adapter']) THEN upper(name) END AS verb FROM n WHERE kind = 'call')
+
+@query(f"""WITH {values('raw', ['path', 'line', 'kind', 'name', 'receiver', 'first', 'second'], NODES)}, n AS (SELECT * REPLACE (replace(path, '\\', '/') AS path), name IN ('ocs', 'request', 'request_json') AS entry FROM raw),
+m AS (SELECT *, CASE WHEN entry THEN second ELSE first END AS target, CASE WHEN entry THEN CASE WHEN first IS NULL THEN CASE WHEN {REMOTE_SQL} THEN 'an unreadable method' END
+    WHEN upper(first) IN ('PUT', 'POST', 'PATCH', 'DELETE') THEN upper(first) END
+  WHEN upper(name) IN ('PUT', 'POST', 'PATCH', 'DELETE') AND {REMOTE_SQL} THEN upper(name) END AS verb FROM n WHERE kind = 'call')
 SELECT path, line::INT AS line, 1::INT AS invariant, path || ':' || line || ': invariant 1, ' || name || ' may only be imported by client.py' AS message FROM n
   WHERE kind = 'import' AND path <> 'client.py' AND NOT ends_with(path, '/client.py') AND split_part(name, '.', 1) IN ('nc_py_api', 'httpx')
 UNION ALL SELECT path, line::INT, 2::INT, path || ':' || line || ': invariant 2, writing identifier ' || name FROM n WHERE kind = 'identifier' AND name IN ('set_user', 'upload', 'upload_stream', 'delete', 'move', 'copy', 'mkdir', 'makedirs', 'trash')
 UNION ALL SELECT path, line::INT, 3::INT, path || ':' || line || ': invariant 3, ' || verb || ' on ' || coalesce(target, 'an unknown path') FROM m WHERE verb IS NOT NULL AND coalesce(target, '') <> '/ok'""")
 def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.createDataFrame(NODES, "path string, line int, kind string, name string, receiver array<string>, method string, target string")
+    n = spark.createDataFrame(NODES, "path string, line int, kind string, name string, receiver string, first string, second string")
+    n = n.select("path", "line", "kind", "name", "receiver", F.array("first", "second").alias("positional"), F.create_map().cast("map<string,string>").alias("named"))
     return rules.violations(n, allowed=spark.createDataFrame([("/ok",)], "target string"))
 
 
+#: A module for each document, by doc_id % 6: what it says, and what the rules find in it (line, invariant, text).
+MODULES = [
+    ("import json\n\nx = json.dumps('upload')\n", []),
+    ("import os\nfrom httpx import get\n\nget('/a')\n", [(2, 1, "httpx may only be imported by client.py")]),
+    ("def run(nc):\n    return nc.ocs('put', '/x')\n", [(2, 3, "PUT on /x")]),
+    ("def run(nc, verb):\n    nc.session.request(verb, path='/y')\n    nc.ocs('GET', '/z')\n", [(2, 3, "an unreadable method on /y")]),
+    ("class A:\n    def mkdir(self):\n        self._session.patch(url='/w')\n", [(2, 2, "writing identifier mkdir"), (3, 3, "PATCH on /w")]),
+    ("not python (\n", []),
+]
+FOUND = [(k, *f) for k, (_, found) in enumerate(MODULES) for f in found]
+
+
+@query(f"""WITH {values('f', ['k', 'line', 'invariant', 'what'], FOUND)}, m AS (SELECT doc_id % 6 AS k, lang || '/' || doc_id || '.py' AS path FROM documents)
+SELECT path, list(path || ':' || line || ': invariant ' || invariant || ', ' || what ORDER BY line, invariant) AS messages FROM m JOIN f USING (k) GROUP BY path""")
+def gate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over source files: each is parsed, and its violations are listed, files by path."""
+    text = F.element_at(F.array(*[F.lit(m) for m, _ in MODULES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    sources = T.table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), text.alias("source"))
+    return rules.as_list(rules.violations(files.python_nodes(sources)))
+
+
+# Whole answers, and what goes out -----------------------------------------------------------------------------------
+
+ANSWER_SQL = f"""h AS (SELECT source AS user_id, doc_id % 7 AS answer_id, doc_id AS pos, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id END AS file_id,
+    CASE WHEN doc_id % 13 = 0 THEN 'dropped' WHEN doc_id % 11 = 0 THEN 'sentinel' ELSE 'ok' END AS verdict, {clean_sql('text', 1000)} AS snippet FROM documents),
+folders AS (SELECT DISTINCT source AS user_id FROM documents WHERE source <> 'src1'), {T.NODES_SQL},
+lost AS (SELECT DISTINCT user_id, answer_id FROM h WHERE verdict = 'ok' AND user_id NOT IN (SELECT user_id FROM folders)),
+o AS (SELECT h.*, n.name, n.path AS node_path, CASE WHEN l.user_id IS NOT NULL THEN 'lost' WHEN verdict = 'dropped' THEN 'dropped' WHEN verdict = 'sentinel' THEN 'kept' WHEN n.file_id IS NULL THEN 'unresolved' WHEN h.pos % 17 = 0 THEN 'dropped' ELSE 'kept' END AS outcome
+  FROM h LEFT JOIN lost l ON l.user_id = h.user_id AND l.answer_id = h.answer_id LEFT JOIN nodes n ON n.user_id = h.user_id AND n.file_id = h.file_id)"""
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each owner's documents as seven answers. src1 has no home folder; every 13th hit is ill-shaped, every 11th the
+    sentinel, and the name of every 17th node is no UTF-8."""
+    d = T.table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    verdict = F.when(i % 13 == 0, "dropped").when(i % 11 == 0, "sentinel").otherwise("ok")
+    h = d.select(F.col("source").alias("user_id"), (i % 7).alias("answer_id"), i.alias("pos"), F.when(i % 11 == 0, 0).otherwise(i).cast("long").alias("file_id"), verdict.alias("verdict"), F.lit("reached").alias("title"), X.plain_text("text", X.MAX_SNIPPET).alias("snippet"))
+    n = T.nodes(spark, sf_dir).withColumn("name", F.when(F.col("file_id") % 17 == 0, F.unhex(F.lit("C328")).cast("string")).otherwise(F.col("name")))
+    return hits.recheck(h, n, d.where("source <> 'src1'").select(F.col("source").alias("user_id")).distinct())
+
+
+@query(f"""WITH {ANSWER_SQL} SELECT user_id, answer_id, pos, outcome, file_id, CASE WHEN outcome <> 'kept' THEN '' WHEN verdict = 'ok' THEN {clean_sql("ltrim(node_path, '/')", 255)} ELSE '' END AS path,
+  CASE WHEN outcome <> 'kept' THEN '' WHEN verdict = 'ok' THEN {clean_sql('name', 255)} ELSE 'reached' END AS title, snippet FROM o""")
+def answer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole filter of an answer, an answer that is lost with its user's home folder included. Title and path of what
+    isn't kept show as ''."""
+    a = answered(spark, sf_dir)
+    shown = lambda c: F.when(F.col("outcome") == "kept", F.col(c)).otherwise("").alias(c)
+    return a.select("user_id", "answer_id", "pos", "outcome", "file_id", shown("path"), shown("title"), "snippet")
+
+
+@query(f"WITH {ANSWER_SQL} SELECT count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'unresolved') AS unresolved, count(*) FILTER (outcome = 'kept') AS kept FROM o")
+def answer_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.drop_counts(answered(spark, sf_dir))
+
+
+@query("""SELECT '{"results":[' || string_agg('{"fileId":' || n_nationkey || ',"path":"' || lower(n_name) || '","title":"' || n_name || '","snippet":"nation \\"' || n_nationkey || '\\""}', ',' ORDER BY n_name DESC) || ']}' AS body FROM nation""")
+def answer_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of an answer, in the answer's own order: here the names backwards."""
+    n = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_id"), F.lower("n_name").alias("path"), F.col("n_name").alias("title"), F.concat(F.lit('nation "'), F.col("n_nationkey").cast("string"), F.lit('"')).alias("snippet"))
+    return hits.envelope(n.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("title")))))
+
+
+@query("""WITH c AS (SELECT event_id, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 404 WHEN 'signup' THEN 422 WHEN 'error' THEN 403 ELSE 500 END AS code FROM events)
+SELECT event_id, code::INT AS code, CASE WHEN code >= 400 THEN '{"error":"no answer to \\"' || event_id || '\\""}' ELSE '' END AS body FROM c""")
+def error_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer that is no error has no error body; it shows as ''."""
+    kind = F.col("event_type")
+    code = F.when(kind == "view", 200).when(kind == "click", 404).when(kind == "signup", 422).when(kind == "error", 403).otherwise(500)
+    e = T.table(spark, sf_dir, "events").select("event_id", code.alias("code"), F.concat(F.lit('no answer to "'), F.col("event_id").cast("string"), F.lit('"')).alias("message"))
+    return e.select("event_id", "code", F.coalesce(sinks.error_body("code", "message"), F.lit("")).alias("body"))
+
+
+@query("SELECT page_id, NOT (contains(url, '<') OR contains(url, '>')) AS plain_url, NOT (contains(html, '<') OR contains(html, '>')) AS plain_html FROM pages")
+def without_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.table(spark, sf_dir, "pages").select("page_id", hits.without_markup("url").alias("plain_url"), hits.without_markup("html").alias("plain_html"))
+
+
+@query(f"""WITH {STATUS_SQL} SELECT user_id, file_id, CASE WHEN status <> 'not-accessible' AND file_id % 5 = 0 THEN 'error' ELSE status END AS status,
+  CASE WHEN file_id % 5 = 0 THEN 0 ELSE bytes_read END AS bytes_read,
+  CASE WHEN status <> 'not-accessible' AND file_id % 5 = 0 THEN CASE WHEN file_id % 2 = 0 THEN 'ReadTimeout' ELSE 'ConnectError' END ELSE detail END AS detail
+FROM results WHERE status <> 'not-accessible' OR file_id % 5 <> 0""")
+def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth transfer breaks off, by a time limit or on the way."""
+    f = T.files(spark, sf_dir).withColumn("failure", F.when((F.col("file_id") % 5 == 0) & (F.col("http_status") != 998), F.when(F.col("file_id") % 2 == 0, "ReadTimeout").otherwise("ConnectError")))
+    return content.content_read(T.read_requests(spark, sf_dir), f).where("status <> 'not-accessible' OR file_id % 5 <> 0")
+
+
+# Texts of files -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text FROM documents")
+def encoding_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second text that Latin-1 can write is stored in it, the others as UTF-8: all are read back."""
+    latin = F.col("text").rlike(r"^[\x{00}-\x{7F}\x{A0}-\x{FF}]*$") & (F.col("doc_id") % 2 == 0)
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    return d.select("doc_id", X.detected_text("content").alias("text"))
+
+
+@query("SELECT 'document ' || doc_id AS name, CASE WHEN doc_id % 10 = 0 THEN 'skipped' ELSE 'read' END AS status, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS text FROM documents")
+def office_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as word-processor documents, a paragraph a line. Every tenth is no such document; its text shows as ''."""
+    d = _named(T.table(spark, sf_dir, "documents")).withColumn("broken", F.col("name").endswith("0"))
+    return files.docx_text(files.as_docx(d)).select("name", "status", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(replace(text, 'ü', 'u' || chr(776)), 'é', 'e' || chr(769))) AS text FROM documents")
+def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose letters were taken apart are put together again."""
+    apart = F.replace(F.replace("text", F.lit("ü"), F.lit("u\u0308")), F.lit("é"), F.lit("e\u0301"))
+    return search.normalised(T.table(spark, sf_dir, "documents").select("doc_id", apart.alias("text")))
+
+
 # Extensions ---------------------------------------------------------------------------------------------------------
 
 TOKENS_SQL = "tokens AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') AS t FROM documents)"

@@ -3,73 +3,79 @@
 from __future__ import annotations
 
 import ast
+import fnmatch
 import io
 import re
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, content, mtime of every file below path. The binary reader leaves out empty files, so names come from a
-    listing of their own and content is joined to them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(conf).listFiles(root, True) if root.getFileSystem(conf).exists(root) else None
-    empty = []
-    while found is not None and found.hasNext():
-        f = found.next()
-        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
-            empty.append((f.getPath().getName(), b"", f.getModificationTime() // 1000))
+    """name, content, mtime of every file below path whose last part matches pattern; name is the path below `path`. Spark's
+    file index leaves out empty files, so these are listed apart, the folders at the top side by side."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(at).toString().rstrip("/")
+
+    def empty_below(entry) -> list[tuple]:
+        todo, found = [entry], []
+        while todo:
+            f = todo.pop()
+            last = f.getPath().getName()
+            if last.startswith(("_", ".")):
+                continue
+            if f.isDirectory():
+                todo += fs.listStatus(f.getPath())
+            elif f.getLen() == 0 and fnmatch.fnmatchcase(last, pattern):
+                found.append((f.getPath().toString()[len(root) + 1 :], b"", f.getModificationTime() // 1000))
+        return found
+
+    with ThreadPoolExecutor(16) as pool:
+        empty = [row for rows in pool.map(empty_below, fs.listStatus(at)) for row in rows]
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    read = read.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.unix_timestamp("modificationTime").alias("mtime"))
+    read = read.select(F.expr(f"substring(path, {len(root) + 2})").alias("name"), "content", F.unix_timestamp("modificationTime").alias("mtime"))
     return read.unionAll(spark.createDataFrame(empty, "name string, content binary, mtime long")) if empty else read
 
 
-def _chain(node) -> list[str]:
-    names = []
-    while isinstance(node, (ast.Attribute, ast.Name, ast.Call)):
-        if isinstance(node, ast.Call):
-            node = node.func
-        elif isinstance(node, ast.Attribute):
-            names.append(node.attr)
-            node = node.value
-        else:
-            names.append(node.id)
-            break
-    return names
-
-
-def _text_argument(call: ast.Call, position: int, *names: str) -> str | None:
-    given = [*call.args[position : position + 1], *(k.value for k in call.keywords if k.arg in names)]
-    return next((g.value for g in given if isinstance(g, ast.Constant) and isinstance(g.value, str)), None)
-
+NODES = "path string, line int, kind string, name string, receiver string, positional array<string>, named map<string,string>"
 
-def nodes_of(path: str, source: str, entry_points=("ocs", "request", "request_json")) -> list[tuple]:
-    out = []
-    for n in ast.walk(ast.parse(source)):
-        if isinstance(n, ast.Import):
-            out += [(path, n.lineno, "import", a.name, None, None, None) for a in n.names]
-        elif isinstance(n, ast.ImportFrom) and n.module is not None:
-            out.append((path, n.lineno, "import", n.module, None, None, None))
-        name = getattr(n, "attr", None) or getattr(n, "id", None) if isinstance(n, (ast.Attribute, ast.Name)) else n.name if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) else None
-        if name:
-            out.append((path, n.lineno, "identifier", name, None, None, None))
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute):
-            takes = n.func.attr in entry_points
-            method = _text_argument(n, 0, "method") if takes else None
-            target = _text_argument(n, 1, "path", "url", "path_and_query") if takes else _text_argument(n, 0, "path", "url")
-            out.append((path, n.lineno, "call", n.func.attr, _chain(n.func.value), method, target))
-    return out
 
-
-NODES = "path string, line int, kind string, name string, receiver array<string>, method string, target string"
+def syntax_rows(path: str, source: str) -> list[tuple]:
+    """What a module imports, every name that it mentions or defines, and its calls of attributes: with the dotted path of
+    the receiver, and the arguments that are literal strings (others are null), by position and by keyword."""
+    order = [ast.parse(source)]
+    for node in order:  # grows while it is read: parents stand before their children
+        order.extend(ast.iter_child_nodes(node))
+    dotted: dict = {}
+    for node in reversed(order):
+        if isinstance(node, ast.Name):
+            dotted[node] = node.id
+        elif isinstance(node, ast.Attribute):
+            dotted[node] = f"{dotted.get(node.value, '')}.{node.attr}"
+        elif isinstance(node, ast.Call):
+            dotted[node] = dotted.get(node.func, "")
+    text = lambda e: e.value if isinstance(e, ast.Constant) and isinstance(e.value, str) else None
+    rows: list[tuple] = []
+    for node in order:
+        match node:
+            case ast.Import(names=names):
+                rows += [(path, node.lineno, "import", n.name, None, None, None) for n in names]
+            case ast.ImportFrom(module=str(module)):
+                rows.append((path, node.lineno, "import", module, None, None, None))
+            case ast.Name(id=name) | ast.Attribute(attr=name) | ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+                rows.append((path, node.lineno, "identifier", name, None, None, None))
+            case ast.Call(func=ast.Attribute(value=value, attr=name)):
+                named = {k.arg: text(k.value) for k in node.keywords if k.arg}
+                rows.append((path, node.lineno, "call", name, dotted.get(value, ""), list(map(text, node.args)), named))
+    return rows
 
 
 def python_nodes(sources: DataFrame) -> DataFrame:
-    """The node table of sources(path, source), for quarry.operators.rules. A file that is no Python gives one node of
-    kind 'unreadable'."""
+    """The node table of sources(path, source), for quarry.operators.rules. A file that can't be read as Python, be it for
+    its depth, gives one node of kind 'unreadable'."""
     import pandas as pd
 
     columns = [c.split()[0] for c in NODES.split(", ")]
@@ -79,8 +85,8 @@ def python_nodes(sources: DataFrame) -> DataFrame:
             rows = []
             for path, source in zip(f["path"], f["source"]):
                 try:
-                    rows += nodes_of(path, source or "")
-                except (SyntaxError, ValueError):
+                    rows += syntax_rows(path, source or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
                     rows.append((path, 0, "unreadable", None, None, None, None))
             yield pd.DataFrame(rows, columns=columns)
 
@@ -114,3 +120,23 @@ def docx_text(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"name": f["name"], "status": ["skipped" if t is None else "read" for t in text], "text": text})
 
     return files.select("name", "content").mapInPandas(run, "name string, status string, text string")
+
+
+def as_docx(files: DataFrame) -> DataFrame:
+    """name, content of files(name, content as text, broken): a minimal word-processor document each, a paragraph a line;
+    where broken, an archive without the main part."""
+    import pandas as pd
+    from html import escape
+
+    def document(text, broken) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in (text or "").split("\n"))
+            z.writestr(zipfile.ZipInfo("word/none.xml" if broken else "word/document.xml"), f"<w:document><w:body>{lines}</w:body></w:document>")
+        return out.getvalue()
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"name": f["name"], "content": list(map(document, f["content"], f["broken"]))})
+
+    return files.select("name", "content", "broken").mapInPandas(run, "name string, content binary")

@@ -28,11 +28,11 @@ def answer(hits: DataFrame, path: str) -> None:
 
 
 def write_corpus(files: dict[str, bytes], folder: str) -> None:
-    """A few named payloads as files, from the driver: a fixture, so small by definition."""
-    at = Path(folder)
-    at.mkdir(parents=True, exist_ok=True)
+    """A few named payloads as files, from the driver: a fixture, so small by definition. Names may hold folders."""
     for name, content in files.items():
-        (at / name).write_bytes(content)
+        at = Path(folder) / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(content)
 
 
 def error_body(code, message, key: str = "error"):

@@ -1,6 +1,4 @@
 import hashlib
-import re
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,37 +6,21 @@ from pyspark.sql import functions as F
 from quarry import cli
 from quarry.functions.text import detected_text
 from quarry.operators import manifest
-from quarry.sources import corpus, files, sinks
+from quarry.sources import files, sinks
 
 
-def test_corpus(spark, tmp_path):
-    made = corpus.files()
-    assert made == corpus.files() and len(made) == 8 and made["06-zero-bytes.pdf"] == b""
+def test_files_easy_and_hard(spark, tmp_path):
+    docx = files.as_docx(spark.createDataFrame([("x", "Brief\nÜber <uns> & mehr", False)], "name string, content string, broken boolean")).first().content
+    made = {"a/letter.docx": bytes(docx), "b/letter.docx": b"", "plain.txt": "Straße\n".encode(), "old.txt": "Maß – 7 €".encode("cp1252"), "noise.bin": bytes(range(256)), "b/_hidden": b""}
     sinks.write_corpus(made, str(tmp_path))
     read = files.binary_files(spark, str(tmp_path))
     m = {r.name: (r.bytes, r.sha256) for r in manifest.manifest(read).collect()}
-    assert m == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in made.items()}
+    assert m == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in made.items() if n != "b/_hidden"}
+    assert {r.name for r in files.binary_files(spark, str(tmp_path), "*.docx").collect()} == {"a/letter.docx", "b/letter.docx"}
     docs = {r.name: (r.status, r.text) for r in files.docx_text(read).collect()}
-    assert docs["03-document.docx"][1].startswith("Vertrag\nGröße") and sum(s == "read" for s, _ in docs.values()) == 1
+    assert docs["a/letter.docx"] == ("read", "Brief\nÜber <uns> & mehr") and sum(s == "read" for s, _ in docs.values()) == 1
     texts = {r.name: r.t for r in read.where(F.col("name").endswith(".txt")).select("name", detected_text("content").alias("t")).collect()}
-    assert "äöü" in texts["04-notes.txt"] and texts["08-legacy-encoding.txt"].endswith("– 5 €\n")
-
-
-def test_pdf_parts():
-    made = corpus.files()
-    body = re.search(rb"/FlateDecode >>\nstream\n(.*?)\nendstream", made["01-text-layer.pdf"], re.S)[1]
-    assert b"contract about the mill" in zlib.decompress(body)
-    for n in ("01-text-layer.pdf", "02-scan-no-text-layer.pdf", "07-password-protected.pdf"):
-        at = int(re.search(rb"startxref\n(\d+)", made[n])[1])
-        assert made[n][at : at + 4] == b"xref"
-        for k, o in enumerate(re.findall(rb"(\d{10}) 00000 n", made[n]), 1):
-            assert made[n][int(o) :].startswith(b"%d 0 obj" % k)
-    locked = made["07-password-protected.pdf"]
-    user = (b"secret" + corpus.PAD)[:32]
-    owner = bytes.fromhex(re.search(rb"/O <(\w+)>", locked)[1].decode())
-    key = hashlib.md5(user + owner + (-44).to_bytes(4, "little", signed=True) + bytes.fromhex(re.search(rb"/ID \[<(\w+)>", locked)[1].decode())).digest()[:5]
-    assert corpus.rc4(key, bytes.fromhex(re.search(rb"/U <(\w+)>", locked)[1].decode())) == corpus.PAD
-    assert corpus.rc4(b"Key", b"Plaintext").hex().upper() == "BBF316E8D940AF0AD3"
+    assert texts == {"plain.txt": "Straße\n", "old.txt": "Maß – 7 €"}
 
 
 def test_cli(spark, sf, tmp_path, capsys):

@@ -20,7 +20,7 @@ def test_ids(spark, tmp_path):
 
 CASES = [
     ("views.py", "import nc_py_api", [1]), ("client.py", "import nc_py_api", []), ("views.py", "from httpx import get", [1]), ("client.py", "import httpx", []), ("client.py", "nc.set_user('x')", [2]), ("views.py", "nc.ocs('PUT', '/x')", [3]),
-    ("views.py", "nc.ocs(verb, path)", [3]), ("views.py", "index.request(verb, path)", []), ("views.py", "nc.ocs('GET', '/x')", []), ("views.py", "nc._session.delete(url='/y')", [2, 3]), ("views.py", "writer.post('/x')", []), ("views.py", "def upload(): pass", [2]), ("views.py", "nc.client().request(method='post', path='/z')", [3]), ("views.py", "not python (", []),
+    ("views.py", "nc.ocs(verb, path)", [3]), ("views.py", "index.request(verb, path)", []), ("views.py", "nc.ocs('GET', '/x')", []), ("views.py", "nc._session.delete(url='/y')", [2, 3]), ("views.py", "writer.post('/x')", []), ("views.py", "def upload(): pass", [2]), ("views.py", "nc.client().request(method='post', path='/z')", [3]), ("views.py", "not python (", []), ("views.py", "x = " + "1+" * 50_000 + "1", []), ("views.py", "nc.a(writer).put(path=p, url='/q')", [3]),
 ]
 
 
