@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none (tests, local mode), one of this process."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarry-shared-{os.getpid()}"
+    """The folder that driver and executors share. Only in local mode (tests), where the session may name none, is it one of
+    this process: a cluster's machines don't see each other's folders."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"file://{tempfile.gettempdir()}/quarry-shared-{os.getpid()}"
     return at.rstrip("/")
 
 
@@ -30,15 +36,35 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}"
 
 
+_written: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession) -> list[str]:
+    """The paths that materialise() has written for this application, oldest first."""
+    return _written.setdefault(spark.sparkContext.applicationId, [])
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there, and a lost executor costs no rerun
-    of what came before. The path is new on each call; release() deletes an application's tables."""
+    of what came before. The path is new on each call; release() deletes such tables."""
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores before those that df has as columns (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def unit_hash(*cols) -> F.Column:
     """A 60-bit hash, as a long, that SQL engines with md5 can repeat: the first 15 hex digits of md5 of the parts
     joined by ':'. A null part counts as the empty string."""
@@ -73,9 +99,12 @@ def _ship(spark: SparkSession) -> None:
 
 
 def prepare_python(spark: SparkSession) -> None:
-    """Before Python runs on executors: the code is there, and batches are small."""
+    """Before Python runs on executors: the code is there, and batches are small. Spark reads the batch size from the session
+    when a result is computed, which may be after the operator returned it, so the setting stays; a smaller one wins."""
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def give_back() -> None:
@@ -95,7 +124,7 @@ def give_back() -> None:
 
 
 def slices(batch, rows: int, size: int = BATCH_BYTES):
-    """A batch in slices of at most `rows` rows and, but for single rows, about `size` bytes of texts and binaries."""
+    """A batch in slices of at most `rows` rows and, but for single rows, about `size` bytes of texts, binaries and arrays."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -104,6 +133,8 @@ def slices(batch, rows: int, size: int = BATCH_BYTES):
     for c in batch.columns:
         if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
             total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type) and len(c.flatten()):
+            total += pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) * (c.flatten().nbytes // len(c.flatten()) + 1)
     upto = np.cumsum(total)
     lo = 0
     while lo < batch.num_rows:
@@ -136,7 +167,11 @@ def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what materialise() wrote for this application, once no result that reads it is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these tables, or all that materialise() wrote for this application, once no result that reads them is needed
+    any more. The shipped code stays: executors that come later fetch it."""
+    gone = list(written(spark) if paths is None else paths)
+    for at in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[spark.sparkContext.applicationId] = [p for p in written(spark) if p not in set(gone)]

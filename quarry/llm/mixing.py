@@ -11,8 +11,10 @@ which the wanted words are reached; only that bucket's documents are ordered in
 rows therefore costs partial sums, and 1 / 4096 of its rows in one window.
 
 Defined results: null or empty text has size 0 and is never taken beyond 0 words; a null source is a source of its own,
-ordered last; repeated rows count each; an empty table gives no rows; extra columns pass through unless they clash with
-the operator's, which win.
+ordered last; repeated rows count each, and null keys share one hash; equal hashes are ordered by key, then size; sources
+whose caps tie fill in order of name; an empty table gives no rows. A very long text is one number from the first pass on.
+mix() reads key, source and text and returns only its own columns, so extra columns may have any name; repeat() returns
+the columns of docs whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, materialise, table, unit_hash
+from quarry.llm.common import WORD, materialise, table, unit_hash, unused
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -78,11 +80,13 @@ def mix(docs: DataFrame, size: F.Column | None = None, key: str = "doc_id", seed
 
 def repeat(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs, each row as often as the mix takes it: the document at the edge of a fractional repetition is taken whole
-    if at least half of it is wanted, so texts stay whole. Columns as in docs; a null key is kept once if it is taken."""
-    plan = mix(docs, key=key, **options).select(F.col(key).alias("_k"), (F.col("whole") + (F.col("extra") * 2 >= F.greatest("size", F.lit(1))).cast("long")).alias("_n")).where("_n > 0")
-    plan = plan.groupBy("_k").agg(F.max("_n").alias("_n"))  # one row a key: repeated rows of docs don't multiply
-    taken = docs.join(plan, F.col(key).eqNullSafe(F.col("_k")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    if at least half of it is wanted, so texts stay whole. Columns as in docs. Rows of one key (and all rows without one)
+    can't be told apart: each comes as often as the one of them that is taken most."""
+    k, n, copy = unused(docs, "_key", "_times", "_copy")
+    plan = mix(docs, key=key, **options).select(F.col(key).alias(k), (F.col("whole") + (F.col("extra") * 2 >= F.greatest("size", F.lit(1))).cast("long")).alias(n)).where(F.col(n) > 0)
+    plan = plan.groupBy(k).agg(F.max(n).alias(n))  # one row a key: repeated rows of docs don't multiply
+    taken = docs.join(plan, F.col(key).eqNullSafe(F.col(k)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

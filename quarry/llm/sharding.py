@@ -9,8 +9,13 @@ At 60 bits only rows with one and the same key are left together. Such a leaf be
 by a two-level count (rows per block of the stored table, then within a block), as many a page as fit by the largest
 row, so a key with a third of all rows never meets in one task.
 
+The directory's index is the first global_depth bits (the deepest leaf's) of the hash; a leaf of less depth fills a run of
+slots, so directory() gives runs and not single slots, of which there may be 2**60.
+
 Defined results: null text has 0 bytes; a null key hashes as the empty string; one row larger than the limit gets a
-shard of its own (nothing smaller exists); an empty table gives no rows.
+shard of its own (nothing smaller exists), be its text ever so long: texts are one number from the first pass on; repeated
+rows are rows of one key; rows of one key are paged in the order of the stored table, which is no order of their own, so
+between runs they may swap pages; an empty table gives no rows. Only key and text are read: extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ def leaves(cells: DataFrame, lo: int, hi: int, limit: int) -> DataFrame:
 
 
 def assign(docs: DataFrame, limit: int = BYTE_LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, depth, prefix (bits as text), page, shard_id, shard_bytes of every row of docs."""
+    """key, n_bytes, depth, prefix (bits as text), page, shard_id, shard_bytes, global_depth, slot of every row of docs."""
     if limit < 1:
         raise ValueError("the byte limit must be positive")
     rows = materialise(docs.select(F.col(key).alias(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), unit_hash(key).alias("h")), "shard-sizes")
@@ -64,10 +69,11 @@ def assign(docs: DataFrame, limit: int = BYTE_LIMIT, key: str = "doc_id", text:
     # One join key for leaves of any depth: a row is probed once for each depth in use.
     probes = rows.select(key, "n_bytes", "h", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
                          F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", BITS - d).alias("prefix")) for d in sorted(depths)] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))])).alias("p"))
-    placed = probes.select(key, "n_bytes", "file", "row", "p.*").join(leaf, ["depth", "prefix"])
+    placed = probes.select(key, "n_bytes", "h", "file", "row", "p.*").join(leaf, ["depth", "prefix"])
     placed = paged(placed, limit) if BITS in depths and not leaf.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit)).isEmpty() else placed.withColumn("page", F.lit(0).cast("long"))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    return placed.select(key, "n_bytes", "depth", bits.alias("prefix"), "page", F.concat_ws("-", F.concat(F.lit("s"), bits), F.when(F.col("page") > 0, F.col("page").cast("string"))).alias("shard_id"), "shard_bytes")
+    return placed.select(key, "n_bytes", "depth", bits.alias("prefix"), "page", F.concat_ws("-", F.concat(F.lit("s"), bits), F.when(F.col("page") > 0, F.col("page").cast("string"))).alias("shard_id"), "shard_bytes",
+                         F.lit(max(depths, default=0)).alias("global_depth"), F.shiftright("h", BITS - max(depths, default=0)).alias("slot"))
 
 
 def paged(placed: DataFrame, limit: int) -> DataFrame:
@@ -87,12 +93,12 @@ def paged(placed: DataFrame, limit: int) -> DataFrame:
 
 
 def directory(assigned: DataFrame) -> DataFrame:
-    """slot, shard_id: the directory at the largest depth in use; a shallow leaf fills a run of slots."""
-    leaf = assigned.where("page = 0").select("depth", "prefix", "shard_id").distinct()
-    deep = leaf.agg(F.max("depth").alias("g"))
+    """first_slot, last_slot, shard_id: the directory at the global depth, a run of slots for each leaf that holds rows; of a
+    leaf with overflow pages, the first page."""
+    leaf = assigned.where("page = 0").select("depth", "prefix", "shard_id", "global_depth").distinct()
     at = F.coalesce(F.conv(F.when(F.col("prefix") != "", F.col("prefix")), 2, 10).cast("long"), F.lit(0).cast("long"))
-    leaf = leaf.crossJoin(F.broadcast(deep)).withColumn("span", F.expr("shiftleft(1L, cast(g - depth as int))"))  # deep is one row
-    return leaf.select(F.explode(F.sequence(at * F.col("span"), at * F.col("span") + F.col("span") - 1)).alias("slot"), "shard_id")
+    span = F.expr("shiftleft(1L, cast(global_depth - depth as int))")
+    return leaf.select((at * span).alias("first_slot"), (at * span + span - 1).alias("last_slot"), "shard_id")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +108,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
-sums AS (SELECT depth, h >> (60 - depth)::INT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes FROM d, range(0, 41) t(depth) GROUP BY 1, 2),
+sums AS (SELECT depth, h >> (60 - depth)::INT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes FROM d, range(0, 61) t(depth) GROUP BY 1, 2),
 leaf AS (SELECT s.* FROM sums s LEFT JOIN sums p ON p.depth = s.depth - 1 AND p.prefix = s.prefix >> 1
-         WHERE s.shard_bytes <= {BYTE_LIMIT} AND (s.depth = 0 OR p.shard_bytes > {BYTE_LIMIT}))
+         WHERE (s.shard_bytes <= {BYTE_LIMIT} OR s.depth = 60) AND (s.depth = 0 OR p.shard_bytes > {BYTE_LIMIT}))
 SELECT d.doc_id, d.n_bytes, l.depth::INT AS depth, CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(l.prefix), 64, '0'), l.depth::INT) END AS prefix,
-       0::BIGINT AS page, 's' || CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(l.prefix), 64, '0'), l.depth::INT) END AS shard_id, l.shard_bytes
-FROM d JOIN leaf l ON l.prefix = d.h >> (60 - l.depth)::INT
+       0::BIGINT AS page, 's' || CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(l.prefix), 64, '0'), l.depth::INT) END AS shard_id, l.shard_bytes,
+       g.depth::INT AS global_depth, d.h >> (60 - g.depth)::INT AS slot
+FROM d CROSS JOIN (SELECT max(depth) AS depth FROM leaf) g JOIN leaf l ON l.prefix = d.h >> (60 - l.depth)::INT
 """

@@ -1,6 +1,7 @@
 import os
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +15,13 @@ def test_tables_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
     assert at.startswith(str(tmp_path)) and len(os.listdir(at)) == 1 and df.count() == 5
     assert all(f.startswith(f"file://{tmp_path}") for f in df.inputFiles())
     C.release(spark)
-    assert not os.path.exists(at)
+    assert not os.listdir(at) and not C.written(spark)
 
 
 def test_the_session_says_where():
     class Conf:
         def __init__(self, at):
-            self.conf, self.at = self, at
+            self.conf, self.sparkContext, self.master, self.at = self, self, "local[2]", at
 
         def get(self, key, default):
             return self.at if key == "spark.checkpoint.dir" and self.at else default
@@ -50,3 +51,29 @@ def test_every_operator_survives_small_batches(spark: SparkSession):
     df = spark.createDataFrame([(i, "t" * i) for i in range(20)], "i long, t string")
     got = C.map_batches(df, lambda: lambda b: {"n": [len(b["i"])] * len(b["i"])}, "n int", rows=3).collect()
     assert len(got) == 20 and max(r.n for r in got) <= 3
+
+
+def test_nested_rows_are_sliced_by_bytes():
+    rows = pa.array([[{"x": b"a" * 1000}] * 1000] * 8, pa.list_(pa.struct([("x", pa.binary())])))
+    batch = pa.RecordBatch.from_arrays([rows], names=["rows"])
+    assert max(p.num_rows for p in C.slices(batch, 100, 2_000_000)) <= 2
+
+
+def test_no_shared_folder_off_local_mode(spark):
+    class Other:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            C.shared_dir(Other())
+    assert C.shared_dir(spark)
+
+
+def test_released_tables_are_gone(spark):
+    begun = len(C.written(spark))
+    a, b = C.materialise(spark.range(3), "a"), C.materialise(spark.range(4), "b")
+    C.release(spark, C.written(spark)[begun:-1])
+    assert b.count() == 4 and len(C.written(spark)) == begun + 1

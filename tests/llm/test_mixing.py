@@ -65,6 +65,12 @@ def test_repeat_keeps_columns_and_texts(spark):
     assert abs(total - 1.5 * sum(len(t.split()) for t in texts.values())) < 12
 
 
+def test_repeat_with_any_column_names(spark):
+    df = docs(spark, [(1, "a b c", "s"), (2, "d", "t"), (None, "e", "t")]).withColumn("_key", F.lit(1)).withColumn("_TIMES", F.lit(2)).withColumn("_copy", F.lit("c")).withColumn("a.b", F.lit(0)).withColumn("u", F.lit(0))
+    got = M.repeat(df)
+    assert got.columns == df.columns and {r["_TIMES"] for r in got.collect()} == {2}
+
+
 def test_words_are_split_at_six_characters(spark):
     df = spark.createDataFrame([("a\x1cb\xa0c d\te\x0bf",), (None,), (" \n ",)], "text string")
     assert [r[0] for r in df.select(M.word_count()).collect()] == [4, 0, 0]

@@ -33,9 +33,18 @@ def test_every_shard_fits_and_only_large_buckets_split(spark):
     assert len(sizes) == len(leaves)
     d = S.directory(S.assign(docs(spark, [(i, "x" * (i % 97)) for i in range(2000)]), limit=1500))
     depth = max(len(p) for p in leaves)
-    slots = {r.slot: r.shard_id for r in d.collect()}
-    assert len(slots) == 2**depth
-    assert all(slots[int((p or "0").ljust(depth, "0"), 2) if depth else 0] == "s" + p for p in leaves)
+    runs = sorted(map(tuple, d.collect()))
+    assert runs[0][0] == 0 and runs[-1][1] == 2**depth - 1 and all(a[1] + 1 == b[0] for a, b in zip(runs, runs[1:]))
+    find = lambda slot: next(s for lo, hi, s in runs if lo <= slot <= hi)
+    assert all(r.global_depth == depth and find(r.slot) == r.shard_id for r in got)
+
+
+def test_a_directory_of_full_depth(spark):
+    """One id with more bytes than fit: no bit splits it, and the directory is 60 bits deep."""
+    a = S.assign(docs(spark, [(7, "y" * 40)] * 50 + [(i, "x") for i in range(20)]), limit=100)
+    assert {r.global_depth for r in a.select("global_depth").collect()} == {60}
+    runs = sorted(map(tuple, S.directory(a).collect()))
+    assert all(a[1] < b[0] for a, b in zip(runs, runs[1:])) and runs[-1][1] < 2**60
 
 
 def test_one_shard_if_all_fits(spark):
