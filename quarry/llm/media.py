@@ -1,16 +1,25 @@
 """Media columns: interleaved document sequences.
 
 parse() reads a page's HTML into an ordered list of items, text or media reference, each with its position; a reference
-has the digest that its src names ("sha256:<hex>") and its caption (figcaption, else alt). store() keeps payloads
-as 8-bit grey PNG files keyed by the payload's digest; features are computed from the stored bytes read back. resolve()
-joins references to what the store knows by digest, so that payloads themselves are never shuffled: only digests and
-features meet. assemble() puts items back into one array a document, by position.
+has the digest that its src names ("sha256:<hex>") and its caption (figcaption, before or after it, else alt). store keeps
+payloads as 8-bit grey PNG files keyed by the payload's digest; features are computed from the stored bytes read back.
+resolve() joins references to what the store knows by digest, so that payloads themselves are never shuffled: only digests
+and features meet. assemble() puts items back into one array a document, by position.
 
 A digest with a third of all references (copies) is one row of the store's features; the references' side of the join is
-not aggregated, so the planner may broadcast or split it.
-
-Defined results: null or empty text is a payload of 64 zero bytes; null html has no items; a reference whose payload is
-unknown keeps its item with null features; repeated rows are items of their own; an empty table gives no rows.
+not aggregated, so the planner may broadcast or split it. Every row of the store is read back and described, copies too:
+to choose one of each first, the payloads would have to be shuffled.
+
+The query makes a page of each document: its whole text is one picture, its last block another, a third is in no store, and
+text stands between them in an order that the text's digest decides. What it returns of a document is read off the
+assembled items.
+
+Defined results: null or empty text is a payload of 64 zero bytes; null html has no items, and a document without items is
+an empty array after assemble(); a reference whose payload is unknown keeps its item with null features; an unclosed
+figcaption ends with its figure or the page; of two captions in a figure, the last before a picture, else the first after
+it, counts; repeated rows are documents of their own in the query, and share an array in assemble() if their keys are equal;
+an empty table gives no rows. Long texts are stored whole, as one image; a task holds a few at a time. Only key and html (or
+text) are read, so extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +29,7 @@ import math
 import re
 import struct
 import zlib
-from html import escape, unescape
+from html import unescape
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +45,7 @@ FEATURE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byt
 _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "sub", "sup", "small", "code", "q", "cite", "mark", "abbr", "time", "br", "wbr"}
+_MEDIA = {"img", "video", "audio", "source", "embed"}
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -102,6 +112,15 @@ def parse(html: str | None) -> list[dict]:
         if s:
             items.append({"position": len(items), "kind": "text", "text": s, "digest": None, "caption": None})
 
+    def caption_ends():
+        nonlocal caption
+        s = " ".join(unescape("".join(caption)).split())
+        caption = None
+        for x in items[figure if figure is not None else len(items) :]:
+            if x["kind"] == "media" and not x["captioned"]:
+                x["caption"], x["captioned"] = s, True
+        ahead.append(s)
+
     at, html = 0, html or ""
     for m in [*_TAG.finditer(html), None]:
         if skip is None:
@@ -118,37 +137,43 @@ def parse(html: str | None) -> list[dict]:
                 (text if caption is None else caption).append(" ")
             continue
         if tag in ("script", "style", "head") and not closing:
-            flush()
+            if caption is None:
+                flush()
             skip = tag
             continue
         if tag == "figcaption":
-            if closing and caption is not None:
-                s = " ".join(unescape("".join(caption)).split())
-                for x in items[figure if figure is not None else len(items) :]:
-                    if x["kind"] == "media":
-                        x["caption"] = s
-                caption = None
-                ahead.append(s)
-            elif not closing:
+            if caption is not None:
+                caption_ends()
+            if not closing:
                 flush()
                 caption = []
             continue
+        if caption is not None:
+            if tag != "figure" and (closing or tag not in _MEDIA):  # blocks within a caption are its words
+                caption.append(" ")
+                continue
+            caption_ends()
         flush()
         if tag == "figure":
             figure = None if closing else len(items)
             ahead.clear()
-        elif tag in ("img", "video", "audio", "source", "embed") and not closing:
+        elif tag in _MEDIA and not closing:
             a = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(m[3])}
             src = a.get("src", "")
             if src.startswith(PREFIX):
-                items.append({"position": len(items), "kind": "media", "text": None, "digest": src[len(PREFIX) :].lower(), "caption": (ahead[-1] if figure is not None and ahead else a.get("alt"))})
+                before = figure is not None and bool(ahead)
+                items.append({"position": len(items), "kind": "media", "text": None, "digest": src[len(PREFIX) :].lower(), "caption": ahead[-1] if before else a.get("alt"), "captioned": before})
+    if caption is not None:
+        caption_ends()
     flush()
-    return items
+    return [{k: v for k, v in x.items() if k != "captioned"} for x in items]
 
 
-def sequences(pages: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    """key, items of every page."""
-    return map_batches(pages.select(key, html), lambda: lambda b: {key: b[key], "items": list(map(parse, b[html]))}, f"{key} {dict(pages.dtypes)[key]}, items array<{ITEM}>")
+def sequences(pages: DataFrame, key: str | list[str] = "doc_id", html: str = "html") -> DataFrame:
+    """key (one column or several), items of every page."""
+    keys, kinds = [key] if isinstance(key, str) else key, dict(pages.dtypes)
+    make = lambda: lambda b: {k: b[k] for k in keys} | {"items": list(map(parse, b[html]))}
+    return map_batches(pages.select(*keys, html), make, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", items array<{ITEM}>")
 
 
 def media_features(store: DataFrame) -> DataFrame:
@@ -169,46 +194,72 @@ def media_features(store: DataFrame) -> DataFrame:
     return map_batches(store.select("digest", "media"), make, f"digest string, {FEATURE}")
 
 
-def resolve(sequence: DataFrame, features: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row an item: key, the item's fields, and of features(digest, ...) what its digest resolves to, else null.
-    features has one row a digest."""
-    items = sequence.select(key, F.explode("items").alias("i")).select(key, "i.*")
-    return items.join(features, "digest", "left")
+def resolve(sequence: DataFrame, features: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+    """One row an item, and one without position for a page without items: key, the item's fields, and of
+    features(digest, ...), which has one row a digest, what its digest resolves to, else null. Only references take part in
+    the join: texts have no digest and would all meet in one task."""
+    keys = [key] if isinstance(key, str) else key
+    items = sequence.select(*keys, F.explode_outer("items").alias("i")).select(*keys, "i.*")
+    media = F.col("digest").isNotNull()
+    found = items.where(media).join(features, "digest", "left")
+    return found.unionByName(items.where(~media), allowMissingColumns=True)
+
+
+def assemble(resolved: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+    """key, items: one array a document, in order of position; empty for a document without items."""
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in resolved.columns if c not in (*keys, "position")]
+    items = F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", *rest)))
+    return resolved.groupBy(*keys).agg(F.array_sort(items).alias("items"))
+
+
+WHOLE, TAIL = "the whole text", "its last block"
 
 
-def assemble(resolved: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, items: one array a document, in order of position."""
-    rest = [c for c in resolved.columns if c not in (key, "position")]
-    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("items"))
+def page_of(data: bytes) -> tuple[str, list[tuple[str, bytes]]]:
+    """The page of a payload, and the (digest, payload) pairs of its pictures that have one."""
+    digest, tail = hashlib.sha256(data).hexdigest(), hashlib.sha256(data[-WIDTH:]).hexdigest()
+    turn = int(digest[:2], 16)
+    whole = f'<figure><img src="{PREFIX}{digest}" alt="text"><figcaption>{WHOLE}</figcaption></figure>'
+    last = f'<figure><figcaption>{TAIL}</figcaption><img src="{PREFIX}{tail}"></figure>'
+    lost = f'<img src="{PREFIX}{hashlib.sha256(digest.encode()).hexdigest()}" alt="lost">'
+    parts = [whole, f"<p>Between {lost} and after.</p>", last]
+    if turn % 2:
+        parts.reverse()
+    return f"<article><h1>Document {digest[:8]}</h1>" + "<p>More text.</p>" * (turn % 5) + "<p>And so on.</p>".join(parts) + "</article>", [(digest, data), (tail, data[-WIDTH:])]
 
 
 def documents_as_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html, digest, media: each document as a page of one picture that holds its text's bytes."""
+    """doc_id, n_bytes, html, store (an array of digest, media): each document as page_of() its text's payload."""
 
     def make():
         def f(b):
-            out: dict = {"doc_id": b["doc_id"], "n_bytes": [], "html": [], "digest": [], "media": []}
-            for key, text in zip(b["doc_id"], b["text"]):
+            out: dict = {"doc_id": b["doc_id"], "n_bytes": [], "html": [], "store": []}
+            for text in b["text"]:
                 data, n = payload(text)
-                digest = hashlib.sha256(data).hexdigest()
+                html, pictures = page_of(data)
                 out["n_bytes"].append(n)
-                out["digest"].append(digest)
-                out["media"].append(to_png(data))
-                out["html"].append(f"<article><h1>Document {escape(str(key))}</h1><figure><img src=\"{PREFIX}{digest}\" alt=\"\"><figcaption>{n} bytes</figcaption></figure><p>End of document {escape(str(key))}</p></article>")
+                out["html"].append(html)
+                out["store"].append([{"digest": d, "media": to_png(p)} for d, p in dict(pictures).items()])
             return out
 
         return f
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_bytes long, html string, digest string, media binary")
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, html string, store array<struct<digest:string,media:binary>>")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One written table, read by columns: pages here, the media store there.
-    stored = materialise(documents_as_pages(table(spark, sf_dir, "documents")), "media-store")
-    known = media_features(stored.select("digest", "media"))
+    # One written table, read by columns: pages here, the media store there. row tells repeated documents apart.
+    stored = documents_as_pages(table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id())
+    stored = materialise(stored, "media-store")
+    known = media_features(stored.select(F.explode("store").alias("s")).select("s.*"))
     names = [c for c in known.columns if c != "digest"]
     known = known.groupBy("digest").agg(*[F.first(c).alias(c) for c in names])  # copies of a text have equal features
     known = materialise(known, "media-features")
-    items = resolve(sequences(stored.select("doc_id", "html")), known).where("kind = 'media'")
-    lengths = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes")
-    return items.select("doc_id", lengths, *names, "position", "caption")
+    keys = ["row", "doc_id", "n_bytes"]
+    pages = materialise(sequences(stored.select(*keys, "html"), keys), "media-sequences")
+    whole = F.filter("items", lambda i: i["caption"] == WHOLE)[0]
+    count = lambda test: F.size(F.filter("items", test))
+    documents = assemble(resolve(pages, known, keys), keys).select("*", whole.alias("w"))
+    return documents.select("doc_id", "n_bytes", *[F.col(f"w.{c}").alias(c) for c in names], F.col("w.position").alias("position"), F.col("w.caption").alias("caption"),
+                            F.size("items").alias("n_items"), count(lambda i: i["kind"] == "media").alias("n_media"), count(lambda i: (i["kind"] == "media") & i["payload_bytes"].isNull()).alias("n_unresolved"))

@@ -33,6 +33,14 @@ def test_parse_keeps_order_and_captions():
     assert M.parse(None) == [] and M.parse("") == []
 
 
+def test_unclosed_and_several_captions():
+    items = lambda h: [(i["kind"], i["text"] or i["digest"], i["caption"]) for i in M.parse(h)]
+    assert items("<figure><img src='sha256:a'><figcaption>one<p>two</figure><p>after</p>") == [("media", "a", "one two"), ("text", "after", None)]
+    assert items("<p>x<figure><img src='sha256:a' alt='no'><figcaption>cap <b>tion") == [("text", "x", None), ("media", "a", "cap tion")]
+    assert items("<figure><figcaption>1<img src='sha256:a'><figcaption>2</figcaption><img src='sha256:b'><figcaption>3</figcaption></figure>") == [("media", "a", "1"), ("media", "b", "2")]
+    assert items("<figure><img src='sha256:a'><img src='sha256:b'><figcaption>both</figcaption></figure><img src='sha256:c' alt='own'>") == [("media", "a", "both"), ("media", "b", "both"), ("media", "c", "own")]
+
+
 def test_resolve_and_assemble(spark):
     data = M.payload("picture")[0]
     store = spark.createDataFrame([("aa", M.to_png(data))], "digest string, media binary")
@@ -40,19 +48,23 @@ def test_resolve_and_assemble(spark):
     got = M.assemble(M.resolve(M.sequences(pages), M.media_features(store)))
     rows = {r.doc_id: r["items"] for r in got.collect()}
     assert [i.position for i in rows[1]] == [0, 1, 2] and rows[1][1].caption == "c" and rows[1][1].payload_sha256 == hashlib.sha256(data).hexdigest()
-    assert rows[2][0].payload_bytes is None and set(rows) == {1, 2}
+    assert rows[2][0].payload_bytes is None and rows[3] == [] and set(rows) == {1, 2, 3}
 
 
 def test_query_against_plain(spark, tmp_path):
-    texts = [(1, "a" * 64), (2, "é" * 33), (3, ""), (4, None), (5, "a" * 64), (6, "long " * 40000), (7, "\x00\n<p>")]
+    texts = [(1, "a" * 64), (2, "é" * 33), (3, ""), (4, None), (5, "a" * 64), (6, "long " * 40000), (7, "\x00\n<p>"), (7, "\x00\n<p>"), (None, "x")]
     spark.createDataFrame(texts, "doc_id long, text string").withColumn("digest", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in M.op3_media(spark, str(tmp_path)).collect()}
+    all_ = M.op3_media(spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in all_}
     for i, t in texts:
         raw = (t or "").encode()
         data = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         r = got[i]
+        turn = hashlib.sha256(data).digest()[0]
+        assert (r.n_items, r.n_media, r.n_unresolved, r.caption) == (1 + turn % 5 + 3 + 2 + 2, 3, 1, M.WHOLE)
+        assert r.position == (1 + turn % 5 if turn % 2 == 0 else r.n_items - 1)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
-    assert got[1][2:8] == got[5][2:8] and got[3].feature == got[4].feature and len(got) == len(texts)
+    assert got[1][2:8] == got[5][2:8] and got[3].feature == got[4].feature and len(all_) == len(texts)
 
 
 def test_empty(spark, tmp_path):
