@@ -6,8 +6,10 @@ L2-penalised likelihood of the labelled lines below (forward-backward gradients,
 the fit doesn't grow with the data). Viterbi decoding runs for all documents of a batch at once, one line position at a
 time. A document is kept if it passes the base rules and at least MIN_CONTENT of its words lie in content lines.
 
-Defined results: null and empty texts have no words and fail the base rules; repeated rows are judged each for itself; an
-empty table gives no rows; whole texts are read, whatever their length.
+Defined results: null and empty texts have no words and fail the base rules; where two labellings of a text score the same,
+each line takes content only if that scores strictly more; repeated rows are judged each for itself; an empty table gives no
+rows; whole texts are read, whatever their length (a long one alone, at about twenty times its size). judge() reads key and
+text only; keep() returns the columns of docs, whatever they are called.
 """
 
 from __future__ import annotations
@@ -43,17 +45,18 @@ LINES = """
 + In the second chapter the author returns to the village of her childhood.
 + She describes the mill.
 + Nobody there remembers the old name of the bridge, but the stones still carry it.
-- This work is licensed under the GNU General Public License, version 3.
+- Published under a Creative Commons licence. Some rights reserved.
 
 - Startseite | Kontakt | Impressum | Datenschutz
 + Der Bericht beschreibt, wie die Stadt nach dem Krieg wieder aufgebaut wurde.
 + Viele Häuser standen leer, und erst nach Jahren kamen die Bewohner zurück.
 - ANGEBOTE!! JETZT KAUFEN!! NUR HEUTE!! GRATIS!!
-- Home | Kontakt | Suche |
+- Seite 2 von 17 | weiter
 
-- win*** cash$$$ now%%% free### click&&& here*** bonus$$$ today%%%
-- cheap$$$ pills### online*** order%%% fast&&& safe*** best$$$ price%%%
-- buy### two&&& get*** one$$$ free%%% limited### offer&&& only***
+- $$$ Earn $500 a day $$$ *** no experience *** >>> apply <<<
+- *** 50% off *** 70% off *** up to 90% off ***
+- ### >> 100% free << ### <b>Start now & save $$$</b>
+- >>> #deal #sale #bargain #free #win #today <<<
 
 + Le train partait à six heures, et la gare était encore vide.
 + On entendait seulement le vent sur les rails et une porte qui battait.
@@ -65,9 +68,9 @@ LINES = """
 - INICIO!! OFERTAS!! COMPRA AHORA!! ENVÍO GRATIS!!
 - <<< >>> ### *** ### <<< >>>
 
-- MENU!! LOGIN!! REGISTER!! CART!! CHECKOUT!! HELP!! FAQ!!
-- WIN!! FREE!! PRIZES!! EVERY!! DAY!! JOIN!! NOW!! DON'T!! WAIT!!
-- WIN!! FREE!! PRIZES!! EVERY!! DAY!! JOIN!! NOW!! DON'T!! WAIT!!
+- ACT NOW!!! CALL TODAY!! OFFER ENDS SOON!!
+- HUGE SALE!! EVERYTHING MUST GO!! HURRY!! LAST DAYS!!
+- HUGE SALE!! EVERYTHING MUST GO!! HURRY!! LAST DAYS!!
 + A study of 412 patients found no difference between the two groups.
 + The authors conclude that the shorter course is enough in most cases (see table 3).
 

@@ -1,5 +1,6 @@
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -81,3 +82,34 @@ def test_frames(spark):
     kept = Q.keep(df)
     assert kept.columns == df.columns and [r.kept for r in kept.collect()] == ["a", "a"]
     assert Q.judge(df.where("false")).count() == 0
+
+
+def plain_verdict(text):
+    """kept by the rule itself: base rules, then the best of the labellings line by line, one document at a time."""
+    w, t = Q.weights()
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    triples = Counter(zip(words, words[1:], words[2:]))
+    twice = {i + k for i in range(len(words) - 2) if triples[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    if len(words) < 50 or 100 * len(twice) > 50 * len(words):
+        return False
+    seen, best, sizes = set(), None, []
+    for line in text.split("\n"):
+        n, r = Q.features(line, line in seen)
+        if line.strip(" \t\n\r\x0b\x0c"):
+            seen.add(line)
+        up = sum(w[i] for i in r) + w[-1]
+        sizes.append(n)
+        if best is None:
+            best = [(0.0, [0]), (up, [1])]
+        else:
+            step = [max(((best[a][0] + t[a, b], -a) for a in (0, 1))) for b in (0, 1)]
+            best = [(step[b][0] + up * b, best[-step[b][1]][1] + [b]) for b in (0, 1)]
+    states = max(best, key=lambda x: x[0])[1]
+    return sum(n for n, x in zip(sizes, states) if x) >= Q.MIN_CONTENT * sum(sizes)
+
+
+def test_verdicts_against_plain(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.kept for r in Q.judge(docs).collect()}
+    want = {r.doc_id: plain_verdict(r.text) for r in docs.collect()}
+    assert got == want and {True, False} == set(got.values())
