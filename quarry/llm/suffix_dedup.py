@@ -13,17 +13,19 @@ a LENGTH-byte window is the least hash among its GRAM-byte substrings. Consecuti
    the initial buckets; a bucket is refined by the bucket at a later offset (i + 8 for 16 bytes, i + 16 for 32, i + 18
    for LENGTH), each round reusing the numbers that the round before gave to all suffixes, and only suffixes that still
    share a bucket are sorted. A window covered by a smaller document of its chunk is settled there, before the shuffle.
-   An anchor in HOT_ROWS documents or more would still gather all their boundaries in one task. Such anchors are found in a
-   sample (which steers only the routing, never a result); their runs are dealt by content, and those of their windows
-   that a chunk leaves open are sent one by one, dealt by a hash of the window.
+   An anchor in HOT_ROWS documents or more would still gather all their boundaries in one task. Such anchors are counted in
+   a sample that grows with the corpus (it steers only the routing, never a result); their runs are dealt by content, and
+   those of their windows that a chunk leaves open are sent one by one, dealt by a hash of the window.
 3. Covered windows meet their documents again by key, once; spans are merged, and the bytes that remain are kept.
 
 The text is shuffled once: the exchange that feeds step 2 is reused by step 3. Run keys have 100 bits or more; a false
-match of whole runs needs equal keys, and step 2 compares bytes.
+match of whole runs needs equal keys, and step 2 compares bytes. A partition holds about PART_BYTES of text, so there are
+more of them the larger the corpus is.
 
 Defined results: null text is empty; texts below LENGTH bytes keep every byte; a null id counts as larger than all others;
-rows of one id never cover each other; repeated rows get equal results; an empty table gives no rows. Texts of any length
-are read whole.
+rows of one id never cover each other (a string's ties among rows of its smallest id leave it in all of them); repeated rows
+get equal results; an empty table gives no rows. Texts of any length are read whole, long ones in pieces that overlap by
+LENGTH - 1 bytes. repeats() reads key and text only; cleaned() returns the columns of docs, whatever they are called.
 """
 
 from __future__ import annotations
@@ -44,10 +46,12 @@ CHUNK = 4 << 20
 OFTEN = 8
 #: Bytes of text hashed at once.
 BLOCK = 1 << 19
+#: Bytes of text for each partition of the shuffles, at most, on average.
+PART_BYTES = 16 << 20
 LAST = (1 << 63) - 1
-#: An anchor that about so many documents hold is hot; HOT_SAMPLE documents are looked at to find such anchors.
-HOT_ROWS = 1 << 22
-HOT_SAMPLE = 20_000
+#: An anchor that about so many documents hold is hot. One document in HOT_ROWS / HOT_SEEN is looked at to find them.
+HOT_ROWS = 1 << 17
+HOT_SEEN = 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -109,20 +113,33 @@ def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def blocks_of(texts: list[bytes]):
-    """(index of the first text, texts) of blocks of about BLOCK bytes."""
+    """(index of the first text, offset in it, texts) of blocks of about BLOCK bytes. A long text comes in pieces, alone."""
     lo = total = 0
     for i, t in enumerate(texts):
+        if len(t) > 2 * BLOCK:
+            if lo < i:
+                yield lo, 0, texts[lo:i]
+            for at in range(0, len(t) - LENGTH + 1, BLOCK):
+                yield i, at, [t[at : at + BLOCK + LENGTH - 1]]
+            lo, total = i + 1, 0
+            continue
         total += len(t)
         if total >= BLOCK:
-            yield lo, texts[lo : i + 1]
+            yield lo, 0, texts[lo : i + 1]
             lo, total = i + 1, 0
     if lo < len(texts):
-        yield lo, texts[lo:]
+        yield lo, 0, texts[lo:]
 
 
 def runs_in_blocks(texts: list[bytes]) -> dict[str, np.ndarray]:
-    got = [r | {"doc": r["doc"] + lo} for lo, part in blocks_of(texts) if len((r := runs(part))["doc"])]
-    return {k: np.concatenate([g[k] for g in got]) for k in NONE} if got else NONE
+    """runs() of texts of any length. Where a long text's pieces meet a run ends: what matters is only that a document's
+    runs depend on its text alone."""
+    got = [r | {"doc": r["doc"] + lo, "start": r["start"] + at} for lo, at, part in blocks_of(texts) if len((r := runs(part))["doc"])]
+    if not got:
+        return NONE
+    out = {k: np.concatenate([g[k] for g in got]) for k in NONE}
+    out["run"] = np.arange(len(out["doc"])) - np.searchsorted(out["doc"], out["doc"])
+    return out
 
 
 def part_of(anchor: np.ndarray, parts: int) -> np.ndarray:
@@ -390,7 +407,7 @@ def send_windows(slots: list[int], hot: np.ndarray):
                 flags = np.frombuffer(b"".join(blobs), np.uint32)
                 flags = np.sort(flags[flags & np.uint32(1) == 1] >> np.uint32(1)).astype(np.int64)
                 if len(flags):
-                    r = runs([text])
+                    r = runs_in_blocks([text])
                     values += r["anchor"][flags].tolist()
                     for k, s, w, p in zip(flags.tolist(), r["start"][flags].tolist(), r["windows"][flags].tolist(), np.where(np.isin(r["anchor"][flags], hot), -1, part_of(r["anchor"][flags], parts)).tolist()):
                         ids.append(i)
@@ -442,18 +459,19 @@ def judge_windows():
 
 def removed_spans(text: bytes, run_blobs: list[bytes] | None, window_blobs: list[bytes] | None) -> list[tuple[int, int]]:
     """The maximal removed spans of a text."""
-    change = np.zeros(len(text) + 1, np.int32)
-    if run_blobs or window_blobs:
-        r = runs([text])
-        flags = np.frombuffer(b"".join(run_blobs or []), np.uint32)
-        at, _ = equal_runs(r, np.unique(flags[flags & np.uint32(1) == 0] >> np.uint32(1)).astype(np.int64))
-        np.add.at(change, r["start"][at], 1)
-        np.add.at(change, r["start"][at] + r["windows"][at] + LENGTH - 1, -1)
-        x = np.frombuffer(b"".join(window_blobs or []), np.int64).reshape(-1, 3)  # run, first window, end
-        at, k = equal_runs(r, x[:, 0])
-        np.add.at(change, r["start"][at] + x[k, 1], 1)
-        np.add.at(change, r["start"][at] + x[k, 2] + LENGTH - 1, -1)
-    return intervals(np.cumsum(change[:-1]) > 0)
+    if not run_blobs and not window_blobs:
+        return []
+    r = runs_in_blocks([text])
+    flags = np.frombuffer(b"".join(run_blobs or []), np.uint32)
+    at, _ = equal_runs(r, np.unique(flags[flags & np.uint32(1) == 0] >> np.uint32(1)).astype(np.int64))
+    x = np.frombuffer(b"".join(window_blobs or []), np.int64).reshape(-1, 3)  # run, first window, end
+    also, k = equal_runs(r, x[:, 0])
+    lo = np.concatenate([r["start"][at], r["start"][also] + x[k, 1]])
+    hi = np.concatenate([r["start"][at] + r["windows"][at], r["start"][also] + x[k, 2]]) + LENGTH - 1
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    heads = np.flatnonzero(np.append(True, lo[1:] > hi[:-1])) if len(lo) else np.zeros(0, np.int64)
+    return list(zip(lo[heads].tolist(), hi[np.append(heads[1:], len(hi)) - 1].tolist())) if len(lo) else []
 
 
 def finish(columns: list[str], make, out: str):
@@ -480,26 +498,19 @@ def finish(columns: list[str], make, out: str):
 
 
 def hot_anchors(source: DataFrame) -> np.ndarray:
-    """Anchors that, by a sample of source(_id, _text, _crc), HOT_ROWS documents or more hold. What comes to the driver is
-    bounded: an anchor must be in `least` / tasks sampled documents, and a document counts its `seen` smallest anchors only."""
-    n = source.count()
-    if n < HOT_ROWS:
-        return np.zeros(0, np.uint64)
-    share = min(1.0, HOT_SAMPLE / n)
-    least, tasks, seen = max(2, HOT_ROWS * share / 2), 4, 4096
+    """Anchors that, by a sample of source(_text), HOT_ROWS documents or more hold. Documents are counted by anchor in
+    grouped sums; what comes to the driver is the hot ones, each of which stands for HOT_ROWS documents."""
 
     def run(batches):
-        found: dict = {}
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                for a in np.unique(runs([text.encode("utf-8", "surrogatepass")])["anchor"])[:seen].tolist():
-                    found[a] = found.get(a, 0) + 1
-        hot = [a for a, k in found.items() if k >= least / tasks]
-        yield _rows(schema, anchor=np.array(hot, np.uint64).view(np.int64))
+        for b in sliced(batches):
+            found = [np.unique(runs_in_blocks([t.encode("utf-8", "surrogatepass")])["anchor"]) for t in b.column(0).to_pylist()]
+            yield _rows(schema, anchor=np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
     schema = _schema("anchor long")
-    some = source.select("_text").sample(share, 7).repartition(tasks).mapInArrow(run, "anchor long").distinct().collect()
-    return np.sort(np.array([r[0] for r in some], np.int64).view(np.uint64))
+    share = min(1.0, HOT_SEEN / HOT_ROWS)
+    seen = source.select("_text").sample(share, 7).mapInArrow(run, "anchor long")
+    hot = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS * share / 2).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
 
 
 def slots_for(spark: SparkSession, n: int) -> list[int]:
@@ -517,7 +528,8 @@ def deduplicate(docs: DataFrame, make, out: str, key: str = "doc_id", text: str
     """One row, of schema out, for each row of docs: make(values of docs' columns, text, spans, kept bytes)."""
     spark = docs.sparkSession
     prepare_python(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     slots = slots_for(spark, n)
     keyed = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc")]
     hot = hot_anchors(docs.select(*keyed))

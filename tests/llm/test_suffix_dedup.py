@@ -60,14 +60,41 @@ def test_small_chunks(spark, monkeypatch):
     """Documents of one passage in different chunks and blocks."""
     monkeypatch.setattr(S, "CHUNK", 300)
     monkeypatch.setattr(S, "OFTEN", 2)
-    monkeypatch.setattr(S, "BLOCK", 200)
+    monkeypatch.setattr(S, "BLOCK", 1000)
     rows = corpus(3, "abcdefghijklmnop ")
     texts = [t.encode() for _, t in rows]
     a, b = S.runs(texts), S.runs_in_blocks(texts)
     assert all((a[k] == b[k]).all() for k in a)
+    monkeypatch.setattr(S, "BLOCK", 100)  # now most texts are long ones, in pieces
+    assert len(S.runs_in_blocks(texts)["doc"]) > len(b["doc"])
     assert result(spark, rows) == brute(rows)
 
 
+def test_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 1000)
+    rows = corpus(11, "abcdefgh ")
+    assert result(spark, rows) == brute(rows)
+
+
+def test_hot_anchors_at_full_size(spark):
+    """A passage in all of 110,000 documents, with the constants as they are."""
+    line = "this passage of more than fifty bytes stands in every document of the table"
+    df = spark.range(110_000).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(line), F.xxhash64("id").cast("string")).alias("text"))
+    assert len(S.hot_anchors(df.select(F.col("text").alias("_text")))) > 0
+    got = S.repeats(df).groupBy("n_spans").agg(F.count("*").alias("n"), F.min("n_removed").alias("least"), F.min("doc_id").alias("first")).collect()
+    # A byte or two beside the passage may agree as well.
+    assert {r.n_spans: r.n for r in got} == {0: 1, 1: 109_999}
+    assert all(r.first == 0 if r.n_spans == 0 else r.least == len(line) for r in got)
+
+
+def test_a_text_of_many_megabytes(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefghijklmnop ") for _ in range(3_000_000))
+    rows = [(1, long), (2, "x" + long[1000:2_500_000] + "y" + long[:60]), (3, long[700_000:700_100])]
+    got = result(spark, rows)
+    assert [(g[2], g[3]) for g in got] == [(0, 0), (2_499_000 + 60, 2), (100, 1)]
+
+
 def test_hot_anchors(spark, monkeypatch):
     """Everything that ten documents share counts as hot."""
     monkeypatch.setattr(S, "HOT_ROWS", 10)
