@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -111,7 +112,6 @@ def give_back() -> None:
     """Return free memory to the system at the end of a task: workers are reused, and what one operator's arrays leave in
     the allocators would add to what the next one takes."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
@@ -169,9 +169,12 @@ def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> Dat
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete these tables, or all that materialise() wrote for this application, once no result that reads them is needed
-    any more. The shipped code stays: executors that come later fetch it."""
+    any more. The shipped code stays: executors that come later fetch it. Spark deletes shuffle files when the driver's
+    collector finds their plans gone, which may be long after; it is asked to look now."""
     gone = list(written(spark) if paths is None else paths)
     for at in gone:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     _written[spark.sparkContext.applicationId] = [p for p in written(spark) if p not in set(gone)]
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
