@@ -60,7 +60,7 @@ def to_png(data: bytes) -> bytes:
     rows = np.zeros((len(data) // WIDTH, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
+    return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def from_png(data: bytes) -> bytes:
@@ -230,36 +230,40 @@ def page_of(data: bytes) -> tuple[str, list[tuple[str, bytes]]]:
 
 
 def documents_as_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html, store (an array of digest, media): each document as page_of() its text's payload."""
+    """doc_id, n_bytes, items, store (an array of digest, media): each document as the items that parse() finds in page_of()
+    its text's payload, and the stored form of its pictures."""
 
     def make():
         def f(b):
-            out: dict = {"doc_id": b["doc_id"], "n_bytes": [], "html": [], "store": []}
+            out: dict = {"doc_id": b["doc_id"], "n_bytes": [], "items": [], "store": []}
             for text in b["text"]:
                 data, n = payload(text)
                 html, pictures = page_of(data)
                 out["n_bytes"].append(n)
-                out["html"].append(html)
+                out["items"].append(parse(html))
                 out["store"].append([{"digest": d, "media": to_png(p)} for d, p in dict(pictures).items()])
             return out
 
         return f
 
-    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, html string, store array<struct<digest:string,media:binary>>")
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, items array<{ITEM}>, store array<struct<digest:string,media:binary>>")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One written table, read by columns: pages here, the media store there. row tells repeated documents apart.
+    # One written table, read by columns: pages here, the media store there. row tells repeated documents apart. Digests are
+    # shuffled as bytes, half as long as their hexadecimal form.
     stored = documents_as_pages(table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id())
     stored = materialise(stored, "media-store")
     known = media_features(stored.select(F.explode("store").alias("s")).select("s.*"))
-    names = [c for c in known.columns if c != "digest"]
+    names, hashes = [c for c in known.columns if c != "digest"], ("payload_sha256", "media_sha256")
+    known = known.select(F.unhex("digest").alias("digest"), *[F.unhex(c).alias(c) if c in hashes else F.col(c) for c in names])
     known = known.groupBy("digest").agg(*[F.first(c).alias(c) for c in names])  # copies of a text have equal features
     known = materialise(known, "media-features")
     keys = ["row", "doc_id", "n_bytes"]
-    pages = materialise(sequences(stored.select(*keys, "html"), keys), "media-sequences")
+    pages = stored.select(*keys, F.transform("items", lambda i: i.withField("digest", F.unhex(i["digest"]))).alias("items"))
     whole = F.filter("items", lambda i: i["caption"] == WHOLE)[0]
     count = lambda test: F.size(F.filter("items", test))
     documents = assemble(resolve(pages, known, keys), keys).select("*", whole.alias("w"))
-    return documents.select("doc_id", "n_bytes", *[F.col(f"w.{c}").alias(c) for c in names], F.col("w.position").alias("position"), F.col("w.caption").alias("caption"),
+    shown = [F.lower(F.hex(f"w.{c}")).alias(c) if c in hashes else F.col(f"w.{c}").alias(c) for c in names]
+    return documents.select("doc_id", "n_bytes", *shown, F.col("w.position").alias("position"), F.col("w.caption").alias("caption"),
                             F.size("items").alias("n_items"), count(lambda i: i["kind"] == "media").alias("n_media"), count(lambda i: (i["kind"] == "media") & i["payload_bytes"].isNull()).alias("n_unresolved"))
