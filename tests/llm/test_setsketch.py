@@ -163,3 +163,9 @@ def test_a_long_text_is_hashed_in_pieces(monkeypatch):
     monkeypatch.setattr(S, "PIECE", 1000)
     assert (S.shingle_sets([text, None, "a b"])[0] == whole).all()
     assert S.shingle_sets([" " * 5000, "x" * 5000])[1].size == 1
+
+
+def test_the_given_documents(spark, sf):
+    """All links of the given table, of any similarity above the threshold."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert result(spark, rows) == brute(rows)
