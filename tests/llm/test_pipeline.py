@@ -4,9 +4,12 @@ from collections import Counter
 import numpy as np
 import sentencepiece
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from quarry.llm import mixing, piece_bpe, quality_rules
 from quarry.llm import suffix_dedup as S
+from quarry.llm.common import materialise
 from tests.llm.test_setsketch import brute as near
 from tests.llm.test_suffix_dedup import L
 
@@ -76,3 +79,18 @@ def test_stages_return_documents(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0
     assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
     assert [n for n, _ in P.STAGES] == ["quality rules", "near dedup", "repeated passages", "mixing", "encoding"]
+
+
+def test_stages_with_extra_columns(spark, tmp_path):
+    """Columns named as the operators name theirs pass through all stages but the last."""
+    extra = ["kept", "part", "_key", "_id", "_crc", "size", "u", "r", "n", "component", "bucket", "id", "spans", "n_words"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(table()[:12] + table()[30:], schema)
+    for k, c in enumerate(extra):
+        docs = docs.withColumn(c, F.lit(k))
+    docs = materialise(docs, "test-extra")
+    for name, stage in P.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, str(tmp_path)), "test-extra")
+        rows = docs.collect()
+        assert rows and all(r[c] == k for r in rows for k, c in enumerate(extra)), name
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
