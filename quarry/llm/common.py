@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,27 @@ def unit_hash(*cols) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+#: Polynomial hashes of byte ranges: prefix sums over powers of ODD, shifted back by powers of its inverse, then mixed.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
+_powers: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def mix_bits(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in ((0, ODD), (1, _INVERSE)):
+            a = np.full(max(n, 1 << 20), base, np.uint64)
+            a[0] = 1
+            _powers[k] = np.cumprod(a)
+    return _powers[0][:n], _powers[1][:n]
+
+
 #: Documents that cross to Python at once, and bytes of text that are worked on at once: long texts may lie together, and
 #: a text's words take many times its size in Python.
 BATCH_ROWS = 500
@@ -125,7 +147,6 @@ def give_back() -> None:
 
 def slices(batch, rows: int, size: int = BATCH_BYTES):
     """A batch in slices of at most `rows` rows and, but for single rows, about `size` bytes of texts, binaries and arrays."""
-    import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 

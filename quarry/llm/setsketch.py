@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, materialise, prepare_python, table
+from quarry.llm.common import map_batches, materialise, mix_bits, powers_to, prepare_python, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -59,40 +59,22 @@ PIECE = 1 << 20
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, np.uint32)
 _MUL = _rng.integers(0, 1 << 31, REGISTERS, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in ((0, _ODD), (1, _INVERSE)):
-            a = np.full(max(n, 1 << 20), base, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(words), np.uint8)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size)
     start = end - size
-    up, down = _powers_to(len(data) + 1)
+    up, down = powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * down[start] + size.astype(np.uint64))
+    return mix_bits((sums[end] - sums[start]) * down[start] + size.astype(np.uint64))
 
 
 def pieces(data: bytes):
@@ -128,7 +110,7 @@ def shingle_sets(texts: list) -> list[np.ndarray]:
             h = np.full(len(w) - n + 1, n, np.uint64)
             for j in range(n):
                 h = h * _STEP + w[j : j + len(h)]
-            out[k] = np.unique(_mix(h))
+            out[k] = np.unique(mix_bits(h))
     return out
 
 

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BATCH_ROWS, give_back, materialise, prepare_python, slices, table
+from quarry.llm.common import BATCH_ROWS, ODD, give_back, materialise, mix_bits, powers_to, prepare_python, slices, table
 
 LENGTH = 50
 GRAM = 20
@@ -53,27 +53,9 @@ LAST = (1 << 63) - 1
 HOT_ROWS = 1 << 17
 HOT_SEEN = 64
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_powers: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _KEY = (1 << 40) - 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in ((0, _ODD), (1, _INVERSE)):
-            a = np.full(max(n, BLOCK * 2), base, np.uint64)
-            a[0] = 1
-            _powers[k] = np.cumprod(a)
-    return _powers[0][:n], _powers[1][:n]
-
-
 NONE = {"doc": np.zeros(0, np.int64), "run": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "windows": np.zeros(0, np.int64), "anchor": np.zeros(0, np.uint64), "bytes": np.zeros(0, np.uint64)}
 
 
@@ -86,10 +68,10 @@ def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
         return NONE
     data = np.frombuffer(b"".join(texts), np.uint8)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-    up, down = _powers_to(n + 1)
+    up, down = powers_to(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    low = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    low = mix_bits((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
     span, k = LENGTH - GRAM + 1, 1
     while 2 * k <= span:
         low, k = np.minimum(low[:-k], low[k:]), 2 * k
@@ -108,7 +90,7 @@ def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
     windows = last - first
     return {
         "doc": doc, "run": np.arange(len(first)) - np.searchsorted(doc, doc), "start": first - begin[doc], "windows": windows, "anchor": low[first],
-        "bytes": _mix((sums[last + LENGTH - 1] - sums[first]) * down[first] + windows.astype(np.uint64)),
+        "bytes": mix_bits((sums[last + LENGTH - 1] - sums[first]) * down[first] + windows.astype(np.uint64)),
     }
 
 
@@ -144,7 +126,7 @@ def runs_in_blocks(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def part_of(anchor: np.ndarray, parts: int) -> np.ndarray:
     # Anchors are minima, so their own leading bits are mostly zero: they are mixed again to spread evenly.
-    return ((_mix(anchor) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    return ((mix_bits(anchor) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
 def settle(group: np.ndarray, content: np.ndarray, doc: np.ndarray, hot: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +204,7 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
 def equal_runs(r: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(run, k): every run of a document that has the bytes of chosen[k], itself included. A verdict on one of a
     document's equal runs holds for all, so only one of them is sent."""
-    key = _mix(r["anchor"] * _ODD ^ r["bytes"])
+    key = mix_bits(r["anchor"] * ODD ^ r["bytes"])
     order = np.argsort(key, kind="stable")
     lo, hi = (np.searchsorted(key[order], key[chosen], side) for side in ("left", "right"))
     n = hi - lo
@@ -360,10 +342,10 @@ def judge_runs():
 
 def window_hashes(data: bytes) -> np.ndarray:
     n = len(data)
-    up, down = _powers_to(n + 1)
+    up, down = powers_to(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return _mix((sums[LENGTH:] - sums[:-LENGTH]) * down[: n - LENGTH + 1])
+    return mix_bits((sums[LENGTH:] - sums[:-LENGTH]) * down[: n - LENGTH + 1])
 
 
 def send_windows(slots: list[int], hot: np.ndarray):
