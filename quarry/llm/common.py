@@ -56,6 +56,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df, a written table that a join may broadcast, kept from it if its rows take more than the session's threshold. The
+    planner goes by the size of the files, which are compressed. Where that leaves room for doubt (above an eighth of a
+    percent of the threshold), one aggregate counts rows and bytes of texts, binaries and arrays."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    limit, stored = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold(), int(str(plan.stats().sizeInBytes()))
+    if not limit / 800 < stored <= limit:
+        return df
+    bytes_, width = [F.lit(0)], 16 + 8 * len(df.columns)
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            bytes_.append(F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)))
+        elif kind.startswith(("array", "map", "struct")):
+            bytes_.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0)))
+    taken = df.agg(F.coalesce(F.sum(sum(bytes_[1:], bytes_[0]) + F.lit(width)), F.lit(0)).cast("long")).first()[0]
+    return df.hint("merge") if taken > limit else df
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """names, with underscores before those that df has as columns (Spark's names ignore case)."""
     taken, out = {c.lower() for c in df.columns}, []

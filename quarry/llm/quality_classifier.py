@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, materialise, table, unit_hash
+from quarry.llm.common import map_batches, materialise, sized, table, unit_hash
 
 MAX_LABELLED = 20_000
 KEEP = 0.5
@@ -97,7 +97,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("k"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text).alias("t"))
     rows = materialise(map_batches(rows, make, f"k {kinds[key]}, host string, path string, " + ", ".join(f"{f} double" for f in FEATURES)), "quality-features")
     said = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("double").alias("y"), F.max(label).cast("double").alias("z")).where("y = z").select("k", "y")
-    said = materialise(said, "quality-labels")  # its size is then known: small ones are broadcast
+    said = sized(materialise(said, "quality-labels"))  # its size is then known: small ones are broadcast
     known = materialise(rows.join(said, "k").select("host", "path", *FEATURES, "y", unit_hash("k").alias("h")), "quality-labelled")
     bar = int((1 << 60) * min(1.0, 0.95 * MAX_LABELLED / max(known.count(), 1)))  # the share with the smallest hash
     sample = known.where(F.col("h") <= bar).orderBy("h", *FEATURES, "y").select(*FEATURES, "y").limit(MAX_LABELLED).collect()
@@ -116,7 +116,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     b = strength(paths.alias("p").join(hosts.alias("h"), F.expr("p.host <=> h.host")).select("n", "good", F.col("host_posterior").alias("parent")))
     # One row a host or path with labels; their sizes are known to the planner from here.
     rows = rows.join(said, "k", "left").select("k", "host", "path", p.alias("p_doc"), "y").alias("d")
-    joined = rows.join(hosts.alias("h"), F.expr("d.host <=> h.host"), "left").join(paths.alias("p"), F.expr("d.host <=> p.host AND d.path <=> p.path"), "left")
+    joined = rows.join(sized(hosts).alias("h"), F.expr("d.host <=> h.host"), "left").join(sized(paths).alias("p"), F.expr("d.host <=> p.host AND d.path <=> p.path"), "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     joined = joined.select("d.*", count("host_n").alias("host_n"), count("host_good").alias("host_good"), count("n").alias("n"), count("good").alias("good"))
     own = F.col("y").isNotNull().cast("int")

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, materialise, mix_bits, powers_to, prepare_python, table
+from quarry.llm.common import map_batches, materialise, mix_bits, powers_to, prepare_python, sized, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -210,7 +210,7 @@ def confirmed(pairs: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFra
     side = lambda d, c: d.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     near = materialise(map_batches(pairs.join(side(sketched, "a"), "a").join(side(sketched, "b"), "b"), estimate, "a long, b long").distinct(), "near-pairs")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-    return map_batches(near.join(side("a"), "a").join(side("b"), "b"), compare, "a long, b long")
+    return map_batches(sized(near).join(side("a"), "a").join(side("b"), "b"), compare, "a long, b long")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -220,10 +220,10 @@ def stars(edges: DataFrame) -> DataFrame:
     while True:
         two_way = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(two_way.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "link-least")
-        large = two_way.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = two_way.where("b > a").join(sized(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = materialise(large, "link-large")
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "link-least")
-        small = large.join(least, "a")
+        small = large.join(sized(least), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a > b").distinct()
         edges = materialise(small, "link-small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -268,7 +268,7 @@ def meetings(sets: DataFrame) -> DataFrame:
     open_ = materialise(open_, "near-open-shingles")
     # Shingles of one component come first in the order, so the place of an open one counts from the end.
     last = Window.partitionBy("r").orderBy(F.desc("df"), F.desc("token"))
-    early = all_.join(open_, "token").withColumn("at", F.col("n") - F.row_number().over(last))
+    early = all_.join(sized(open_), "token").withColumn("at", F.col("n") - F.row_number().over(last))
     early = materialise(early.where(F.col("at") <= F.col("n") - needed(F.col("n"), F.lit(1))).select("token", "r", "component", "n", "at"), "near-early")
     least = early.groupBy("token").agg(F.min("n").alias("least"), several.alias("open")).where("open").select("token", "least")
     early = early.join(least, "token").where(F.col("at") <= F.col("n") - needed(F.col("n"), F.col("least"))).select(F.col("token").alias("bucket"), "r", "component", "n", "at")
@@ -290,7 +290,7 @@ def in_blocks(members: DataFrame, data: DataFrame, size: F.Column, work, schema:
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = lambda main: F.ceil(F.greatest(F.sum(F.when(F.col("main") == main, size).otherwise(0)) / BLOCK_BYTES, F.count_if(F.col("main") == main) / BLOCK_ROWS)).cast("int")
     sizes = materialise(members.groupBy("bucket").agg(blocks(True).alias("n_main"), blocks(False).alias("n_rest")), "near-bucket-sizes")
-    rows = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("r"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    rows = members.join(sized(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("r"), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
     rows = rows.join(data, "r")
     fields = [c for c in rows.columns if c not in ("bucket", "n_main", "n_rest", "main", "block")]
     packed = materialise(rows.groupBy("bucket", "n_main", "n_rest", "main", "block").agg(F.collect_list(F.struct(*fields)).alias("rows")), "near-blocks")
@@ -396,25 +396,25 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     band = [F.xxhash64(F.lit(i), F.substring("registers", 2 * i * BAND_ROWS + 1, 2 * BAND_ROWS)) for i in range(BANDS)]
     bands = classes.select(F.col("class").alias("id"), F.explode(F.array(*band)).alias("bucket"))
     pivots = materialise(bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("last > pivot").select("bucket", "pivot"), "near-pivots")
-    shared = materialise(bands.join(pivots, "bucket"), "near-members")
+    shared = materialise(bands.join(sized(pivots), "bucket"), "near-members")
     ids = shared.select("id").distinct()
-    sets = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(materialise(ids, "near-ids"), "id", "left_semi")
+    sets = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(sized(materialise(ids, "near-ids")), "id", "left_semi")
     sets = materialise(with_sets(sets).where("n > 0"), "near-sets")
     if not sets.groupBy("r").count().where("count > 1").isEmpty():  # repeated rows
         sets = materialise(sets.dropDuplicates(["r"]), "near-sets")
     edges = confirmed(shared.where("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), sketched, sets)
     links = stars(edges)
     # What the pivots did not settle: buckets of more than one component.
-    named = links.select(F.col("a").alias("id"), "b")
+    named = sized(links).select(F.col("a").alias("id"), "b")
     placed = materialise(shared.select("bucket", "id").join(named, "id", "left").select("bucket", "id", F.coalesce("b", "id").alias("component")), "near-placed")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    open_ = materialise(placed.join(materialise(open_, "near-open"), "bucket").select("id", "component").distinct(), "near-open-ids")
-    more = materialise(across(materialise(sets.join(open_, "id"), "near-open-sets")), "near-across")
+    open_ = materialise(placed.join(sized(materialise(open_, "near-open")), "bucket").select("id", "component").distinct(), "near-open-ids")
+    more = materialise(across(materialise(sets.join(sized(open_), "id"), "near-open-sets")), "near-across")
     if not more.isEmpty():
         links = stars(links.unionByName(more))
-    top = classes.select("digest", "class").join(links.select(F.col("a").alias("class"), F.col("b")), "class", "left").select("digest", F.coalesce("b", "class").alias("component"))
+    top = classes.select("digest", "class").join(sized(links).select(F.col("a").alias("class"), F.col("b")), "class", "left").select("digest", F.coalesce("b", "class").alias("component"))
     top = materialise(top, "near-components")
-    return drawn.select("id", "n_shingles", "digest").join(top, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    return drawn.select("id", "n_shingles", "digest").join(sized(top), "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -427,7 +427,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     with a null id can't be told apart by key and stay. Only the dropped ids meet docs, broadcast if they are few."""
     judged = materialise(near_duplicates(docs, key, text), "near-judged")
     gone = judged.where(f"NOT kept AND {key} IS NOT NULL").select(key).distinct()
-    out = docs.join(materialise(gone, "near-dropped"), key, "left_anti").select(*docs.columns)
+    out = docs.join(sized(materialise(gone, "near-dropped")), key, "left_anti").select(*docs.columns)
     twice = materialise(judged.where("kept").groupBy(key).count().where("count > 1").select(key), "near-repeated")
     if twice.isEmpty():
         return out

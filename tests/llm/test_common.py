@@ -77,3 +77,27 @@ def test_released_tables_are_gone(spark):
     a, b = C.materialise(spark.range(3), "a"), C.materialise(spark.range(4), "b")
     C.release(spark, C.written(spark)[begun:-1])
     assert b.count() == 4 and len(C.written(spark)) == begun + 1
+
+
+def test_broadcast_goes_by_the_size_of_rows(spark, tmp_path, monkeypatch):
+    """A column of one value is a small file of large rows: planner and operator must not send it to every executor."""
+    monkeypatch.setattr(C, "shared_dir", lambda s: f"file://{tmp_path}")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    few = C.materialise(spark.range(10).select("id", F.lit("x").alias("t")), "few")
+    many = C.materialise(spark.range(20_000).select("id", F.lit("y" * 100).alias("t"), F.array(F.lit("z" * 50)).alias("a")), "many")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    big = C.materialise(spark.range(200_000).select((F.col("id") % 20_000).alias("id"), F.xxhash64("id").alias("v")), "big")
+    try:
+        spark.conf.set(name, str(1 << 20))
+        stored = sum(f.stat().st_size for f in tmp_path.rglob("many-*/*.parquet"))
+        assert stored < 1 << 20 and "BroadcastHashJoin" in plan(big.join(many, "id"))
+        joined = big.join(C.sized(many), "id")
+        assert "SortMergeJoin" in plan(joined) and joined.count() == 200_000
+        assert "BroadcastHashJoin" in plan(big.join(C.sized(few), "id"))
+        assert "SortMergeJoin" in plan(big.join(C.sized(many).select("id", F.lit(1).alias("one")), "id", "left_semi"))
+        spark.conf.set(name, "-1")
+        assert C.sized(many) is many
+    finally:
+        spark.conf.set(name, before)
+        C.release(spark)
