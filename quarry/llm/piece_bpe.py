@@ -4,31 +4,36 @@ A model file is read into flat arrays: for every pair of symbols whose concatena
 rank (the order of scores, best first). Texts are cut where no piece can reach across: before a run of word marks, and
 around characters that no piece holds next to each other. The distinct words of a batch then lie in one flat symbol array;
 each round looks up all neighbouring pairs, takes in every word the pair of least rank, leftmost on ties (a segmented
-minimum), merges all of these at once and compacts the array; words without a mergeable pair leave it. One merge a word
-and round is exactly the library's order. A word of more than LONG symbols would take as many rounds, so it goes through
-a heap of its own with the same order.
+minimum), from round PLAIN on also every further pair that the library is sure to merge whatever comes before it (see
+PieceModel._sure), merges all of these at once and compacts the array; words without a mergeable pair leave it. So the
+result is exactly that of the library, which merges one pair after another, and words of any length take few rounds.
 
 Covered: BPE models with the identity normaliser, a dummy prefix, kept white space and byte fallback; others are refused.
-Defined results: null and empty texts have no ids and decode to the empty text; texts are never cut short.
+Defined results: null and empty texts have no ids and decode to the empty text; texts are never cut short, and a very long
+word takes about 150 bytes a character while it is merged; pairs of equal rank merge from the left; repeated rows are encoded
+each for itself, with equal results; an empty table gives no rows. Only the named columns are read, so extra columns may have
+any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import map_batches, table
+from quarry.llm.common import map_batches, powers_to, table
 
 MARK = "▁"
-LONG = 128
+#: Rounds of one merge a word: most words end in them, for less than the search for further pairs costs.
+PLAIN = 8
 #: Words a task keeps, in all; about 400 bytes each.
 CACHE = 500_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: The rank of a pair that is no piece.
+NO_RANK = np.int64(np.iinfo(np.int32).max)
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -90,8 +95,17 @@ class PieceModel:
         pairs = sorted((symbol[p[:k]] * (self.none + 1) + symbol[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol)
         self.pair_keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
         self.pair_to = np.array([i for _, i in pairs] + [-1], np.int32)
-        self.rank = np.append(rank, np.iinfo(np.int32).max).astype(np.int64)  # rank[-1] belongs to "no pair"
-        self.pair = {k: i for k, i in pairs}
+        self.rank = np.append(rank, NO_RANK).astype(np.int64)  # rank[-1] belongs to "no pair"
+        #: Ranks of pieces by a hash of their text. Where hashes meet the best rank counts, so _sure() errs on the safe side.
+        self.longest = max(map(len, ids))
+        codes = np.zeros((len(ids), self.longest), np.uint64)
+        for row, p in zip(codes, ids):
+            row[: len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32) + np.uint64(1)
+        keys = (codes * powers_to(self.longest)[0]).sum(1, dtype=np.uint64)
+        order = np.lexsort((rank[list(ids.values())], keys))
+        first = np.append(True, np.diff(keys[order]) != 0)
+        self.text_keys = np.append(keys[order][first], np.uint64(np.iinfo(np.uint64).max))
+        self.text_rank = np.append(rank[list(ids.values())][order][first], NO_RANK).astype(np.int64)
         #: Code point pairs that stand next to each other in some piece.
         self.touching = np.unique(np.array([(ord(a) << 21) | ord(b) for p in ids for a, b in zip(p, p[1:])], np.int64))
         self.whole_lines = any("\n" in p for p in ids)
@@ -122,7 +136,7 @@ class PieceModel:
         # Cut words where no piece holds both neighbours: each part is merged for itself.
         joined = np.isin((points[:-1].astype(np.int64) << 21) | points[1:], self.touching) & (owner[:-1] == owner[1:]) if len(points) else np.zeros(0, bool)
         part = np.concatenate([[0], np.cumsum(~joined)]) if len(points) else np.zeros(0, np.int64)
-        final = self._merge(symbols, part)
+        final = self._merge(symbols, part, points)
         ends = np.searchsorted(owner[final[1]], np.arange(len(words) + 1))
         flat, start = final[0].tolist(), np.concatenate([[0], np.cumsum(lengths)])
         for i, w in enumerate(words):
@@ -133,30 +147,26 @@ class PieceModel:
             out[i] = got
         return out
 
-    def _merge(self, symbols: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self, symbols: np.ndarray, part: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols and where each began, in text order."""
         n = len(symbols)
         if not n:
             return symbols, np.zeros(0, np.int64)
+        up, down = powers_to(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         done_s, done_p = [], []
-        at = np.arange(n)
-        sizes = np.bincount(part)
-        for k in np.flatnonzero(sizes > LONG):
-            lo = np.searchsorted(part, k)
-            s, p = self._heap(symbols[lo : lo + sizes[k]].tolist())
-            done_s.append(np.array(s, np.int32))
-            done_p.append(np.array(p) + lo)
-        keep = (sizes <= LONG)[part]
-        sym, at, seg = symbols[keep], at[keep], part[keep]
-        to = np.full(len(sym), -1, np.int32)
-        if len(sym) > 1:
-            same = seg[:-1] == seg[1:]
-            to[:-1][same] = self.merged(sym[:-1][same], sym[1:][same])
+        sym, at, seg = symbols, np.arange(n), part
+        end = at + 1
+        to = np.full(n, -1, np.int32)
+        same = seg[:-1] == seg[1:]
+        to[:-1][same] = self.merged(sym[:-1][same], sym[1:][same])
+        turn = 0
         while len(sym):
             heads = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            key = (self.rank[to] << 32) | np.arange(len(sym))
-            best = np.minimum.reduceat(key, heads)
-            live = (best >> 32) < np.iinfo(np.int32).max
+            rank = self.rank[to]
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), heads)
+            live = (best >> 32) < NO_RANK
             if not live.all():
                 gone = np.repeat(~live, np.diff(np.append(heads, len(sym))))
                 done_s.append(sym[gone])
@@ -164,17 +174,20 @@ class PieceModel:
                 stay = ~gone
                 where = np.cumsum(stay) - 1
                 best = where[best[live] & 0xFFFFFFFF]
-                sym, at, seg, to = sym[stay], at[stay], seg[stay], to[stay]
+                sym, at, end, seg, to, rank = sym[stay], at[stay], end[stay], seg[stay], to[stay], rank[stay]
                 if not len(sym):
                     break
             else:
                 best = best & 0xFFFFFFFF
-            sym[best] = to[best]
+            turn += 1
+            if turn > PLAIN:
+                best = self._sure(best, sym, rank, seg, at, end, sums, down)
+            sym[best], end[best] = to[best], end[best + 1]
             stay = np.ones(len(sym), bool)
             stay[best + 1] = False
             where = np.cumsum(stay) - 1
             best = where[best]
-            sym, at, seg, to = sym[stay], at[stay], seg[stay], to[stay]
+            sym, at, end, seg, to = sym[stay], at[stay], end[stay], seg[stay], to[stay]
             for p in (best, best[best > 0] - 1):  # only pairs beside a merge are new
                 to[p] = -1
                 p = p[p + 1 < len(sym)]
@@ -184,34 +197,63 @@ class PieceModel:
         order = np.argsort(p, kind="stable")
         return s[order], p[order]
 
-    def _heap(self, sym: list[int]) -> tuple[list[int], list[int]]:
-        """The same merges for one long word: the best pair first, leftmost on ties, from a heap with stale entries."""
-        n, m = len(sym), self.none + 1
-        nxt, prv, heap, rank, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [], self.rank, self.pair
-
-        def push(i):
-            j = nxt[i]
-            if j < n and (to := pair.get(sym[i] * m + sym[j])) is not None:
-                heap.append((int(rank[to]), i, j, sym[i], sym[j], to)) if building else heapq.heappush(heap, (int(rank[to]), i, j, sym[i], sym[j], to))
-
-        building = True
-        for i in range(n):
-            push(i)
-        heapq.heapify(heap)
-        building = False
-        while heap:
-            _, i, j, a, b, to = heapq.heappop(heap)
-            if sym[i] != a or nxt[i] != j or sym[j] != b:
-                continue
-            sym[i], sym[j] = to, -1
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            if prv[i] >= 0:
-                push(prv[i])
-            push(i)
-        at = [i for i in range(n) if sym[i] >= 0]
-        return [sym[i] for i in at], at
+    def _sure(self, best, sym, rank, seg, at, end, sums, down) -> np.ndarray:
+        """best, and the pairs that the library will merge whatever it merges before, and that change nothing if merged now:
+        symbols only grow, so whatever may reach into a pair, or take in what it becomes, is a run of symbols from its
+        neighbourhood, and none of these is a piece of the pair's rank or a better one. In a run of one symbol, which merges
+        from its left, every second pair is sure as long as those before it are."""
+        n = len(sym)
+        ok = np.zeros(n, bool)
+        ok[1:] = rank[1:] < rank[:-1]
+        ok[0] = rank[0] < NO_RANK
+        ok[:-1] &= rank[:-1] < rank[1:]
+        twin = np.zeros(n, bool)
+        np.logical_and(sym[:-1] == sym[1:], rank[:-1] < NO_RANK, out=twin[:-1])
+        runs = bool((twin[:-1] & twin[1:]).any())
+        if runs:
+            place, first = np.arange(n), twin.copy()
+            first[1:] &= ~twin[:-1]
+            starts = np.maximum.accumulate(np.where(first, place, -1))
+            even = twin & ((place - starts) % 2 == 0)
+            tied = even & ~first  # with the pair before; and with the one after, if that is a twin too
+            before, after = np.append(NO_RANK, rank[:-1]), np.append(rank[1:], NO_RANK)
+            ok = np.where(twin, even & (tied | (before > rank)) & ((after > rank) | np.append(twin[1:], False)), ok)
+        ok[best] = False
+        c = np.flatnonzero(ok)
+        ok[best] = True
+        if not len(c):
+            return best
+
+        def ranks(lo, hi):
+            keys = (sums[hi] - sums[lo]) * down[lo]
+            k = np.searchsorted(self.text_keys, keys)
+            return np.where(self.text_keys[k] == keys, self.text_rank[k], NO_RANK)
+
+        for way in (-1, 1):
+            near, far = (c, c + 1) if way < 0 else (c + 1, c)  # the symbol that is reached first, the other one
+            left = np.arange(len(c))  # pairs that are still to be looked at
+            for k in range(1, self.longest):
+                x = near[left] + way * k
+                left, x = (y[(x >= 0) & (x < n)] for y in (left, x))
+                reach = (end[near[left]] - at[x] if way < 0 else end[x] - at[near[left]]) <= self.longest
+                inside = reach & (seg[x] == seg[c[left]]) & ok[c[left]]
+                left, x = left[inside], x[inside]
+                if not len(left):
+                    break
+                r = rank[c[left]]
+                for other in (near, far):
+                    lo, hi = (at[x], end[other[left]]) if way < 0 else (at[other[left]], end[x])
+                    short = np.flatnonzero(hi - lo <= self.longest)
+                    got = ranks(lo[short], hi[short])
+                    bad = got <= r[short]
+                    if runs and k == 1 and other is near:
+                        i = c[left[short]]
+                        bad &= (got < r[short]) | ~(tied[i] if way < 0 else twin[i] & twin[i + 1])
+                    ok[c[left[short[bad]]]] = False
+        if runs:
+            broken = np.maximum.accumulate(np.where(even & ~ok, place, -1))
+            ok &= ~twin | (broken < starts)
+        return np.flatnonzero(ok)
 
     def decode_inner(self, ids) -> str:
         """decode() of ids that don't begin a text, whose dummy prefix stays."""

@@ -44,11 +44,35 @@ def test_decode_any_ids(library, encoder):
         assert encoder.model.decode(ids) == library.decode(ids)
 
 
-def test_long_words_go_through_the_heap(encoder, library):
+LONG_ALPHABETS = ["x", "ab", "aehinorst", "=-_.*#$", "acgt", "aàéëñ", "".join(map(chr, range(0x4E00, 0x4E40)))]
+
+
+@pytest.mark.parametrize("alphabet", LONG_ALPHABETS)
+@pytest.mark.parametrize("plain", [0, P.PLAIN])
+def test_long_words_take_few_rounds(encoder, library, monkeypatch, alphabet, plain):
+    rounds, sure = [0], P.PieceModel._sure
+
+    def counted(*args):
+        rounds[0] += 1
+        return sure(*args)
+
+    monkeypatch.setattr(P, "PLAIN", plain)
+    monkeypatch.setattr(P.PieceModel, "_sure", counted)
     rng = random.Random(1)
-    for n in (P.LONG - 1, P.LONG, P.LONG + 1, 3000):
-        text = "".join(rng.choice("aehinorst") for _ in range(n))
+    for n in (2, 17, 129, 3000, 20_000):
+        text = "".join(rng.choice(alphabet) for _ in range(n))
+        rounds[0] = 0
         assert encoder.ids(text) == library.encode(text)
+        assert rounds[0] <= 20
+
+
+def test_sure_merges_keep_the_library_order(library, monkeypatch):
+    """Words glued together from pieces, where many pairs compete, and runs of one symbol beside others."""
+    monkeypatch.setattr(P, "PLAIN", 0)
+    e, rng = P.Encoder(P.default_model()), random.Random(2)
+    pieces = [p.strip(P.MARK) for p, _, t in e.model.pieces if t == P.NORMAL]
+    texts = ["".join(rng.choice(pieces) * rng.choice((1, 1, 1, 2, 3, 7)) for _ in range(rng.randrange(1, 30))) for _ in range(1500)]
+    assert [e.ids(t) for t in texts] == library.encode(texts)
 
 
 def test_cache_is_bounded(library, monkeypatch):
