@@ -10,7 +10,7 @@ result is exactly that of the library, which merges one pair after another, and
 
 Covered: BPE models with the identity normaliser, a dummy prefix, kept white space and byte fallback; others are refused.
 Defined results: null and empty texts have no ids and decode to the empty text; texts are never cut short, and a very long
-word takes about 150 bytes a character while it is merged; pairs of equal rank merge from the left; repeated rows are encoded
+word takes about 170 bytes a character while it is merged; pairs of equal rank merge from the left; repeated rows are encoded
 each for itself, with equal results; an empty table gives no rows. Only the named columns are read, so extra columns may have
 any name.
 """
