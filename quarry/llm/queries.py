@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import fill_in_middle, html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, setsketch, sharding, suffix_dedup, url_filter
+from quarry.llm import divergence, fill_in_middle, html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, setsketch, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_setsketch": setsketch.op9_setsketch,
     "op10_sharding": sharding.op10_sharding,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op10_sharding": sharding.OP10_SQL,
     "op12_fill_in_middle": fill_in_middle.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }

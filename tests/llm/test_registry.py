@@ -9,11 +9,11 @@ from tests.oracle import assert_same
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11), 12]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11), 12, 13]
     assert "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op10_sharding", "op12_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op10_sharding", "op12_fill_in_middle", "op13_divergence"])
 def test_matches_sql(spark, sf, name):
     assert_same(entry.queries()[name](spark, sf), entry.oracle_sql()[name], sf)
 
