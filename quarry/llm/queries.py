@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import divergence, fill_in_middle, html_extract, media, mixing, piece_bpe, quality_classifier, quality_rules, setsketch, sharding, suffix_dedup, url_filter
+from quarry.llm import divergence, fill_in_middle, html_extract, media, mixing, packing, piece_bpe, quality_classifier, quality_rules, setsketch, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_setsketch": setsketch.op9_setsketch,
     "op10_sharding": sharding.op10_sharding,
+    "op11_packing": packing.op11_packing,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "op13_divergence": divergence.op13_divergence,
 }
