@@ -85,6 +85,31 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in SQL: a dot in it is no path."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def every(df: DataFrame) -> list:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def as_row(df: DataFrame, name: str, *more) -> DataFrame:
+    """df's columns in one struct, beside others: a join that names its columns trips over dots in the rest."""
+    return df.select(*more, F.struct(*every(df)).alias(name))
+
+
+def fields(row: str, columns: list[str]) -> list:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
+def integral(df: DataFrame, key: str) -> None:
+    """Operators whose results go by the order of ids take integers only."""
+    kind = dict(df.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must be an integer, not {kind}: number the rows first, in the order in which they are to win")
+
+
 def unit_hash(*cols) -> F.Column:
     """A 60-bit hash, as a long, that SQL engines with md5 can repeat: the first 15 hex digits of md5 of the parts
     joined by ':'. A null part counts as the empty string."""
@@ -191,19 +216,19 @@ def map_batches(df: DataFrame, make, schema: str, rows: int = BATCH_ROWS) -> Dat
     from pyspark.sql.types import StructType
 
     prepare_python(df.sparkSession)
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out, columns = to_arrow_schema(StructType.fromDDL(schema)), df.columns
 
     def run(batches):
         f = None
         for b in batches:
             f = f or make()
             for part in slices(b, rows):
-                got = f({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
+                got = f({n: c.to_pylist() for n, c in zip(columns, part.columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in out], schema=out)
         f = None
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(columns))]).mapInArrow(run, schema)  # it trips over dots in names
 
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, materialise, table, unit_hash, unused
+from quarry.llm.common import WORD, as_row, fields, materialise, quoted, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -80,13 +80,14 @@ def mix(docs: DataFrame, size: F.Column | None = None, key: str = "doc_id", seed
 
 def repeat(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs, each row as often as the mix takes it: the document at the edge of a fractional repetition is taken whole
-    if at least half of it is wanted, so texts stay whole. Columns as in docs. Rows of one key (and all rows without one)
-    can't be told apart: each comes as often as the one of them that is taken most."""
-    k, n, copy = unused(docs, "_key", "_times", "_copy")
-    plan = mix(docs, key=key, **options).select(F.col(key).alias(k), (F.col("whole") + (F.col("extra") * 2 >= F.greatest("size", F.lit(1))).cast("long")).alias(n)).where(F.col(n) > 0)
+    if at least half of it is wanted, so texts stay whole. Columns as in docs. Rows without a key go by their text. Rows of
+    one key (or text) can't be told apart: each comes as often as the one of them that is taken most."""
+    k, n = "key", "times"
+    named = F.coalesce(F.col(quoted(key)).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    plan = mix(docs.select(named.alias(k), "source", "text"), key=k, **options).select(k, (F.col("whole") + (F.col("extra") * 2 >= F.greatest("size", F.lit(1))).cast("long")).alias(n)).where(F.col(n) > 0)
     plan = plan.groupBy(k).agg(F.max(n).alias(n))  # one row a key: repeated rows of docs don't multiply
-    taken = docs.join(plan, F.col(key).eqNullSafe(F.col(k)))
-    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = as_row(docs, "row", named.alias(k)).join(plan, k)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*fields("row", docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

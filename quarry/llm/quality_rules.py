@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import map_batches, table
+from quarry.llm.common import map_batches, quoted, table
 
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -265,7 +265,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that judge() keeps, with the columns of docs: rows are judged where they lie, without a join."""
     columns = docs.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    schema = ", ".join(f"{quoted(n)} {t}" for n, t in docs.dtypes)
 
     def make():
         def f(b):

@@ -28,7 +28,8 @@ Defined results: null, empty and blank texts have an empty set, link with nothin
 shingle; repeated rows are one document; rows of one id with different texts share their links; a null id is never linked
 beyond its own class; of equal sets, and of a component, the smallest id stays, so there are no ties; an empty table gives no
 rows. Texts are read whole; long ones are hashed in pieces, so a text takes about five times its size at once. Only key and
-text are read of docs (keep_one() returns all its columns): extra columns may have any name.
+text are read of docs (keep_one() returns all its columns): extra columns may have any name. Ids are integers, as the
+smallest of a group stays; a table with other ids is refused.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, materialise, mix_bits, powers_to, prepare_python, sized, table
+from quarry.llm.common import as_row, fields, integral, map_batches, materialise, mix_bits, powers_to, prepare_python, quoted, sized, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -389,6 +390,7 @@ def across(sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component of every row of docs."""
+    integral(docs, key)
     drawn = materialise(sketches(docs, key, text), "near-sketches")
     classes = materialise(drawn.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n")), "near-classes")
     classes = classes.where("class IS NOT NULL")
@@ -423,15 +425,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that near_duplicates() drops, and with one of each repeated row (same id and text). Rows
-    with a null id can't be told apart by key and stay. Only the dropped ids meet docs, broadcast if they are few."""
+    """docs without the documents that near_duplicates() drops, and with one of each repeated row (same id and text): the
+    first by its other columns, as JSON. Rows with a null id can't be told apart by key and stay. Only the dropped ids meet
+    docs, broadcast if they are few."""
     judged = materialise(near_duplicates(docs, key, text), "near-judged")
-    gone = judged.where(f"NOT kept AND {key} IS NOT NULL").select(key).distinct()
-    out = docs.join(sized(materialise(gone, "near-dropped")), key, "left_anti").select(*docs.columns)
+    gone = judged.where(f"NOT kept AND {quoted(key)} IS NOT NULL").select(key).distinct()
+    out = as_row(docs, "row", F.col(quoted(key)).alias(key)).join(sized(materialise(gone, "near-dropped")), key, "left_anti")
     twice = materialise(judged.where("kept").groupBy(key).count().where("count > 1").select(key), "near-repeated")
     if twice.isEmpty():
-        return out
-    return out.join(twice, key, "left_anti").select(*docs.columns).unionByName(out.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates([key, text]))
+        return out.select(*fields("row", docs.columns))
+    of_row = F.col("row").getField
+    first = out.join(twice, key, "left_semi").groupBy(key, of_row(text).alias("t")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.join(twice, key, "left_anti").select("row").unionByName(first.select("row")).select(*fields("row", docs.columns))
 
 
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ a LENGTH-byte window is the least hash among its GRAM-byte substrings. Consecuti
    An anchor in HOT_ROWS documents or more would still gather all their boundaries in one task. Such anchors are counted in
    a sample that grows with the corpus (it steers only the routing, never a result); their runs are dealt by content, and
    those of their windows that a chunk leaves open are sent one by one, dealt by a hash of the window.
-3. Covered windows meet their documents again by key, once; spans are merged, and the bytes that remain are kept.
+3. Covered windows meet their documents again by id and a 64-bit digest of the text, once, so rows of one id, or without
+   one, get their own; spans are merged, and the bytes that remain are kept.
 
 The text is shuffled once: the exchange that feeds step 2 is reused by step 3. Run keys have 100 bits or more; a false
 match of whole runs needs equal keys, and step 2 compares bytes. A partition holds about PART_BYTES of text, so there are
@@ -25,7 +26,8 @@ more of them the larger the corpus is.
 Defined results: null text is empty; texts below LENGTH bytes keep every byte; a null id counts as larger than all others;
 rows of one id never cover each other (a string's ties among rows of its smallest id leave it in all of them); repeated rows
 get equal results; an empty table gives no rows. Texts of any length are read whole, long ones in pieces that overlap by
-LENGTH - 1 bytes. repeats() reads key and text only; cleaned() returns the columns of docs, whatever they are called.
+LENGTH - 1 bytes. repeats() reads key and text only; cleaned() returns the columns of docs, whatever they are called. Ids are integers, as
+their order decides; a table with other ids is refused.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BATCH_ROWS, ODD, give_back, materialise, mix_bits, powers_to, prepare_python, slices, table
+from quarry.llm.common import BATCH_ROWS, ODD, give_back, integral, materialise, mix_bits, powers_to, prepare_python, quoted, slices, table
 
 LENGTH = 50
 GRAM = 20
@@ -52,6 +54,9 @@ LAST = (1 << 63) - 1
 #: An anchor that about so many documents hold is hot. One document in HOT_ROWS / HOT_SEEN is looked at to find them.
 HOT_ROWS = 1 << 17
 HOT_SEEN = 64
+#: A byte of text is at most 1 / 16 of an anchor, so more than 1 / (16 * rows) of the bytes can't be hot anchors: with a row
+#: for each HOT_BYTES bytes, under a million are (the sample counts an anchor as hot from half of that on).
+HOT_BYTES = 1 << 17
 
 _KEY = (1 << 40) - 1
 
@@ -240,14 +245,14 @@ def _schema(ddl: str):
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-ROUTED = "part int, id long, crc long, blob binary"
-VERDICT = "id long, crc long, blob binary"
+ROUTED = "part int, id long, digest long, blob binary"
+VERDICT = "id long, digest long, blob binary"
 
 
-def _verdicts(ids: np.ndarray, crcs: np.ndarray, values: np.ndarray):
-    """(id, crc, blob) for each document of some flagged values."""
-    o = np.lexsort((crcs, ids))
-    i, c, v = ids[o], crcs[o], values[o]
+def _verdicts(ids: np.ndarray, digests: np.ndarray, values: np.ndarray):
+    """(id, digest, blob) for each document of some flagged values."""
+    o = np.lexsort((digests, ids))
+    i, c, v = ids[o], digests[o], values[o]
     heads = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (c[1:] != c[:-1]))) if len(i) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(i))
     return i[heads].tolist(), c[heads].tolist(), [v[a:b].tobytes() for a, b in zip(heads.tolist(), ends.tolist())]
@@ -258,11 +263,11 @@ def pack_runs(slots: list[int], hot: np.ndarray):
     parts, schema = len(slots), _schema(ROUTED)
 
     def run(batches):
-        kept, docs, crcs, total = [], [], [], 0
+        kept, docs, digests, total = [], [], [], 0
 
         def flush():
             r = {k: np.concatenate([x[k] for x in kept]) for k in ("doc", "run", "anchor", "bytes")}
-            id_, crc = np.array(docs, np.int64), np.array(crcs, np.int64)
+            id_, digest = np.array(docs, np.int64), np.array(digests, np.int64)
             covered, first, _ = settle(r["anchor"], r["bytes"], id_[r["doc"]])
             is_hot = np.isin(r["anchor"], hot)
             part = part_of(np.where(is_hot, r["bytes"], r["anchor"]), parts) + parts * is_hot  # hot runs in rows of their own
@@ -278,23 +283,23 @@ def pack_runs(slots: list[int], hot: np.ndarray):
                 kind = np.uint16 if max(len(used), int(r["run"][x].max()) + 1) <= 0xFFFF else np.uint32
                 key = (r["anchor"][x] & np.uint64(_KEY)).view(np.uint8).reshape(-1, 8)[:, :5]
                 out_part.append(slots[p % parts])
-                out_blob.append(b"".join([np.array([len(x), len(used), kind().itemsize, p >= parts], np.int64).tobytes(), id_[used].tobytes(), crc[used].astype(np.uint32).tobytes(), key.tobytes(), r["bytes"][x].tobytes(), local.astype(kind).tobytes(), r["run"][x].astype(kind).tobytes()]))
+                out_blob.append(b"".join([np.array([len(x), len(used), kind().itemsize, p >= parts], np.int64).tobytes(), id_[used].tobytes(), digest[used].tobytes(), key.tobytes(), r["bytes"][x].tobytes(), local.astype(kind).tobytes(), r["run"][x].astype(kind).tobytes()]))
             none = [None] * len(out_part)
-            yield _rows(schema, part=out_part, id=none, crc=none, blob=out_blob)
+            yield _rows(schema, part=out_part, id=none, digest=none, blob=out_blob)
             x = np.flatnonzero(covered)
-            i, c, v = _verdicts(id_[r["doc"][x]], crc[r["doc"][x]], (r["run"][x] << 1).astype(np.uint32))
-            yield _rows(schema, part=[slots[k % parts] for k in i], id=i, crc=c, blob=v)
+            i, c, v = _verdicts(id_[r["doc"][x]], digest[r["doc"][x]], (r["run"][x] << 1).astype(np.uint32))
+            yield _rows(schema, part=[slots[k % parts] for k in i], id=i, digest=c, blob=v)
 
         for b in sliced(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             r = runs_in_blocks(texts)
             kept.append(r | {"doc": r["doc"] + len(docs)})
             docs += b.column(0).to_pylist()
-            crcs += b.column(2).to_pylist()
+            digests += b.column(2).to_pylist()
             total += sum(map(len, texts))
             if total >= CHUNK:
                 yield from flush()
-                kept, docs, crcs, total = [], [], [], 0
+                kept, docs, digests, total = [], [], [], 0
         if docs:
             yield from flush()
 
@@ -305,18 +310,18 @@ def judge_runs():
     schema = _schema(VERDICT)
 
     def run(batches):
-        doc, crc, group, content, index, hot = [], [], [], [], [], []
+        doc, digest, group, content, index, hot = [], [], [], [], [], []
         for b in batches:
             for part, i, c, blob in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if i is not None:
-                    yield _rows(schema, id=[i], crc=[c], blob=[blob])
+                    yield _rows(schema, id=[i], digest=[c], blob=[blob])
                     continue
                 n, used, width, is_hot = np.frombuffer(blob, np.int64, 4).tolist()
                 kind, at = (np.uint16 if width == 2 else np.uint32), 32
                 ids = np.frombuffer(blob, np.int64, used, at)
                 at += 8 * used
-                crcs = np.frombuffer(blob, np.uint32, used, at).astype(np.int64)
-                at += 4 * used
+                digests = np.frombuffer(blob, np.int64, used, at)
+                at += 8 * used
                 key = np.zeros((n, 8), np.uint8)
                 key[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(-1, 5)
                 at += 5 * n
@@ -326,16 +331,16 @@ def judge_runs():
                 index.append(np.frombuffer(blob, kind, n, at + width * n).astype(np.uint32))
                 group.append(key.view(np.uint64).ravel())
                 doc.append(ids[local])
-                crc.append(crcs[local])
+                digest.append(digests[local])
                 hot.append(np.full(n, bool(is_hot)))
         if not doc:
             return
-        doc, crc, group, content, index, hot = map(np.concatenate, (doc, crc, group, content, index, hot))
+        doc, digest, group, content, index, hot = map(np.concatenate, (doc, digest, group, content, index, hot))
         covered, _, open_ = settle(group, content, doc, hot)
         x = np.flatnonzero(covered | open_)
-        i, c, v = _verdicts(doc[x], crc[x], (index[x] << np.uint32(1)) | open_[x].astype(np.uint32) * ~covered[x])
+        i, c, v = _verdicts(doc[x], digest[x], (index[x] << np.uint32(1)) | open_[x].astype(np.uint32) * ~covered[x])
         for lo in range(0, len(i), 10_000):
-            yield _rows(schema, id=i[lo : lo + 10_000], crc=c[lo : lo + 10_000], blob=v[lo : lo + 10_000])
+            yield _rows(schema, id=i[lo : lo + 10_000], digest=c[lo : lo + 10_000], blob=v[lo : lo + 10_000])
 
     return run
 
@@ -353,7 +358,7 @@ def send_windows(slots: list[int], hot: np.ndarray):
     parts, schema = len(slots), _schema(ROUTED)
 
     def run(batches):
-        ids, crcs, numbers, values, anchors, strings, total = [], [], [], [], [], [], 0
+        ids, digests, numbers, values, anchors, strings, total = [], [], [], [], [], [], 0
 
         def flush():
             id_ = np.array(ids, np.int64)
@@ -367,23 +372,23 @@ def send_windows(slots: list[int], hot: np.ndarray):
             out: dict = {}
             for k, c in enumerate(covered):
                 for a, b in intervals(c):
-                    done.setdefault((ids[k], crcs[k]), []).extend((numbers[k], a, b))
+                    done.setdefault((ids[k], digests[k]), []).extend((numbers[k], a, b))
                 if anchors[k] < 0:  # hot
                     at = np.flatnonzero(~c)
                     for a, p in zip(at.tolist(), part_of(window_hashes(strings[k])[at], parts).tolist()):
-                        out.setdefault(p, []).append((ids[k], crcs[k], numbers[k], a, strings[k][a : a + LENGTH]))
+                        out.setdefault(p, []).append((ids[k], digests[k], numbers[k], a, strings[k][a : a + LENGTH]))
                     continue
                 for a, b in intervals(~c):
-                    out.setdefault(anchors[k], []).append((ids[k], crcs[k], numbers[k], a, strings[k][a : b + LENGTH - 1]))
+                    out.setdefault(anchors[k], []).append((ids[k], digests[k], numbers[k], a, strings[k][a : b + LENGTH - 1]))
             rows = list(out.items())
             none = [None] * len(rows)
             blob = [b"".join([np.int64(len(x)).tobytes(), np.array([(*m, len(t)) for *m, t in x], np.int64).tobytes(), *[t for *_, t in x]]) for _, x in rows]
-            yield _rows(schema, part=[slots[p] for p, _ in rows], id=none, crc=none, blob=blob)
+            yield _rows(schema, part=[slots[p] for p, _ in rows], id=none, digest=none, blob=blob)
             keys = list(done)
-            yield _rows(schema, part=[slots[i % parts] for i, _ in keys], id=[i for i, _ in keys], crc=[c for _, c in keys], blob=[np.array(done[k], np.int64).tobytes() for k in keys])
+            yield _rows(schema, part=[slots[i % parts] for i, _ in keys], id=[i for i, _ in keys], digest=[c for _, c in keys], blob=[np.array(done[k], np.int64).tobytes() for k in keys])
 
         for b in sliced(batches):
-            for i, text, c, blobs in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("_id", "_text", "_crc", "_runs"))):
+            for i, text, c, blobs in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("_id", "_text", "_digest", "_runs"))):
                 text = (text or "").encode("utf-8", "surrogatepass")
                 total += len(text)
                 flags = np.frombuffer(b"".join(blobs), np.uint32)
@@ -393,13 +398,13 @@ def send_windows(slots: list[int], hot: np.ndarray):
                     values += r["anchor"][flags].tolist()
                     for k, s, w, p in zip(flags.tolist(), r["start"][flags].tolist(), r["windows"][flags].tolist(), np.where(np.isin(r["anchor"][flags], hot), -1, part_of(r["anchor"][flags], parts)).tolist()):
                         ids.append(i)
-                        crcs.append(c)
+                        digests.append(c)
                         numbers.append(k)
                         anchors.append(p)
                         strings.append(text[s : s + w + LENGTH - 1])
             if total >= CHUNK:
                 yield from flush()
-                ids, crcs, numbers, values, anchors, strings, total = [], [], [], [], [], [], 0
+                ids, digests, numbers, values, anchors, strings, total = [], [], [], [], [], [], 0
         if ids:
             yield from flush()
 
@@ -414,7 +419,7 @@ def judge_windows():
         for b in batches:
             for part, i, c, blob in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if i is not None:
-                    yield _rows(schema, id=[i], crc=[c], blob=[blob])
+                    yield _rows(schema, id=[i], digest=[c], blob=[blob])
                     continue
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
                 x = np.frombuffer(blob, np.int64, 5 * n, 8).reshape(-1, 5)
@@ -434,7 +439,7 @@ def judge_windows():
         keys = list(done)
         for lo in range(0, len(keys), 10_000):
             part = keys[lo : lo + 10_000]
-            yield _rows(schema, id=[i for i, _ in part], crc=[c for _, c in part], blob=[np.array(done[k], np.int64).tobytes() for k in part])
+            yield _rows(schema, id=[i for i, _ in part], digest=[c for _, c in part], blob=[np.array(done[k], np.int64).tobytes() for k in part])
 
     return run
 
@@ -479,9 +484,11 @@ def finish(columns: list[str], make, out: str):
     return run
 
 
-def hot_anchors(source: DataFrame) -> np.ndarray:
-    """Anchors that, by a sample of source(_text), HOT_ROWS documents or more hold. Documents are counted by anchor in
-    grouped sums; what comes to the driver is the hot ones, each of which stands for HOT_ROWS documents."""
+def hot_anchors(source: DataFrame, rows: int | None = None) -> np.ndarray:
+    """Anchors that, by a sample of source(_text), `rows` documents (HOT_ROWS) or more hold. Documents are counted by anchor in
+    grouped sums; what comes to the driver is the hot ones. As rows grows with the corpus beyond HOT_ROWS * HOT_BYTES bytes
+    of text, they stay below a million."""
+    rows = HOT_ROWS if rows is None else rows
 
     def run(batches):
         for b in sliced(batches):
@@ -489,9 +496,9 @@ def hot_anchors(source: DataFrame) -> np.ndarray:
             yield _rows(schema, anchor=np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
 
     schema = _schema("anchor long")
-    share = min(1.0, HOT_SEEN / HOT_ROWS)
+    share = min(1.0, HOT_SEEN / rows)
     seen = source.select("_text").sample(share, 7).mapInArrow(run, "anchor long")
-    hot = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS * share / 2).select("anchor").collect()
+    hot = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= rows * share / 2).select("anchor").collect()
     return np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
 
 
@@ -508,23 +515,24 @@ def slots_for(spark: SparkSession, n: int) -> list[int]:
 
 def deduplicate(docs: DataFrame, make, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row, of schema out, for each row of docs: make(values of docs' columns, text, spans, kept bytes)."""
+    integral(docs, key)
     spark = docs.sparkSession
     prepare_python(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     slots = slots_for(spark, n)
-    keyed = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc")]
-    hot = hot_anchors(docs.select(*keyed))
+    keyed = [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_digest")]
+    hot = hot_anchors(docs.select(*keyed), max(HOT_ROWS, size // HOT_BYTES))
     packed = docs.select(*keyed).mapInArrow(frugal(pack_runs(slots, hot)), ROUTED).repartition(n, "part")
-    of_runs = packed.mapInArrow(frugal(judge_runs()), VERDICT).groupBy("id", "crc").agg(F.collect_list("blob").alias("_runs"))
-    of_runs = materialise(of_runs.select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_runs"), "repeat-runs")
+    of_runs = packed.mapInArrow(frugal(judge_runs()), VERDICT).groupBy("id", "digest").agg(F.collect_list("blob").alias("_runs"))
+    of_runs = materialise(of_runs.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "_runs"), "repeat-runs")
     # Both joins read the one exchange of the texts, so they take the same columns of docs.
-    rest = [F.col(c).alias(f"c_{c}") for c in docs.columns if c != text]
+    rest = [F.col(quoted(c)).alias(f"c_{i}") for i, c in enumerate(docs.columns) if c != text]
     source = docs.select(*keyed, *rest)
-    sent = source.join(of_runs, ["_id", "_crc"]).mapInArrow(frugal(send_windows(slots, hot)), ROUTED).repartition(n, "part")
-    of_windows = sent.mapInArrow(frugal(judge_windows()), VERDICT).groupBy(F.col("id").alias("_id"), F.col("crc").alias("_crc")).agg(F.collect_list("blob").alias("_windows"))
-    both = source.join(of_runs, ["_id", "_crc"], "left").join(of_windows, ["_id", "_crc"], "left")
-    return both.mapInArrow(frugal(finish([f"c_{c}" if c != text else "_text" for c in docs.columns], make, out)), out)
+    sent = source.join(of_runs, ["_id", "_digest"]).mapInArrow(frugal(send_windows(slots, hot)), ROUTED).repartition(n, "part")
+    of_windows = sent.mapInArrow(frugal(judge_windows()), VERDICT).groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_list("blob").alias("_windows"))
+    both = source.join(of_runs, ["_id", "_digest"], "left").join(of_windows, ["_id", "_digest"], "left")
+    return both.mapInArrow(frugal(finish([f"c_{i}" if c != text else "_text" for i, c in enumerate(docs.columns)], make, out)), out)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -550,7 +558,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 row[count] = len(row[at])
         return row
 
-    return deduplicate(docs, make, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes), key, text)
+    return deduplicate(docs, make, ", ".join(f"{quoted(n)} {t}" for n, t in docs.dtypes), key, text)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

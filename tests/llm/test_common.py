@@ -101,3 +101,30 @@ def test_broadcast_goes_by_the_size_of_rows(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(name, before)
         C.release(spark)
+
+
+def test_stages_keep_dotted_names_and_refuse_text_ids(spark):
+    import pytest
+
+    from quarry.llm import mixing, quality_rules, setsketch
+
+    text = " ".join(f"word{i} and more of this sentence, which runs on." for i in range(40))
+    rows = [(1, text, "a", "x"), (1, text, "b", "y"), (2, text, "a", "z"), (None, None, None, None), (None, "one two", "a", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `meta.lang` string")
+    kept = setsketch.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(1, text, "a", "x"), (None, None, None, None), (None, "one two", "a", "n")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    assert {r[3] for r in quality_rules.keep(df).collect()} <= {"x", "y", "z"}
+    mixed = mixing.repeat(df)
+    assert mixed.columns == df.columns and mixed.where("`meta.lang` IS NULL").count() == 0
+    with pytest.raises(ValueError, match="integer"):
+        setsketch.keep_one(df.selectExpr("cast(doc_id AS string) AS doc_id", "text"))
+
+
+def test_rows_without_a_key_are_mixed_one_by_one(spark):
+    from quarry.llm import mixing
+
+    df = spark.createDataFrame([(None, f"w{i} w w w", "s") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.repeat(df).groupBy("text").count().collect()
+    assert abs(sum(r["count"] for r in got) - 450) <= 1 and {r["count"] for r in got} == {1, 2}

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -104,7 +106,7 @@ def test_hot_anchors(spark, monkeypatch):
     tail = lambda: "".join(rng.choice("ab c") for _ in range(rng.randrange(60)))
     line = "this line stands in every document of the table, and in some of them twice over"
     rows = [(i, tail() + line + tail() + (line if i % 5 == 0 else "")) for i in range(120)] + [(500 + i, t) for i, t in corpus(6, "abc", 40)]
-    df = spark.createDataFrame([(i, t) for i, t in rows], "_id long, _text string").withColumn("_crc", F.lit(0))
+    df = spark.createDataFrame([(i, t) for i, t in rows], "_id long, _text string").withColumn("_digest", F.lit(0))
     assert len(S.hot_anchors(df)) > 3
     assert result(spark, rows) == brute(rows)
 
@@ -155,6 +157,32 @@ def test_refinement_equals_comparison(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def twins():
+    """Two texts of one CRC-32, the first of them of many runs, the other of one."""
+    a, rng = "a longer text, of several runs of windows, so that a run's number is beyond those of a short one: " * 3, random.Random(1)
+    want = {zlib.crc32(x.encode()): x for x in (a + "".join(rng.choices("abcdefghijk mnop", k=9)) for _ in range(100_000))}
+    while True:
+        short = "short " + "".join(rng.choices("abcdefghijk mnop", k=9))
+        if (got := want.get(zlib.crc32(short.encode()))) is not None:
+            return got, short
+
+
+def test_null_ids_of_equal_checksums(spark):
+    long, short = twins()
+    rows = [(1, long + "x"), (None, long), (None, short), (None, long)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(long)
+    assert got == sorted([(1, n + 1, 0), (0, n, n), (0, n, n), (0, len(short), 0)])
+
+
+def test_other_names_and_keys(spark):
+    df = spark.createDataFrame([(1, "t" * 60, "x"), (2, "t" * 60, "y")], "doc_id long, text string, `meta.lang` string")
+    got = S.cleaned(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "t" * 60, "x"), (2, "", "y")]
+    with pytest.raises(ValueError, match="integer"):
+        S.repeats(df.withColumn("doc_id", F.lit("a")))
+
+
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "t", 2, 3)], "doc_id long, text string, part int, blob int").withColumn("spans", F.lit(1))
     assert S.repeats(df).first().n_removed == 0
