@@ -27,7 +27,8 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def search(docs: DataFrame, terms: list[str], k: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (rounded to 6 places) of the k best documents with a key; ties go to the smaller key. Texts are read and
     split once: what is left of a document, its length and its counts of the query's terms, feeds both the corpus
-    statistics, which are one row, and the scores, from one exchange."""
+    statistics, which are one row, and the scores, from one exchange (rows without a term go by their score, behind the join
+    with the statistics: a filter on counts would move below the exchange and make it two)."""
     terms = sorted({t.lower() for t in terms})
     counts = [(F.size("t") - F.size(F.array_remove("t", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), tokens(text).alias("t")).select("key", F.size("t").alias("len"), *counts).repartition("key")
@@ -37,8 +38,8 @@ def search(docs: DataFrame, terms: list[str], k: int = 20, key: str = "doc_id",
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + F.when(tf > 0, idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))).otherwise(0.0)
-    found = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(stats))  # stats is one row
-    return found.groupBy(F.col("key").alias(key)).agg(F.round(F.sum(score), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    scored = rows.crossJoin(F.broadcast(stats)).select("key", score.alias("score")).where("score > 0")  # stats is one row
+    return scored.groupBy(F.col("key").alias(key)).agg(F.round(F.sum("score"), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def normalised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import content, hits, manifest, requests, rules, search, status
+from quarry.operators import content, hits, index, manifest, requests, rules, search, status
 from quarry.plans import tables as T
+from quarry.session import shared_folder
 from quarry.sources import config, files, ids, sinks
 
 QUERIES: dict = {}
@@ -566,3 +567,61 @@ def search_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
 def status_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.by_hour(T.table(spark, sf_dir, "events"))
+
+
+_indexes: dict = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of documents, built once for an application and a folder of tables."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        _indexes[at] = index.Index(spark, shared_folder(spark, "index")).add(T.table(spark, sf_dir, "documents"))
+    return _indexes[at]
+
+
+@query(ORACLE_SQL["search_topk"])
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir).top_k(TERMS)
+
+
+PHRASES = ["you are an", "an idiot", "the license"]
+POSITIONS_SQL = f"{TOKENS_SQL}, o AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM tokens)"
+
+
+@query(f"WITH {POSITIONS_SQL} " + " UNION ALL ".join(
+    f"SELECT '{p}' AS phrase, o0.doc_id, o0.pos::INT AS start FROM " + " JOIN ".join((f"o o{i}" if i == 0 else f"o o{i} ON o{i}.doc_id = o0.doc_id AND o{i}.pos = o0.pos + {i}") for i in range(len(p.split()))) + " WHERE " + " AND ".join(f"o{i}.term = '{w}'" for i, w in enumerate(p.split()))
+    for p in PHRASES))
+def index_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where three phrases stand, from positions alone."""
+    ix = indexed(spark, sf_dir)
+    found = [ix.phrase(p).select(F.lit(p).alias("phrase"), "doc_id", F.col("start").cast("int").alias("start")) for p in PHRASES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+WINDOW = ["you", "idiot"]
+
+
+@query(f"""WITH {POSITIONS_SQL}, w AS (SELECT doc_id, pos, max(CASE WHEN term = 'you' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS a, max(CASE WHEN term = 'idiot' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM o WHERE term IN ('you', 'idiot')),
+r AS (SELECT doc_id, least(a, b) AS s, pos + 1 AS e FROM w WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s, s) AS k FROM r)
+SELECT doc_id, s::INT AS start, e::INT AS "end" FROM n WHERE k = 1""")
+def index_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = indexed(spark, sf_dir).windows(WINDOW)
+    return got.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A later batch: toxic documents come again with another text, and documents of low quality that aren't toxic go."""
+    labels = T.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    docs = T.table(spark, sf_dir, "documents").join(labels.where("toxic = 1"), "doc_id", "left_semi")
+    return docs.select("doc_id", F.concat(F.lit("the license of an idiot. "), F.coalesce("text", F.lit(""))).alias("text")), labels.where("quality = 0 AND toxic = 0").select("doc_id")
+
+
+@query(f"""WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+documents AS (SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'the license of an idiot. ' || coalesce(d.text, '') ELSE d.text END AS text FROM main.documents d LEFT JOIN l ON d.doc_id = l.doc_id WHERE NOT coalesce(l.quality = 0 AND l.toxic = 0, false)),
+{ORACLE_SQL["search_topk"].removeprefix("WITH ")}""")
+def index_updated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k after a batch of replacements and removals, over both generations folded into one."""
+    new, gone = changes(spark, sf_dir)
+    two = index.Index(spark, shared_folder(spark, "index")).add(T.table(spark, sf_dir, "documents")).add(new, gone)
+    return two.merged(shared_folder(spark, "index")).top_k(TERMS)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -16,3 +21,14 @@ DEFAULTS = {
 def session(name: str = "quarry", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(name).config(map={**DEFAULTS, **conf})
     return (b.master(master) if master else b).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share, for what is written on the way to a result. Only where
+    driver and executors are one machine, and the session names no folder, is it a local one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"file://{tempfile.gettempdir()}/quarry-shared-{os.getpid()}"
+    return f"{at.rstrip('/')}/quarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
