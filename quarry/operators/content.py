@@ -16,9 +16,10 @@ def content_read(requests: DataFrame, files: DataFrame) -> DataFrame:
     """All columns of requests(user_id, file_id, ...) with status, bytes_read and detail. files(user_id, file_id,
     http_status, content) has one row a key; no row, 404 and 998 mean not accessible, other codes from 400 an error with
     no bytes, and anything else counts the content as read, redirects included. Where files has a column failure, a name
-    there is a transfer that broke off for that reason: an error, whatever the code. detail names the reason."""
+    there is a transfer that broke off for that reason: an error, whatever the code. detail names the reason. Where it has a
+    column n_bytes, bodies were counted when they passed, and content is not read."""
     failure = F.col("failure") if "failure" in files.columns else F.lit(None).cast("string")
-    f = files.select("user_id", "file_id", F.when(failure.isNull(), F.col("http_status")).otherwise(599).alias("http_status"), F.octet_length("content").cast("long").alias("_n"), failure.alias("_failure"))
+    f = files.select("user_id", "file_id", F.when(failure.isNull(), F.col("http_status")).otherwise(599).alias("http_status"), (F.col("n_bytes") if "n_bytes" in files.columns else F.octet_length("content")).cast("long").alias("_n"), failure.alias("_failure"))
     code = F.col("http_status")
     status = F.when(code.isNull() | code.isin(404, 998), NOT_ACCESSIBLE).when(code >= 400, ERROR).otherwise(READ)
     out = requests.join(f, ["user_id", "file_id"], "left").withColumn("status", status)

@@ -11,7 +11,7 @@ from quarry.functions import text as X
 from quarry.operators import content, hits, index, manifest, requests, rules, search, status
 from quarry.plans import tables as T
 from quarry.session import shared_folder
-from quarry.sources import config, files, ids, sinks
+from quarry.sources import config, corpus_sink, files, ids, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -585,7 +585,7 @@ def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed(spark, sf_dir).top_k(TERMS)
 
 
-PHRASES = ["you are an", "an idiot", "the license"]
+PHRASES = ["licensed under the", "apache license version", "of the"]
 POSITIONS_SQL = f"{TOKENS_SQL}, o AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM tokens)"
 
 
@@ -599,10 +599,10 @@ def index_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-WINDOW = ["you", "idiot"]
+WINDOW = ["the", "idiot"]
 
 
-@query(f"""WITH {POSITIONS_SQL}, w AS (SELECT doc_id, pos, max(CASE WHEN term = 'you' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS a, max(CASE WHEN term = 'idiot' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM o WHERE term IN ('you', 'idiot')),
+@query(f"""WITH {POSITIONS_SQL}, w AS (SELECT doc_id, pos, max(CASE WHEN term = 'the' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS a, max(CASE WHEN term = 'idiot' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM o WHERE term IN ('the', 'idiot')),
 r AS (SELECT doc_id, least(a, b) AS s, pos + 1 AS e FROM w WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s, s) AS k FROM r)
 SELECT doc_id, s::INT AS start, e::INT AS "end" FROM n WHERE k = 1""")
 def index_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -625,3 +625,13 @@ def index_updated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, gone = changes(spark, sf_dir)
     two = index.Index(spark, shared_folder(spark, "index")).add(T.table(spark, sf_dir, "documents")).add(new, gone)
     return two.merged(shared_folder(spark, "index")).top_k(TERMS)
+
+
+@query("SELECT doc_id, 'doc-' || doc_id || '.txt' AS name, strlen(coalesce(text, ''))::BIGINT AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def corpus_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents written as files, read back after the commit; doc_id comes from the file's name."""
+    docs = T.table(spark, sf_dir, "documents")
+    named = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    at = corpus_sink.write(named, shared_folder(spark, "corpus"))
+    got = corpus_sink.manifest(spark, at).withColumn("name", F.substring_index("path", "/", -1))
+    return got.select(F.regexp_extract("name", r"^doc-(-?\d+)", 1).cast("long").alias("doc_id"), "name", "bytes", "sha256")
