@@ -3,12 +3,14 @@
 A page is read into a tree of containers in one pass over its tags (lenient: unclosed and stray tags are resolved as
 browsers mostly do; a quoted attribute that never closes ends with its tag). Subtrees that are never text of an article
 (scripts, styles, forms, menus, headers and footers of the page, elements whose class, id or role names an advert, a notice,
-a sidebar or comments) are left out. Paragraphs and headings are never left out for their class, but for adverts and
-comments. Every block of running text passes points to its ancestors: one, one more for each comma, one more for each 100
+a sidebar or comments) are left out. Such a name counts only as a whole, beside words of layout: `ad-free` or
+`comments-closed` describe a page. Paragraphs and headings are never left out for their class, but for adverts, and no class
+counts if nothing else on the page is text. Comments are also known by their shape: a container behind the text whose items
+are alike and each carry an author and a date. Every block of running text passes points to its ancestors: one, one more for each comma, one more for each 100
 characters up to three; in full to the parent, half to the grandparent, then 1 / (3 * level) up to LEVELS. A container's
 points are discounted by its link density. The best container, widened to the <article> or <main> it lies in, is kept with
 its siblings: headings, paragraphs and running text of any length, and containers that hold paragraphs or score a fifth of
-it; siblings that are mostly links go. The blocks of what is kept, in page order, are the text.
+it, behind an article also any that has no name; siblings that are mostly links go. The blocks of what is kept, in page order, are the text.
 
 Defined results: null or empty html, and pages without text, give the empty text; plain text without tags is one block;
 of equally good containers the first of the page wins; repeated rows give equal texts, a null page_id or url stays null; an
@@ -19,6 +21,7 @@ read, so their names don't matter.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,14 +44,19 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
 #: Never part of an article.
 DROPPED = set("head script style noscript template iframe object embed svg canvas form button input select textarea nav footer aside menu dialog audio video map".split()) | RAW
-#: Adverts and comments are left out wherever they stand, as any part of a class or id.
-_FOREIGN = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor(?:ed|s)?|comments?|commentlist|disqus|respond)(?=$|[_-])")
+_BEFORE = r"(?:(?:site|page|main|top|bottom|left|right|global|post|article|entry|story|header|footer|user|reader|primary|secondary|js|the|google)[_-])*"
+_AFTER = r"(?:[_-](?:bar|box|links?|list|buttons?|icons?|wrapper|container|area|section|block|panel|widget|media|menu|nav|form|posts?|articles?|stories|content|items?|inner|main|top|bottom|left|right|slot|unit|banner|label|thread|feed|\d+))*"
+#: Adverts are left out wherever they stand, comments as containers.
+_ADVERT = re.compile(_BEFORE + r"(?:ads?|advert\w*|adsense|adslot|sponsor(?:ed|s)?)" + _AFTER)
+_COMMENTS = re.compile(_BEFORE + r"(?:comments?|commentlist|comment-respond|disqus|respond|responses?|repl(?:y|ies)|discussions?|reactions?)" + _AFTER)
+#: Names of what carries a comment's author or date.
+_AUTHOR = re.compile(r"(?:^|[\s_-])(?:author|byline|user(?:name)?|avatar|nick(?:name)?|poster|commenter|vcard)(?=$|[\s_-])")
+_DATE = re.compile(r"(?:^|[\s_-])(?:date|time|timestamp|ago|published|posted)(?=$|[\s_-])")
 _FURNITURE = re.compile(r"(?:^|[_-])(?:cookies?|consent|gdpr|popup|modal|newsletter|subscri(?:be|ption)|sidebars?|side-bar|navbar|navigation|breadcrumbs?|pagination|masthead|site-header|page-header|site-footer|page-footer|footer|skip-link)(?=$|[_-])")
 #: Words that name furniture if they are the whole name, or stand beside words of layout only.
-_ALONE = re.compile(
-    r"(?:(?:site|page|main|top|bottom|left|right|global|post|article|entry|header|footer|user|reader|primary|secondary)[_-])*"
-    r"(?:nav|menu|aside|banner|promo|notice|overlay|header|foot|topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|widget|login|signup|pager|hidden|repl(?:y|ies)|discussion)"
-    r"(?:[_-](?:bar|box|links?|list|buttons?|icons?|wrapper|container|area|section|block|panel|widget|media|menu|nav|form|posts?|articles?|stories|content|items?|inner|main|top|bottom|left|right|\d+))*")
+_ALONE = re.compile(_BEFORE + r"(?:nav|menu|aside|banner|promo|notice|overlay|header|foot|topbar|toolbar|share|sharing|social|related|recommend(?:ed|ations)?|widget|login|signup|pager|hidden)" + _AFTER)
+#: A post's own header holds its title.
+_TITLE = re.compile(r"(?:post|article|entry|story|content|title)[_-]header")
 #: Blocks of text, which keep their place whatever furniture their class names.
 _TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "figcaption", "caption", "summary"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
@@ -60,13 +68,15 @@ TAG_POINTS = {"article": 10, "main": 8, "section": 2, "div": 1, "td": 1, "blockq
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "drop")
+    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "drop", "named", "name", "author", "date")
 
-    def __init__(self, tag, parent, drop=False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag, parent, drop=False, named=False, name=""):
+        self.tag, self.parent, self.drop = tag, parent, drop  # drop: never text, whatever the page is like
+        self.named, self.name = named, name  # named: left out for its class or id
         self.children: list = []  # nodes and, as strings, blocks
         self.points = 0.0
         self.chars = self.linked = 0
+        self.author = self.date = False  # whether it or what it holds carries one
 
 
 def attributes(html: str, at: int) -> tuple[dict, int]:
@@ -82,25 +92,32 @@ def attributes(html: str, at: int) -> tuple[dict, int]:
     return out, _END.match(html, at).end()
 
 
-def dropped(tag: str, a: dict, inside: set) -> bool:
+def dropped(tag: str, a: dict, inside: dict) -> bool:
+    """Whether an element is never text for what it is."""
     if tag in DROPPED:
         return True
     if tag == "header":
-        return not inside & {"article", "main"}
+        return not inside["article"] and not inside["main"]
     if not a or tag in LIKELY:
         return False
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    if tag not in BLOCKS and tag != "span":
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
+
+
+def foreign(tag: str, a: dict, inside: dict) -> bool:
+    """Whether its class or id names something that isn't text of an article."""
+    if not a or tag in LIKELY or tag not in BLOCKS and tag != "span":
         return False
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
         if name.startswith(("no-", "has-", "with-", "without-")):  # these describe the page
             continue
-        if _FOREIGN.search(name):
+        if _ADVERT.fullmatch(name):
             return True
-        if tag in _TEXT or "header" in name and inside:  # a post's own header holds its title
+        if tag in _TEXT or _TITLE.fullmatch(name):
             continue
-        if _ALONE.fullmatch(name) or not inside and _FURNITURE.search(name) or _FURNITURE.fullmatch(name):
+        within = inside["article"] or inside["main"]
+        if "header" in name and within:
+            continue
+        if _COMMENTS.fullmatch(name) or _ALONE.fullmatch(name) or not within and _FURNITURE.search(name) or _FURNITURE.fullmatch(name):
             return True
     return False
 
@@ -110,8 +127,9 @@ def parse(html: str) -> Node:
     root = node = Node("html", None)
     parts: list[str] = []
     chars_linked = links = 0  # of the block under way
-    inside: set = set()
+    inside: dict = defaultdict(int)  # open elements by tag
     hidden_inline: list = []  # open inline elements from the first dropped one on
+    hidden: dict = defaultdict(int)  # how many of them by tag
 
     def flush():
         nonlocal chars_linked
@@ -125,8 +143,9 @@ def parse(html: str) -> Node:
     def close(to: Node):
         nonlocal node
         while node is not to:
-            if node.tag in ("article", "main"):
-                inside.discard(node.tag)
+            inside[node.tag] -= 1
+            node.parent.author |= node.author
+            node.parent.date |= node.date
             node = node.parent
 
     at, end = 0, len(html)
@@ -156,19 +175,24 @@ def parse(html: str) -> Node:
         if tag == "a":
             links = 0 if closing else 1
         if tag not in BLOCKS:
-            if hidden_inline:
-                if closing and tag in hidden_inline:
-                    del hidden_inline[len(hidden_inline) - 1 - hidden_inline[::-1].index(tag) :]
-                elif not closing and tag not in VOID:
-                    hidden_inline.append(tag)
-            elif not closing and tag not in VOID and dropped(tag, a, inside):
+            if hidden_inline and closing:
+                while hidden[tag] and hidden_inline:
+                    last = hidden_inline.pop()
+                    hidden[last] -= 1
+                    if last == tag:
+                        break
+            elif not closing and tag not in VOID and (hidden_inline or dropped(tag, a, inside) or foreign(tag, a, inside)):
                 hidden_inline.append(tag)
+                hidden[tag] += 1
+            if a or tag == "time":
+                marked(node, tag, a)
             continue
         flush()
         hidden_inline.clear()
+        hidden.clear()
         links = 0
         if closing:
-            to = node
+            to = node if inside[tag] > 0 else None  # a stray closing tag is found without a search
             while to is not None and to.tag != tag:
                 if to.tag in ("table", "article", "main") and tag in ("p", "li", "div", "td", "tr"):
                     to = None
@@ -184,7 +208,7 @@ def parse(html: str) -> Node:
                 close(root)
             continue
         other = CLOSES.get(tag)
-        if other:
+        if other and any(inside[x] > 0 for x in other):
             to = node
             while to is not None and to.tag not in other and to.tag not in STOPS.get(tag, ()):
                 to = to.parent
@@ -192,15 +216,65 @@ def parse(html: str) -> Node:
                 close(to.parent)
         if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):  # no block stands in a paragraph or heading
             close(node.parent)
-        child = Node(tag, node, node.drop or dropped(tag, a, inside))
+        child = Node(tag, node, node.drop or dropped(tag, a, inside), foreign(tag, a, inside), f"{a.get('class', '')} {a.get('id', '')}".strip())
         node.children.append(child)
-        if tag in ("article", "main"):
-            inside.add(tag)
+        inside[tag] += 1
         node = child
+        if a:
+            marked(node, tag, a)
     flush()
+    close(root)
     return root
 
 
+def marked(node: Node, tag: str, a: dict) -> None:
+    """Note that an element in node names an author or a date."""
+    name = f"{a.get('class', '')} {a.get('rel', '')} {a.get('itemprop', '')}".lower()
+    node.author = node.author or bool(_AUTHOR.search(name))
+    node.date = node.date or tag == "time" or bool(_DATE.search(name))
+
+
+def settle_names(nodes: list[Node]) -> None:
+    """Leave out what is named furniture, and all below it, unless the page has next to no other text."""
+    named = {id(n): n.named for n in nodes}
+    rest = 0
+    for n in nodes:  # parents first
+        named[id(n)] = n.named or n.parent is not None and named[id(n.parent)]
+        if not n.drop:
+            own = sum(len(c[0]) for c in n.children if isinstance(c, tuple))
+            n.chars = own
+            rest += 0 if named[id(n)] else own
+    whole = sum(n.chars for n in nodes)
+    keep = rest * 20 < whole
+    for n in nodes:
+        n.chars = 0
+        n.drop = n.drop or not keep and named[id(n)]
+
+
+def is_comments(n: Node) -> bool:
+    """Whether most items of a container, two at least, are alike and carry an author and a date each."""
+    items = [c for c in n.children if isinstance(c, Node) and not c.drop and c.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")]
+    alike = [c for c in items if c.author and c.date and (c.tag, c.name.split()[:1]) == (items[0].tag, items[0].name.split()[:1])]
+    return len(alike) >= 2 and len(alike) * 2 > len(items)
+
+
+def without_comments(nodes: list[Node], best: Node) -> None:
+    """Leave out containers behind the text of the best one that have the shape of comments and aren't most of the page."""
+    above = set()
+    up = best
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    passed = 0  # characters of text before a node in page order
+    for n in nodes:
+        if n.parent is not None and n.parent.drop:
+            n.drop = True
+        elif not n.drop and id(n) not in above and n.author and n.date and passed > n.chars / 4 and n.tag not in _TEXT and is_comments(n):
+            n.drop = True
+        if not n.drop:
+            passed += sum(len(c[0]) for c in n.children if isinstance(c, tuple))
+
+
 def walk(node: Node):
     """All nodes, parents first, without recursion: pages can nest deeper than Python does."""
     stack = [node]
@@ -221,11 +295,11 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def extract(html: str | None) -> str:
-    if not html:
-        return ""
+def scored(html: str) -> list[Node]:
+    """The page's nodes, parents first, with points, characters and linked characters."""
     root = parse(html)
     nodes = list(walk(root))
+    settle_names(nodes)
     for n in nodes:
         n.points = TAG_POINTS.get(n.tag, 0) if not n.drop else 0
     for n in nodes:
@@ -248,6 +322,14 @@ def extract(html: str | None) -> str:
         if n.parent is not None and not n.drop:
             n.parent.chars += n.chars
             n.parent.linked += n.linked
+    return nodes
+
+
+def extract(html: str | None) -> str:
+    if not html:
+        return ""
+    nodes = scored(html)
+    root = nodes[0]
     density = lambda n: n.linked / n.chars if n.chars else 1.0
     score = lambda n: n.points * (1 - density(n))
     best = max((n for n in nodes if not n.drop and n.chars and n.tag not in _TEXT), key=score, default=None)
@@ -261,23 +343,26 @@ def extract(html: str | None) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
+    without_comments(nodes, best)
     if best.parent is None:
         return "\n".join(blocks(best))
     # Beside an <article>, or right in the page's body, a container is as likely furniture of the site as text.
     strict = best.tag in ("article", "main") or best.parent.tag in ("body", "html")
 
-    def running(c) -> bool:
+    def running(c, behind: bool) -> bool:
         if isinstance(c, tuple):
             return c[1] * 3 < len(c[0])
         if c.drop or not c.chars or density(c) * 3 >= 1:
             return False
-        if c.tag in _TEXT or not strict:
+        if c.tag in _TEXT or not strict or behind and not c.name:
             return True
-        return score(c) >= max(10, score(best) * 0.2) or c.tag != "div" and any(isinstance(x, Node) and x.tag in _TEXT and x.chars and not x.drop for x in c.children)
+        return score(c) >= max(10, score(best) * 0.2) or (c.tag != "div" or not c.name) and any(isinstance(x, Node) and x.tag in _TEXT and x.chars and not x.drop for x in c.children) or _TITLE.search(c.name.lower()) is not None
 
     out: list[str] = []
+    behind = False
     for c in best.parent.children:
-        if c is best or running(c):
+        behind = behind or c is best
+        if c is best or running(c, behind):
             out += [c[0]] if isinstance(c, tuple) else blocks(c)
     return "\n".join(out)
 

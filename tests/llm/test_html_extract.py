@@ -86,3 +86,97 @@ def test_deep_pages_take_linear_time():
 
     took(2000)
     assert took(32000) < 40 * max(took(2000), 0.01)
+
+
+COMMENTS = "".join(f'<div class="item"><span class="author">Reader {k}</span> <time>Monday</time><p>I do not agree at all, and say so, number {k}.</p></div>' for k in range(3))
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f'<div class="post ad-free">{LONG}</div>', THREE),
+        (f'<div class="post comments-closed">{LONG}</div>', THREE),
+        (f'<article>{LONG}<section class="editor-comment"><p>A word, by us.</p></section><p class="comment">So it is.</p></article>', f"{THREE}\nA word, by us.\nSo it is."),
+        (f"<article>{LONG}</article><div>The end, a short closing line.</div>", f"{THREE}\nThe end, a short closing line."),
+        (f"<article>{LONG}</article><div><p>Short last para.</p></div>", f"{THREE}\nShort last para."),
+        (f'<div class="post-header"><h1>Title</h1></div><article>{LONG}</article>', f"Title\n{THREE}"),
+        (f'<article>{LONG}</article><div class="discussion-thread"><p>Me too, me too.</p></div><div class="reader-responses"><p>Me too, me too.</p></div>', THREE),
+        (f'<article>{LONG}</article><div class="x1">{COMMENTS}</div>', THREE),
+        (f'<article>{LONG}<div class="x1">{COMMENTS}</div></article>', THREE),
+        (f'<div class="sidebar">{LONG}</div>', THREE),
+        (f'<div class="ad-slot">Buy.</div><article>{LONG}</article><ul class="comments"><li>Me, too, and so on.</li></ul>', THREE),
+    ],
+)
+def test_names_and_shapes(html, text):
+    assert H.extract(html) == text
+    assert H.extract(f"<html><body><nav><a href=x>Home</a></nav>{html}<footer>foot</footer></body></html>") == text
+
+
+@pytest.mark.parametrize("one, other", [("<div>", "</table>"), ("<span hidden>", "</span>"), ("<span hidden>", "</b>"), ("<li><div>", "</ul>")])
+def test_stray_tags_take_linear_time(one, other):
+    import time
+
+    def took(n):
+        begun = time.process_time()
+        H.extract(one * n + other * n + "<p>x</p>")
+        return time.process_time() - begun
+
+    took(2000)
+    assert took(16000) < 24 * max(took(2000), 0.01)
+
+
+def plain_scores(node):
+    """Points and link density of every container by their definition, top down: node -> (points, chars, linked)."""
+    found = {}
+
+    def texts(n):
+        own = [c for c in n.children if isinstance(c, tuple)]
+        return own + [t for c in n.children if isinstance(c, H.Node) and not c.drop for t in texts(c)]
+
+    def gifts(n, level, at):
+        """What the blocks at or below n give a container `level` levels above n's own first receiver."""
+        total = 0.0
+        for c in n.children:
+            if isinstance(c, H.Node):
+                if not c.drop:
+                    total += gifts(c, level, at)
+            elif c[1] * 2 <= len(c[0]):
+                up, k = (n.parent, 1) if n.tag in H._TEXT and n.parent else (n, 1)
+                while up is not None and up is not at:
+                    up, k = up.parent, k + 1
+                if up is at and k <= H.LEVELS:
+                    total += (1 + c[0].count(",") + min(len(c[0]) // 100, 3)) / (1 if k == 1 else 2 if k == 2 else 3 * k)
+        return total
+
+    def visit(n):
+        if not n.drop:
+            t = texts(n)
+            found[id(n)] = (H.TAG_POINTS.get(n.tag, 0) + gifts(n, 0, n), sum(len(x) for x, _ in t), sum(x for _, x in t))
+            for c in n.children:
+                if isinstance(c, H.Node):
+                    visit(c)
+
+    visit(node)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_scores_equal_their_definition(seed):
+    import random
+
+    rng = random.Random(seed)
+
+    def some(depth):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            text = rng.choice(["one, two, three", "word " * rng.randrange(60), f"<a href=x>{'link ' * rng.randrange(9)}</a> rest"])
+            kind = rng.choice(["p", "div", "section", "ul", "td", "text", "blockquote", "aside", "article"])
+            out.append(text if kind == "text" else f"<{kind}>{some(depth - 1) if depth and kind != 'p' else text}</{kind}>")
+        return "".join(out)
+
+    nodes = H.scored(html := some(4))
+    want = plain_scores(nodes[0])
+    for n in nodes:
+        if not n.drop:
+            points, chars, linked = want[id(n)]
+            assert (n.chars, n.linked) == (chars, linked) and abs(n.points - points) < 1e-9, html
