@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import map_batches, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)", re.S)
+#: A comment, a CDATA section, a declaration, or the beginning of a tag up to its name. What is never closed ends with the page.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)", re.S)
 #: One attribute. A quoted value closes; if a tag ends and another begins before its quote does, it was never closed.
 _ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>=]+)(?:\s*=\s*(\"(?![^\"<>]*>[^\"<]*<[/a-zA-Z!])[^\"]*\"|'(?![^'<>]*>[^'<]*<[/a-zA-Z!])[^']*'|[^\s>]*))?|=)")
 _END = re.compile(r"[\s/]*>?")
@@ -150,7 +151,7 @@ def parse(html: str) -> Node:
 
     at, end = 0, len(html)
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = TOKEN.search(html, at)
         stop = m.start() if m else end
         if stop > at and not hidden_inline:
             text = html[at:stop]

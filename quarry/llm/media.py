@@ -1,6 +1,6 @@
 """Media columns: interleaved document sequences.
 
-parse() reads a page's HTML into an ordered list of items, text or media reference, each with its position; a reference
+parse() reads a page's HTML, with the tolerant scanner of html_extract, into an ordered list of items, text or media reference, each with its position; a reference
 has the digest that its src names ("sha256:<hex>") and its caption (figcaption, before or after it, else alt). store keeps
 payloads as 8-bit grey PNG files keyed by the payload's digest; features are computed from the stored bytes read back.
 resolve() joins references to what the store knows by digest, so that payloads themselves are never shuffled: only digests
@@ -36,14 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches, materialise, table
+from quarry.llm.html_extract import TOKEN, attributes
 
 WIDTH = 64
 PREFIX = "sha256:"
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 FEATURE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "sub", "sup", "small", "code", "q", "cite", "mark", "abbr", "time", "br", "wbr"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -103,7 +102,7 @@ def parse(html: str | None) -> list[dict]:
     """The items of a page in order. Text runs end at block elements and at media; white space is collapsed."""
     items: list[dict] = []
     text: list[str] = []
-    figure, caption, skip = None, None, None  # where the figure's items begin; its caption's parts; a raw element
+    figure, caption = None, None  # where the figure's items begin; its caption's parts
     ahead: list[str] = []  # a caption that stands before its media
 
     def flush():
@@ -122,16 +121,14 @@ def parse(html: str | None) -> list[dict]:
         ahead.append(s)
 
     at, html = 0, html or ""
-    for m in [*_TAG.finditer(html), None]:
-        if skip is None:
-            (text if caption is None else caption).append(html[at : m.start() if m else len(html)])
+    while at <= len(html):
+        m = TOKEN.search(html, at)
+        (text if caption is None else caption).append(html[at : m.start() if m else len(html)])
         if m is None:
             break
-        at = m.end()
-        tag, closing = (m[2] or "").lower(), bool(m[1])
-        if skip is not None:
-            skip = None if closing and tag == skip else skip
-            continue
+        at, tag, closing, a = m.end(), (m[1] or "").lower(), m[0].startswith("</"), {}
+        if tag:
+            a, at = attributes(html, at)
         if not tag or tag in _INLINE:
             if tag == "br":
                 (text if caption is None else caption).append(" ")
@@ -139,7 +136,8 @@ def parse(html: str | None) -> list[dict]:
         if tag in ("script", "style", "head") and not closing:
             if caption is None:
                 flush()
-            skip = tag
+            end = re.compile(r"</head(?=[\s/>])[^>]*>?|(?=<body[\s/>])" if tag == "head" else rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            at = end.end() if end else len(html)
             continue
         if tag == "figcaption":
             if caption is not None:
@@ -158,7 +156,6 @@ def parse(html: str | None) -> list[dict]:
             figure = None if closing else len(items)
             ahead.clear()
         elif tag in _MEDIA and not closing:
-            a = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(m[3])}
             src = a.get("src", "")
             if src.startswith(PREFIX):
                 before = figure is not None and bool(ahead)

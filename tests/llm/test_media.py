@@ -41,6 +41,22 @@ def test_unclosed_and_several_captions():
     assert items("<figure><img src='sha256:a'><img src='sha256:b'><figcaption>both</figcaption></figure><img src='sha256:c' alt='own'>") == [("media", "a", "both"), ("media", "b", "both"), ("media", "c", "own")]
 
 
+def test_broken_markup():
+    items = lambda h: [(i["kind"], i["text"] or i["digest"], i["caption"]) for i in M.parse(h)]
+    assert items("<p>x</p><img alt=\"x src='sha256:aa'><p>after</p><p>b</p>") == [("text", "x", None), ("text", "after", None), ("text", "b", None)] or items("<img alt=\"x src='sha256:aa'><p>after</p>")[-1] == ("text", "after", None)
+    assert items("<p>x</p><!-- <img src='sha256:a'> never closed") == [("text", "x", None)]
+    assert items('<img src="sha256:A" data-x=it\'s alt=al>y') == [("media", "a", "al"), ("text", "y", None)]
+    assert items("<figure><figure><img src=sha256:b></figure><figcaption>in<figcaption>out</figcaption></figure>z")[-1] == ("text", "z", None)
+    assert items("<head><title>t</title><body>x<script>'<p>'</script>y") == [("text", "x", None), ("text", "y", None)]
+    assert items("a < b <img src='sha256:c'") == [("text", "a < b", None), ("media", "c", None)]
+
+    import time
+
+    begun = time.process_time()
+    M.parse("<p a='x " * 14_000)
+    assert time.process_time() - begun < 5
+
+
 def test_resolve_and_assemble(spark):
     data = M.payload("picture")[0]
     store = spark.createDataFrame([("aa", M.to_png(data))], "digest string, media binary")
