@@ -330,14 +330,29 @@ SETTINGS = [(1, None, None, None, None, None, None, None), (2, " Debug ", None,
             (5, "info", "", "80a", None, "::1", "TRUE", "1_0"), (6, "critical", None, "", None, "0.0.0.0", "/etc/bundle.pem", "1d"), (7, "Warning\n", None, "12", None, None, "yes", "1e2"), (8, "", "", "9", None, None, "", ""), (9, "info", None, "0", None, None, "true", "-3")]
 
 
-@query(f"""WITH {values('c', ['id', *config.COLUMNS], SETTINGS)}
-SELECT id, CASE WHEN lower(trim(log_level, E' \\n\\t')) IN ('debug', 'info', 'warning', 'error', 'critical') THEN lower(trim(log_level, E' \\n\\t')) ELSE 'info' END AS log_level,
+#: Settings of a deployment for each event, of its own values: case and white space, missing, empty and wrong ones.
+EVENT_SETTINGS = {
+    "log_level": "CASE WHEN value < 30 THEN NULL ELSE ' ' || upper(event_type) || ' ' END",
+    "tunnel_key": "CASE WHEN value < 20 THEN NULL WHEN value < 80 THEN '' ELSE 'key' END",
+    "port": "CASE WHEN user_id < 300 THEN NULL WHEN event_type = 'click' THEN props ELSE cast(user_id AS {text}) END",
+    "socket": "CASE WHEN event_type = 'view' THEN NULL ELSE '/run/' || event_type || '.sock' END",
+    "host": "CASE WHEN user_id < 600 THEN NULL ELSE 'host' || user_id END",
+    "tls": "CASE event_type WHEN 'view' THEN 'FALSE' WHEN 'click' THEN '0' WHEN 'error' THEN 'True' WHEN 'signup' THEN NULL ELSE '/etc/' || user_id || '.pem' END",
+    "timeout": "CASE event_type WHEN 'view' THEN 'never' WHEN 'signup' THEN NULL WHEN 'error' THEN props WHEN 'click' THEN ' ' || user_id || '.5 ' ELSE '1_' || user_id END",
+}
+_EVENT_SETTINGS_SQL = ", ".join(f"{v.replace('{text}', 'VARCHAR')} AS {c}" for c, v in EVENT_SETTINGS.items())
+
+
+@query(f"""WITH {values('fixed', ['id', *config.COLUMNS], SETTINGS)}, c AS (SELECT * FROM fixed UNION ALL SELECT 100 + event_id, {_EVENT_SETTINGS_SQL} FROM events)
+SELECT id::BIGINT AS id, CASE WHEN lower(trim(log_level, E' \\n\\t')) IN ('debug', 'info', 'warning', 'error', 'critical') THEN lower(trim(log_level, E' \\n\\t')) ELSE 'info' END AS log_level,
   CASE WHEN coalesce(tunnel_key, '') = '' AND NOT regexp_full_match(coalesce(port, ''), '[0-9]+') THEN 'port' END AS problem,
   CASE WHEN coalesce(tunnel_key, '') <> '' THEN 'unix socket ' || coalesce(socket, '/tmp/app.sock') || ' (tunnel)' ELSE 'tcp ' || coalesce(host, '127.0.0.1') || ':' || coalesce(port, 'unset') END AS binding,
   CASE WHEN lower(coalesce(tls, 'true')) IN ('false', '0') THEN 'false' WHEN lower(coalesce(tls, 'true')) IN ('true', '1') THEN 'true' ELSE tls END AS tls,
   CASE WHEN timeout IS NULL THEN 90.0 WHEN regexp_full_match(timeout, ' *[+-]?[0-9][0-9_]*\\.?[0-9]*(e[0-9]+)? *') THEN replace(trim(timeout), '_', '')::DOUBLE END::DOUBLE AS timeout FROM c""")
 def config_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return config.normalised(spark.createDataFrame(SETTINGS, "id int, " + ", ".join(f"{c} string" for c in config.COLUMNS)))
+    fixed = spark.createDataFrame(SETTINGS, "id long, " + ", ".join(f"{c} string" for c in config.COLUMNS))
+    of_events = T.table(spark, sf_dir, "events").select((F.col("event_id") + 100).alias("id"), *[F.expr(v.replace("{text}", "string")).alias(c) for c, v in EVENT_SETTINGS.items()])
+    return config.normalised(fixed.unionByName(of_events))
 
 
 # Manifests and ids --------------------------------------------------------------------------------------------------
@@ -393,12 +408,18 @@ def ids_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 ID_FILES = [("good", " 11\n12\t13\r\n\x0c14 "), ("word", "11 not-a-number 13"), ("zero", "11 0 13"), ("minus", "-5"), ("none", " \n "), ("large", "9223372036854775807 9223372036854775808 007"), ("signs", "+5 7.0 1_0"), ("wide", "1\xa02\x1c3\x854")]
 
 
-@query(f"""WITH {values('f', ['name', 'content'], ID_FILES)}, t AS (SELECT name, list_filter(regexp_split_to_array(content, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}]+'), lambda x: x <> '') AS ts FROM f),
+_TOKEN_OF_ORDER = "CASE o_orderstatus WHEN 'F' THEN '00' || o_orderkey WHEN 'P' THEN o_orderkey || '.0' ELSE '' || o_orderkey END"
+
+
+@query(f"""WITH {values('fixed', ['name', 'content'], ID_FILES)}, f AS (SELECT * FROM fixed UNION ALL SELECT 'customer ' || o_custkey, ' ' || string_agg({_TOKEN_OF_ORDER}, chr(10) || ' ' ORDER BY o_orderkey) FROM orders GROUP BY o_custkey), t AS (SELECT name, list_filter(regexp_split_to_array(content, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}]+'), lambda x: x <> '') AS ts FROM f),
 u AS (SELECT name, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM t)
 SELECT name, pos::INT AS pos, token, CASE WHEN regexp_full_match(token, '[0-9]+') AND try_cast(token AS BIGINT) > 0 THEN try_cast(token AS BIGINT) ELSE 0 END::BIGINT AS file_id FROM u""")
 def ids_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A token that is no id shows as 0."""
-    p = ids.parse(spark.createDataFrame(ID_FILES, "name string, content string"))
+    """A file for each customer with the keys of its orders; some are written as no id can be. Such a token shows as 0."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.expr(_TOKEN_OF_ORDER).alias("token")))), lambda x: x["token"])
+    of_orders = T.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.concat(F.lit(" "), F.array_join(lines, "\n ")).alias("content"))
+    of_orders = of_orders.select(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("name"), "content")
+    p = ids.parse(spark.createDataFrame(ID_FILES, "name string, content string").unionByName(of_orders))
     return p.withColumn("file_id", F.coalesce("file_id", F.lit(0).cast("long")))
 
 
@@ -411,7 +432,20 @@ NODES = [("app/client.py", 3, "import", "httpx", None, None, None), ("app/views.
 REMOTE_SQL = "list_has_any(string_split(receiver, '.'), ['nc', 'ocs', '_session', 'session', 'adapter'])"
 
 
-@query(f"""WITH {values('raw', ['path', 'line', 'kind', 'name', 'receiver', 'first', 'second'], NODES)}, n AS (SELECT * REPLACE (replace(path, '\\', '/') AS path), name IN ('ocs', 'request', 'request_json') AS entry FROM raw),
+#: A syntax node for each event, of its own values.
+EVENT_NODES = {
+    "path": "CASE WHEN value < 40 THEN 'src/' || event_type || '/client.py' ELSE 'src\\\\' || event_type || '.py' END",
+    "line": "cast(event_id AS INT)",
+    "kind": "CASE WHEN user_id < 400 THEN 'import' WHEN user_id < 800 THEN 'identifier' ELSE 'call' END",
+    "name": "CASE WHEN user_id < 100 THEN 'httpx' WHEN user_id < 200 THEN 'nc_py_api.' || event_type WHEN user_id < 400 THEN 'httpx_' || event_type WHEN user_id < 500 THEN 'upload' WHEN user_id < 600 THEN 'trash' WHEN user_id < 800 THEN event_type WHEN user_id < 1000 THEN 'ocs' WHEN user_id < 1200 THEN 'request' ELSE 'Post' END",
+    "receiver": "CASE event_type WHEN 'view' THEN 'nc' WHEN 'click' THEN 'self._session' WHEN 'error' THEN 'index' ELSE event_type || '.adapter.x' END",
+    "first": "CASE WHEN value < 30 THEN NULL WHEN value < 60 THEN 'put' WHEN value < 90 THEN 'GET' ELSE '/ok' END",
+    "second": "CASE WHEN value < 45 THEN '/x' WHEN value < 75 THEN NULL ELSE '/ok' END",
+}
+_EVENT_NODES_SQL = ", ".join(f"{v.replace(chr(92) * 2, chr(92))} AS {c}" for c, v in EVENT_NODES.items())
+
+
+@query(f"""WITH {values('fixed', ['path', 'line', 'kind', 'name', 'receiver', 'first', 'second'], NODES)}, raw AS (SELECT * FROM fixed UNION ALL SELECT {_EVENT_NODES_SQL} FROM events), n AS (SELECT * REPLACE (replace(path, '\\', '/') AS path), name IN ('ocs', 'request', 'request_json') AS entry FROM raw),
 m AS (SELECT *, CASE WHEN entry THEN second ELSE first END AS target, CASE WHEN entry THEN CASE WHEN first IS NULL THEN CASE WHEN {REMOTE_SQL} THEN 'an unreadable method' END
     WHEN upper(first) IN ('PUT', 'POST', 'PATCH', 'DELETE') THEN upper(first) END
   WHEN upper(name) IN ('PUT', 'POST', 'PATCH', 'DELETE') AND {REMOTE_SQL} THEN upper(name) END AS verb FROM n WHERE kind = 'call')
@@ -421,6 +455,7 @@ UNION ALL SELECT path, line::INT, 2::INT, path || ':' || line || ': invariant 2,
 UNION ALL SELECT path, line::INT, 3::INT, path || ':' || line || ': invariant 3, ' || verb || ' on ' || coalesce(target, 'an unknown path') FROM m WHERE verb IS NOT NULL AND coalesce(target, '') <> '/ok'""")
 def gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.createDataFrame(NODES, "path string, line int, kind string, name string, receiver string, first string, second string")
+    n = n.unionByName(T.table(spark, sf_dir, "events").select(*[F.expr(v).alias(c) for c, v in EVENT_NODES.items()]))
     n = n.select("path", "line", "kind", "name", "receiver", F.array("first", "second").alias("positional"), F.create_map().cast("map<string,string>").alias("named"))
     return rules.violations(n, allowed=spark.createDataFrame([("/ok",)], "target string"))
 
@@ -517,11 +552,13 @@ def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Texts of files -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, text FROM documents")
+@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND regexp_full_match(text, '[\x{00}-\x{7F}\x{A0}-\x{FF}]*') THEN text || '€“œ”Ÿ' ELSE text END AS text FROM documents")
 def encoding_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second text that Latin-1 can write is stored in it, the others as UTF-8: all are read back."""
-    latin = F.col("text").rlike(r"^[\x{00}-\x{7F}\x{A0}-\x{FF}]*$") & (F.col("doc_id") % 2 == 0)
-    d = T.table(spark, sf_dir, "documents").select("doc_id", F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    """Every second text that Latin-1 can write is stored in Windows-1252 with signs that only it has, the others as UTF-8: all
+    are read back."""
+    latin = F.col("text").rlike(r"^[\x{00}-\x{7F}\x{A0}-\x{FF}]*\z") & (F.col("doc_id") % 2 == 0)
+    written = F.concat(F.encode("text", "ISO-8859-1"), F.lit(b"\x80\x93\x9c\x94\x9f"))
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.when(latin, written).otherwise(F.encode("text", "UTF-8")).alias("content"))
     return d.select("doc_id", X.detected_text("content").alias("text"))
 
 
