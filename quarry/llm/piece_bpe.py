@@ -62,9 +62,7 @@ def _fields(b: bytes):
 
 
 class PieceModel:
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            data = f.read()
+    def __init__(self, data: bytes):
         pieces, normal, trainer = [], {}, {}
         for k, v in _fields(data):
             if k == 1:
@@ -291,16 +289,26 @@ class PieceModel:
 
 
 @lru_cache(4)
-def model_at(path: str) -> PieceModel:
-    return PieceModel(path)
+def model_of(data: bytes) -> PieceModel:
+    return PieceModel(data)
+
+
+def model_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def shipped(docs: DataFrame, path: str):
+    """The model, under 1 MB, for executors that can't see the driver's files."""
+    return docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
 
 class Encoder:
     """Whole texts to ids, over a bounded cache of words. What is cached of a word: how many ids, these as text, and
     their decoded bytes."""
 
-    def __init__(self, path: str):
-        self.model = model_at(path)
+    def __init__(self, model: str | bytes):
+        self.model = model_of(model_bytes(model) if isinstance(model, str) else model)
         self.spaced: dict = {}  # words after one space, without it
         self.bare: dict = {}  # anything else, spaces in place
         self.newline = self._entries(["\n"])[0]
@@ -359,8 +367,10 @@ class Encoder:
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids, decoded of every row: the ids of the whole text and the text decoded from them."""
 
+    model = shipped(docs, model_path)
+
     def make():
-        e = Encoder(model_path)
+        e = Encoder(model.value)
 
         def f(b):
             got = e.batch(b[text])
@@ -377,8 +387,10 @@ def encode_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text:
     digests count."""
     keep = [key, *(carry or [])]
 
+    model = shipped(docs, model_path)
+
     def make():
-        e = Encoder(model_path)
+        e = Encoder(model.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
         def f(b):
