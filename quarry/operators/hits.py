@@ -6,7 +6,7 @@ nothing is sorted, deduplicated or limited anew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions.text import MAX_SNIPPET, MAX_TITLE, plain_text, relative_path, result_url
@@ -87,10 +87,21 @@ def recheck(hits: DataFrame, nodes: DataFrame, folders: DataFrame) -> DataFrame:
     return out.select("user_id", "answer_id", "pos", verdict.alias("outcome"), "file_id", F.when(ok, F.col("_path")).otherwise("").alias("path"), F.when(ok, F.col("_title")).otherwise(F.col("title")).alias("title"), "snippet")
 
 
+def _counts() -> list[Column]:
+    return [F.count_if(F.col("outcome") == s).alias(s) for s in ("dropped", "unresolved", "kept")]
+
+
 def drop_counts(outcomes: DataFrame) -> DataFrame:
     """One row: dropped, unresolved, kept."""
-    count = lambda s: F.count_if(F.col("outcome") == s)
-    return outcomes.agg(count("dropped").alias("dropped"), count("unresolved").alias("unresolved"), count("kept").alias("kept"))
+    return outcomes.agg(*_counts())
+
+
+def counted(outcomes: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation of drop_counts' numbers, which the job that writes the rows fills on its way: nothing
+    is read or joined a second time. Its get waits for that job. The numbers are those of the tasks that count, if no stage
+    stands between them and the result; so what follows here may be filtered and written, but not shuffled."""
+    seen = Observation()
+    return outcomes.observe(seen, *_counts()), seen
 
 
 def entries(hits: DataFrame, icon: str = "icon-search") -> DataFrame:

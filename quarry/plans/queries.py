@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import content, hits, index, manifest, requests, rules, search, status
+from quarry.operators import content, german, hits, index, manifest, queue, requests, rules, search, status, tree
 from quarry.plans import tables as T
 from quarry.session import shared_folder
 from quarry.sources import config, corpus_sink, files, ids, sinks
@@ -672,3 +672,111 @@ def corpus_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = corpus_sink.write(named, shared_folder(spark, "corpus"))
     got = corpus_sink.manifest(spark, at).withColumn("name", F.substring_index("path", "/", -1))
     return got.select(F.regexp_extract("name", r"^doc-(-?\d+)", 1).cast("long").alias("doc_id"), "name", "bytes", "sha256")
+
+
+def kept_table(spark: SparkSession, name: str):
+    """Writes a table in the shared folder and reads it again: what a round starts from."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = shared_folder(spark, name)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return keep
+
+
+def folded_sql(c: str) -> str:
+    for old, new in (*german.FOLDS, ("a' || chr(776) || '", "ae"), ("o' || chr(776) || '", "oe"), ("u' || chr(776) || '", "ue")):
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+GERMAN_SQL = f"""t AS (SELECT doc_id, regexp_extract_all({folded_sql("lower(coalesce(text, ''))")}, '\\p{{L}}+') AS t FROM documents WHERE lang = 'de'),
+w AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL), c AS (SELECT term, sum(tf)::HUGEINT AS n FROM w GROUP BY term),
+p AS (SELECT term, n FROM c WHERE n >= {german.MIN_COUNT} AND length(term) >= {german.MIN_PART}),
+cuts AS (SELECT term, n, unnest(range({german.MIN_PART}, length(term) - {german.MIN_PART} + 1)) AS cut FROM c WHERE length(term) BETWEEN {2 * german.MIN_PART} AND {german.MAX_WORD}),
+cand AS (SELECT term, n, cut, k, left(term, cut - k) AS first, substring(term, cut + 1) AS rest FROM cuts, (VALUES (0, ''), (1, 's'), (2, 'es')) l(k, x)
+  WHERE ends_with(left(term, cut), x) AND cut - k >= {german.MIN_PART}),
+ranked AS (SELECT cand.*, row_number() OVER (PARTITION BY cand.term ORDER BY f.n * r.n DESC, cut, k) AS i
+  FROM cand JOIN p f ON f.term = first JOIN p r ON r.term = rest WHERE f.n * r.n > cand.n * cand.n),
+s AS (SELECT term AS word, first, rest FROM ranked WHERE i = 1)"""
+
+
+@query(f"WITH {GERMAN_SQL} SELECT * FROM s")
+def german_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compounds among the German documents' words, and where each is cut."""
+    found = german.words(T.table(spark, sf_dir, "documents").where("lang = 'de'"))
+    return german.splits(found.groupBy("term").agg(F.sum("tf").alias("n")))
+
+
+@query(f"""WITH RECURSIVE {GERMAN_SQL}, r AS (SELECT word, unnest([first, rest]) AS part FROM s UNION ALL SELECT r.word, unnest([s.first, s.rest]) FROM r JOIN s ON r.part = s.word),
+leaf AS (SELECT word, part FROM r WHERE part NOT IN (SELECT word FROM s))
+SELECT doc_id, term, sum(tf)::BIGINT AS tf FROM (FROM w UNION ALL SELECT doc_id, part, tf FROM w JOIN leaf ON w.term = leaf.word) GROUP BY ALL""")
+def german_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of each German document: its folded words, and the parts of its compounds."""
+    return german.terms(T.table(spark, sf_dir, "documents").where("lang = 'de'"), kept_table(spark, "german"))
+
+
+#: A document's folder: mostly the one of half its number, or the document before it; some are roots, some are below one that
+#: is missing, and some below one another.
+_PARENT = "CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 89 = 1 THEN -doc_id WHEN doc_id % 101 = 5 THEN doc_id + 1 WHEN doc_id % 101 = 6 THEN doc_id - 1 WHEN doc_id % 3 = 0 THEN doc_id - 1 ELSE {half} END"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT doc_id AS id, {_PARENT.format(half='doc_id // 2')} AS parent, lang || doc_id AS name FROM documents),
+ok AS (SELECT id, '/' || name AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, ok.path || '/' || n.name FROM n JOIN ok ON n.parent = ok.id),
+lost AS (SELECT id FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n) UNION ALL SELECT n.id FROM n JOIN lost ON n.parent = lost.id)
+SELECT id, coalesce(path, '') AS path, CASE WHEN path IS NOT NULL THEN 'ok' WHEN id IN (FROM lost) THEN 'orphan' ELSE 'cycle' END AS status FROM n LEFT JOIN ok USING (id)""")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from nodes that know their parent only; what has no path shows as ''."""
+    d = T.table(spark, sf_dir, "documents")
+    n = d.select(F.col("doc_id").alias("id"), F.expr(_PARENT.format(half="doc_id div 2")).alias("parent"), F.concat("lang", F.col("doc_id").cast("string")).alias("name"))
+    return tree.paths(n, kept_table(spark, "paths")).select("id", F.coalesce("path", F.lit("")).alias("path"), "status")
+
+
+#: A name of the manifests with folders, by its number: twenty files a folder.
+_IN_FOLDERS = "concat(split_part(name, ' ', 1), '/', {int}(split_part(name, ' ', 2) AS BIGINT) {div} 400, '/', {int}(split_part(name, ' ', 2) AS BIGINT) {div} 20, '/', name)"
+_SQL_NAME, _SPARK_NAME = _IN_FOLDERS.format(int="CAST", div="//"), _IN_FOLDERS.format(int="CAST", div="div")
+
+
+@query(f"WITH {CHANGED_SQL} SELECT {_SQL_NAME} AS name, change FROM d WHERE change <> 'same'")
+def folder_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two snapshots, found from the root down by the digests of folders."""
+    two = [tree.Snapshot(spark, shared_folder(spark, "snapshot")).write(m.withColumn("name", F.expr(_SPARK_NAME))) for m in _changed(spark, sf_dir)]
+    return tree.diff(*two, kept_table(spark, "folders"))
+
+
+@query(f"""WITH {ANSWER_SQL} SELECT count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'unresolved') AS unresolved,
+  count(*) FILTER (outcome = 'kept') AS kept, count(*) FILTER (outcome = 'kept') AS written FROM o""")
+def answer_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer's kept hits are written, and the same job counts what was dropped; written counts the table's rows."""
+    rows, seen = hits.counted(answered(spark, sf_dir))
+    at = shared_folder(spark, "answer")
+    rows.where("outcome = 'kept'").write.parquet(at)
+    counts = seen.get
+    return spark.read.schema(rows.schema).parquet(at).agg(*[F.lit(counts[c]).cast("long").alias(c) for c in ("dropped", "unresolved", "kept")], F.count("*").alias("written"))
+
+
+@query(f"""WITH {CHANGED_SQL}, w AS (SELECT d.name, change AS task, coalesce(a.bytes::VARCHAR, 'gone') AS value, split_part(d.name, ' ', 2)::BIGINT AS n, starts_with(d.name, 'page') AS page
+  FROM d LEFT JOIN after a ON a.name = d.name WHERE change <> 'same')
+SELECT name, CASE WHEN page AND n % 10 = 0 THEN 3 WHEN page AND n % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS batch, CASE WHEN page AND n % 5 = 0 THEN 'again' ELSE task END AS task,
+  CASE WHEN page AND n % 10 = 0 THEN 'ready' WHEN page AND n % 5 = 0 THEN 'leased' WHEN n % 11 = 5 THEN 'dead' ELSE 'done' END AS state,
+  CASE WHEN page AND n % 10 = 0 THEN 0 WHEN page AND n % 5 = 0 THEN 1 WHEN n % 11 = 5 THEN 3 WHEN n % 7 = 3 OR n % 13 = 4 THEN 2 ELSE 1 END::INT AS attempts,
+  CASE WHEN (page AND n % 5 = 0) OR n % 11 = 5 THEN '' ELSE value END AS value FROM w""")
+def queue_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a corpus as a work list. Two workers with a half each go over it three times; the work is to look up a
+    file's size. Some items always fail, some at first, and some workers are lost with theirs. Then some pages come again and
+    are taken, and some of those come once more."""
+    before, after = _changed(spark, sf_dir)
+    q = queue.Queue(spark, shared_folder(spark, "queue"), shards=8)
+    q.add(manifest.diff(before, after).where("change <> 'same'").select("name", F.col("change").alias("task")), 1)
+    n = F.split_part("name", F.lit(" "), F.lit(2)).cast("long")
+    for now in (0, 1000, 2000):
+        for k in range(2):
+            mine = q.claim(f"{now}-{k}", now, 600, k, 2).where((n % 13 != 4) | (F.col("attempt") > 1))
+            sizes = mine.join(after.select("name", "bytes"), "name", "left")
+            ok = (n % 11 != 5) & ((n % 7 != 3) | (F.col("attempt") > 1))
+            q.complete(f"{now}-{k}", sizes.select("name", ok.alias("ok"), F.coalesce(F.col("bytes").cast("string"), F.lit("gone")).alias("value")), now + 100)
+    pages = T.table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("name"), F.lit("again").alias("task"))
+    q.add(pages.where(n % 5 == 0), 2).claim("again", 3000, 600)
+    q.add(pages.where(n % 10 == 0), 3)
+    return q.state(3100).select("name", "batch", "task", "state", "attempts", F.coalesce("value", F.lit("")).alias("value"))
