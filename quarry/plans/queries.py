@@ -760,17 +760,17 @@ def answer_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM d LEFT JOIN after a ON a.name = d.name WHERE change <> 'same')
 SELECT name, CASE WHEN page AND n % 10 = 0 THEN 3 WHEN page AND n % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS batch, CASE WHEN page AND n % 5 = 0 THEN 'again' ELSE task END AS task,
   CASE WHEN page AND n % 10 = 0 THEN 'ready' WHEN page AND n % 5 = 0 THEN 'leased' WHEN n % 11 = 5 THEN 'dead' ELSE 'done' END AS state,
-  CASE WHEN page AND n % 10 = 0 THEN 0 WHEN page AND n % 5 = 0 THEN 1 WHEN n % 11 = 5 THEN 3 WHEN n % 7 = 3 OR n % 13 = 4 THEN 2 ELSE 1 END::INT AS attempts,
+  CASE WHEN page AND n % 10 = 0 THEN 0 WHEN page AND n % 5 = 0 THEN 1 WHEN n % 11 = 5 THEN 2 WHEN n % 7 = 3 OR n % 13 = 4 THEN 2 ELSE 1 END::INT AS attempts,
   CASE WHEN (page AND n % 5 = 0) OR n % 11 = 5 THEN '' ELSE value END AS value FROM w""")
 def queue_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of a corpus as a work list. Two workers with a half each go over it three times; the work is to look up a
+    """Changes of a corpus as a work list. Two workers with a half each go over it twice; the work is to look up a
     file's size. Some items always fail, some at first, and some workers are lost with theirs. Then some pages come again and
     are taken, and some of those come once more."""
     before, after = _changed(spark, sf_dir)
-    q = queue.Queue(spark, shared_folder(spark, "queue"), shards=8)
+    q = queue.Queue(spark, shared_folder(spark, "queue"), shards=4, attempts=2)
     q.add(manifest.diff(before, after).where("change <> 'same'").select("name", F.col("change").alias("task")), 1)
     n = F.split_part("name", F.lit(" "), F.lit(2)).cast("long")
-    for now in (0, 1000, 2000):
+    for now in (0, 1000):
         for k in range(2):
             mine = q.claim(f"{now}-{k}", now, 600, k, 2).where((n % 13 != 4) | (F.col("attempt") > 1))
             sizes = mine.join(after.select("name", "bytes"), "name", "left")
