@@ -5,8 +5,11 @@ from __future__ import annotations
 import ast
 import fnmatch
 import io
+import lzma
 import re
+import struct
 import zipfile
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,21 +101,44 @@ def source_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("source"))
 
 
+#: The main part of a document may unpack to so many bytes; what is larger is skipped.
+MOST_XML = 256 * 2**20
+_WORD = re.compile(r"<w:t(?: [^<>]*)?>(?P<text>[^<]*)</w:t>|<(?P<tag>/?w:(?:tab|br|cr|pPr|p))(?: [^<>]*?)?(?P<closed>/?)>")
+
+
+def paragraphs(xml: str) -> list[str]:
+    """The paragraphs of a word-processor document's main part, empty ones included, with its tabs and breaks. One pass; the
+    tab stops that a paragraph's properties name are no text."""
+    from html import unescape
+
+    out, now, properties = [], [], False
+    for m in _WORD.finditer(xml):
+        tag, closed = m["tag"], m["closed"]
+        if tag is None:
+            now.append(unescape(m["text"]))
+        elif tag in ("w:pPr", "/w:pPr"):
+            properties = tag == "w:pPr" and not closed
+        elif tag == "/w:p" or tag == "w:p" and closed:
+            out.append("".join(now))
+            now, properties = [], False
+        elif tag != "w:p" and not properties:
+            now.append("\t" if tag == "w:tab" else "\n")
+    return out
+
+
 def docx_text(files: DataFrame) -> DataFrame:
     """name, status, text of files(name, content): paragraphs of the main part of a word-processor document, one a line.
-    status is read, or skipped for what is no such document; content is never changed."""
+    status is read, or skipped for what is no such document, is damaged or unpacks to more than MOST_XML bytes; content is
+    never changed."""
     import pandas as pd
 
     def text_of(content) -> str | None:
         try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                xml = z.read("word/document.xml").decode("utf-8")
-        except (zipfile.BadZipFile, KeyError, UnicodeDecodeError, TypeError, RuntimeError):
-            return None
-        from html import unescape
-
-        paragraphs = re.findall(r"<w:p[ >].*?</w:p>", xml, re.S)
-        return "\n".join(unescape("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p))) for p in paragraphs)
+            with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("word/document.xml") as f:
+                xml = f.read(MOST_XML + 1)
+                return None if len(xml) > MOST_XML else "\n".join(paragraphs(xml.decode("utf-8")))
+        except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, KeyError, ValueError, TypeError, RuntimeError, struct.error):
+            return None  # what damage to an archive raises, unknown compression and encryption (RuntimeErrors) included
 
     def run(frames):
         for f in frames:

@@ -89,3 +89,21 @@ def test_stream(spark, tmp_path):
 def test_status(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     assert status.by_hour(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_docx_of_other_writers(spark):
+    import io
+    import zipfile
+
+    body = ('<w:p w:rsidR="1"><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t>a</w:t><w:tab/><w:t xml:space="preserve"> b </w:t></w:r></w:p><w:p/><w:p w:x="2"/>'
+            '<w:p><w:pPr/><w:r><w:t>c &lt;d&gt;</w:t><w:br w:type="page"/><w:t>e</w:t><w:cr/></w:r><w:proofErr w:type="x"/><w:r><w:t/></w:r></w:p>')
+    assert files.paragraphs(body) == ["a\t b ", "", "", "c <d>\ne\n"]
+    assert files.paragraphs("<w:p>" * 200_000 + "<w:t " * 200_000) == []
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", body * 3)
+    whole = out.getvalue()
+    rows = [("whole", whole)] + [(f"{k}-{x}", whole[:k] + bytes([whole[k] ^ x]) + whole[k + 1 :]) for k in range(len(whole)) for x in (1, 64, 255)] + [(f"cut {k}", whole[:k]) for k in range(0, len(whole), 7)]
+    got = {r.name: (r.status, r.text) for r in files.docx_text(spark.createDataFrame(rows, "name string, content binary")).collect()}
+    assert len(got) == len(rows) and got["whole"] == ("read", "\n".join(["a\t b ", "", "", "c <d>\ne\n"] * 3))
+    assert {t for s, t in got.values() if s == "skipped"} == {None} and sum(s == "skipped" for s, _ in got.values()) > 100
