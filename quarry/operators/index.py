@@ -60,14 +60,275 @@ def weight(tf, length, avg) -> F.Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
 
 
-def _blocks(postings: DataFrame, terms: DataFrame, avg: float, buckets: int) -> DataFrame:
-    """postings(term, key, tf, len, positions) by block."""
-    at = postings.join(terms.select("term", "level"), "term")
-    at = at.groupBy("term", "level", F.expr("shiftright(key, level)").alias("range")).agg(F.array_sort(F.collect_list(F.struct("key", "tf", "len", "positions"))).alias("p"))
-    of = lambda name: F.transform("p", lambda x: x[name])
-    rows = at.select("term", "level", "range", F.size("p").alias("n"), F.array_max(F.transform("p", lambda x: weight(x["tf"], x["len"], F.lit(avg)))).alias("best"), F.lit(avg).alias("avg"),
-                     F.expr("transform(p, x -> x.key - shiftleft(range, level))").alias("ids"), of("tf").alias("tfs"), of("len").alias("lens"), of("positions").alias("positions"))
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+def levels_from(span: int) -> list[int]:
+    """The least document frequencies of levels 0, 1, ... for ids in `span`: a term takes the first level whose one it reaches."""
+    return [min(-(-BLOCK * span // 2**level), 2**63 - 1) for level in range(62)]
+
+
+#: The postings of a term for ids of one range of 2^level ids: n of them, packed; level is one for all rows. A row without a term
+#: lists ids, with a number each.
+PARTIAL = "term string, piece long, n int, data binary, ids array<bigint>, lens array<int>"
+
+
+def _tools():
+    """lists(offsets, values, kind), pack and unpack. Functions of a function, so that they are sent to executors along with it."""
+    import numpy as np
+    import pyarrow as pa
+
+    def lists(offsets, values, kind):
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+    def places(start, n):
+        """start[i], start[i] + 1, ... n[i] times."""
+        return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+    def gaps(values, first, base):
+        out = np.diff(values, prepend=0)
+        out[first] = values[first] - base
+        return out
+
+    def pack(n, base, ids, tfs, lens, positions):
+        """A binary for each row of n[i] postings: ids from base[i] on, frequencies, lengths and positions, ids and positions as
+        differences, in 7 bits a byte."""
+        first = np.cumsum(n) - n
+        words = np.add.reduceat(np.append(tfs, 0), first).astype(np.int64) if len(n) else n
+        start = np.cumsum(3 * n + words) - 3 * n - words
+        v = np.zeros(int((3 * n + words).sum()), np.int64)
+        for k, x in enumerate((gaps(ids, first, base), tfs, lens)):
+            v[places(start + k * n, n)] = x
+        v[places(start + 3 * n, words)] = gaps(positions, np.cumsum(tfs) - tfs, 0)
+        size = np.ones(len(v), np.int64)
+        for k in range(1, 9):
+            size += v >= 1 << 7 * k
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint8)
+        which = np.arange(len(v))
+        for k in range(9):
+            which = which[size[which] > k]
+            if not len(which):
+                break
+            out[at[which] + k] = v[which] >> 7 * k & 127 | (size[which] > k + 1) * 128
+        offsets = np.append(at, len(out))[np.append(start, len(v))]
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+    def unpack(n, base, data):
+        """ids, tfs, lens, positions of all rows."""
+        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+        raw = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(data) and data.buffers()[2] else np.zeros(0, np.uint8)
+        end = np.flatnonzero(raw < 128)
+        at = np.append(0, end + 1)[:-1]
+        size, v, which = end - at + 1, np.zeros(len(end), np.int64), np.arange(len(end))
+        for k in range(9):
+            which = which[size[which] > k]
+            if not len(which):
+                break
+            v[which] |= (raw[at[which] + k] & 127).astype(np.int64) << 7 * k
+        start = np.searchsorted(at, offsets[:-1] - offsets[0]) if len(data) else n
+        ids, tfs, lens = (v[places(start + k * n, n)] for k in range(3))
+        many = np.diff(np.append(start, len(v))) - 3 * n
+
+        def summed(x, first, base):
+            total = np.cumsum(x)
+            return total - np.repeat((total - x)[first] - base, np.diff(np.append(first, len(x))))
+
+        return summed(ids, np.cumsum(n) - n, base), tfs, lens, summed(v[places(start + 3 * n, many)], np.cumsum(tfs) - tfs, 0)
+
+    return lists, pack, unpack
+
+
+#: A generation's text in one range of ids whose postings lie together, about; and in one file of blocks.
+PIECE_BYTES, FILE_BYTES = 24 << 20, 8 << 20
+#: Tokens and documents that are sorted at once, and postings that are made blocks at once.
+CHUNK = 1 << 22
+
+
+def _inverted(level: int):
+    """Batches of (key, tokens), in order of key, to PARTIAL rows: the postings of a term in ids of one range of 2^level, the
+    positions of all its documents in one array. A row without a term lists the documents. Of equal keys the first counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    chunk, (lists, pack, _) = CHUNK, _tools()
+
+    names = [c.split()[0] for c in PARTIAL.split(", ")]
+
+    def invert(piece, keys, tokens):
+        keys, size = np.concatenate(keys), np.concatenate([np.diff(t.offsets.to_numpy()) for t in tokens])
+        code = pa.concat_arrays([t.flatten() for t in tokens]).dictionary_encode()
+        words, code = code.dictionary, code.indices.to_numpy()
+        order = np.argsort(code, kind="stable")  # by term; documents and positions stay in order
+        doc = np.repeat(np.arange(len(keys)), size)[order]
+        pos = (np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size))[order]
+        code = code[order]
+        at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))[: len(code)])
+        code, doc, upto = code[at], doc[at], np.append(at, len(order))
+        first = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)]), len(at))
+        n = np.diff(first)
+        data = pack(n, np.full(len(n), piece << level), keys[doc], np.diff(upto), size[doc], pos)
+        rows = pa.RecordBatch.from_arrays([words.take(pa.array(code[first[:-1]])), pa.array(np.full(len(n), piece)), pa.array(n, pa.int32()), data, pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int32()))], names=names)
+        all_ = [0, len(keys)]
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([piece], pa.int64()), pa.array([len(keys)], pa.int32()), pa.array([None], pa.binary()), lists(all_, keys, pa.int64()), lists(all_, size, pa.int32())], names=names)
+        for lo in range(0, rows.num_rows, 10_000):
+            yield rows.slice(lo, 10_000)
+
+    def run(batches):
+        keys, tokens, size, piece, last = [], [], 0, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            new = np.append(ids[0] != last, ids[1:] != ids[:-1])
+            last, b = ids[-1], b.filter(pa.array(new))
+            ids = ids[new]
+            at = np.append(np.append(0, np.flatnonzero(ids[1:] >> level != ids[:-1] >> level) + 1), len(ids)) if len(ids) else [0]
+            for lo, hi in zip(at[:-1], at[1:]):
+                now = int(ids[lo] >> level)
+                if keys and (now != piece or size >= chunk):
+                    yield from invert(piece, keys, tokens)
+                    keys, tokens, size = [], [], 0
+                piece = now
+                keys.append(ids[lo:hi])
+                tokens.append(b.column(1).slice(lo, hi - lo))
+                size += int(hi - lo) + len(tokens[-1].flatten())
+        if keys:
+            yield from invert(piece, keys, tokens)
+
+    return run
+
+
+def _blocked(least: list[int], avg: float, width: int):
+    """PARTIAL rows with bucket and level, in order of term and piece, to blocks. A row with a level brings all that there is of
+    its term and piece; one without comes with all others of its term, which give the level."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    chunk, (lists, _, unpack), k1, b_ = CHUNK, _tools(), K1, B
+    rising = np.array(least[::-1], np.int64)
+
+    def groups(t):
+        code = t.column("term").combine_chunks().dictionary_encode()
+        code = (code if isinstance(code, pa.DictionaryArray) else code.combine_chunks()).indices.to_numpy()
+        level = t.column("level").fill_null(-1).to_numpy()
+        piece = t.column("piece").to_numpy()
+        return code, level, np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (level[1:] >= 0) & (piece[1:] != piece[:-1])))
+
+    def blocks(t):
+        (code, level, _), n = groups(t), t.column("n").to_numpy()
+        df = np.zeros(code[-1] + 1, np.int64)
+        np.add.at(df, code, n)
+        level = np.where(level >= 0, level, len(rising) - np.searchsorted(rising, df[code], "right"))
+        row = np.repeat(np.arange(len(n)), n)
+        ids, tfs, lens, positions = unpack(n.astype(np.int64), t.column("piece").to_numpy() << width, t.column("data").combine_chunks())
+        upto = np.append(0, np.cumsum(tfs, dtype=np.int64))
+        positions = lists(upto, positions, pa.int32())
+        if not ((code[row[1:]] != code[row[:-1]]) | (ids[1:] > ids[:-1])).all():  # several generations
+            order = np.lexsort((ids, code[row]))
+            ids, tfs, lens, row, positions = ids[order], tfs[order], lens[order], row[order], positions.take(pa.array(order))
+        range_ = ids >> level[row]
+        at = np.flatnonzero(np.append(True, (code[row[1:]] != code[row[:-1]]) | (range_[1:] != range_[:-1])))
+        own, upto = row[at], np.append(at, len(row))
+        best = np.maximum.reduceat(tfs * (k1 + 1) / (tfs + k1 * (1 - b_ + b_ * lens / avg)), at)
+        out = pa.RecordBatch.from_arrays([
+            t.column("term").combine_chunks().take(pa.array(own)), pa.array(level[own], pa.int32()), pa.array(range_[at], pa.int64()), pa.array(np.diff(upto), pa.int32()), pa.array(best), pa.array(np.full(len(at), avg)),
+            lists(upto, ids - (range_ << level[row]), pa.int64()), lists(upto, tfs, pa.int32()), lists(upto, lens, pa.int32()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), positions), t.column("bucket").combine_chunks().take(pa.array(own))],
+            names=["term", "level", "range", "n", "best", "avg", "ids", "tfs", "lens", "positions", "bucket"])
+        for lo in range(0, out.num_rows, 10_000):
+            yield out.slice(lo, 10_000)
+
+    def run(batches):
+        held, size, limit = [], 0, chunk
+        for b in batches:
+            held.append(b)
+            size += int(pc.sum(b.column("n")).as_py() or 0)
+            if size < limit:
+                continue
+            t = pa.Table.from_batches(held)
+            last = int(groups(t)[2][-1])
+            if last:
+                yield from blocks(t.slice(0, last))
+                held, limit = t.slice(last).to_batches(), chunk
+                size = sum(pc.sum(x.column("n")).as_py() for x in held)
+            limit = max(chunk, 2 * size)
+        if any(b.num_rows for b in held):
+            yield from blocks(pa.Table.from_batches(held))
+
+    return run
+
+
+def _pieces(level: int):
+    """Blocks to PARTIAL rows with their generation, one for each range of 2^level ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    (_, pack, _), names = _tools(), [c.split()[0] for c in PARTIAL.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = dict(zip(b.schema.names, b.columns))
+            n = np.diff(c["ids"].offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            ids = c["ids"].flatten().to_numpy() + c["first"].to_numpy()[row]
+            positions = c["positions"].flatten()
+            piece, upto = ids >> level, positions.offsets.to_numpy() - positions.offsets[0].as_py()
+            at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])))
+            own, n = pa.array(row[at]), np.diff(np.append(at, len(row)))
+            data = pack(n, piece[at] << level, ids, np.diff(upto), c["lens"].flatten().to_numpy(), positions.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([c["gen"].take(own), c["term"].take(own), pa.array(piece[at]), pa.array(n, pa.int32()), data, pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int32()))], names=["gen", *names])
+
+    return run
+
+
+def _alive(level: int):
+    """PARTIAL rows with their generation, by piece, behind the piece's rows without a term, which list void ids and the generations
+    from which on they are void: the postings that count."""
+    import numpy as np
+    import pyarrow as pa
+
+    (_, pack, unpack), names = _tools(), [c.split()[0] for c in PARTIAL.split(", ")]
+
+    def run(batches):
+        at, void, by = None, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for b in batches:
+            piece = b.column("piece").to_numpy()
+            cuts = np.append(np.append(0, np.flatnonzero(piece[1:] != piece[:-1]) + 1), len(piece)) if len(piece) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = b.slice(lo, hi - lo)
+                if piece[lo] != at:
+                    at, void, by = piece[lo], void[:0], by[:0]
+                heads = part.filter(part.column("term").is_null())
+                if heads.num_rows:
+                    void, by = np.append(void, heads.column("ids").flatten().to_numpy()), np.append(by, heads.column("lens").flatten().to_numpy())
+                    order = np.argsort(void)
+                    void, by = void[order], by[order]
+                part = part.slice(heads.num_rows)
+                if not part.num_rows:
+                    continue
+                n, base = part.column("n").to_numpy().astype(np.int64), int(at) << level
+                ids, tfs, lens, positions = unpack(n, base, part.column("data"))
+                row, keep = np.repeat(np.arange(len(n)), n), np.ones(len(ids), bool)
+                if len(void):
+                    k = np.minimum(np.searchsorted(void, ids), len(void) - 1)
+                    keep = ~((void[k] == ids) & (part.column("gen").to_numpy()[row] < by[k]))
+                n = np.bincount(row[keep], minlength=len(n))
+                left = pa.array(np.flatnonzero(n))
+                n = n[n > 0]
+                data = pack(n, base, ids[keep], tfs[keep], lens[keep], positions[np.repeat(keep, tfs)])
+                yield pa.RecordBatch.from_arrays([part.column("term").take(left), part.column("piece").take(left), pa.array(n, pa.int32()), data, pa.nulls(len(n), pa.list_(pa.int64())), pa.nulls(len(n), pa.list_(pa.int32()))], names=names)
+
+    return run
+
+
+def _extent(rows: DataFrame, bytes_: F.Column) -> tuple[int, int]:
+    """How far the keys of rows reach, and their bytes."""
+    s = rows.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.coalesce(F.sum(bytes_), F.lit(0)).cast("long").alias("bytes")).first()
+    return (1 if s["lo"] is None else s["hi"] - s["lo"] + 1), s["bytes"]
+
+
+def piece_level(span: int, bytes_: int) -> int:
+    return min(62, (max(1, -(-span // max(1, bytes_ // PIECE_BYTES))) - 1).bit_length())
 
 
 class Index:
@@ -78,30 +339,50 @@ class Index:
         paths = [f"{self.root}/{name}/gen={g}" for g in generations(self.spark, self.root)]
         return self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.root}/{name}").parquet(*paths)
 
-    def _write(self, gen: int, postings: DataFrame, docs: DataFrame, dead: DataFrame) -> None:
+    def _spread(self, rows: DataFrame, bytes_: int, *by, ranges: bool = False) -> DataFrame:
+        """rows by these columns, in more tasks than a session's shuffle has if they would be large; small ones Spark joins."""
+        n, usual = -(-bytes_ // (4 * FILE_BYTES)), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        deal = rows.repartitionByRange if ranges else rows.repartition
+        return deal(n, *by) if n > usual else deal(*by)
+
+    def _write(self, gen: int, partials: DataFrame, counts: DataFrame, span: int, bytes_: int, docs: DataFrame, removed: DataFrame | None = None) -> None:
+        """A generation of PARTIAL rows, which are shuffled once. counts(term, n) say, about, which terms are many blocks in a piece:
+        these few thousand at most get their level before, so that one term is many tasks."""
         to = lambda name: f"{self.root}/{name}/gen={gen}"
-        postings.write.mode("overwrite").parquet(to("postings"))
-        postings = self.spark.read.parquet(to("postings"))
         docs.write.mode("overwrite").parquet(to("docs"))
-        s = self.spark.read.parquet(to("docs")).agg((F.max("key") - F.min("key") + 1).alias("ids"), F.avg("len").alias("avg")).first()
-        span, avg = s["ids"] or 1, float(s["avg"] or 1.0)
-        level = F.greatest(F.lit(0), F.least(F.lit(62), F.ceil(F.log2(F.lit(float(BLOCK) * span) / F.col("df"))))).cast("int")
-        postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("level", level).write.mode("overwrite").parquet(to("terms"))
-        _blocks(postings, self.spark.read.parquet(to("terms")), avg, self.buckets).write.mode("overwrite").partitionBy("bucket").parquet(to("blocks"))
-        dead.write.mode("overwrite").parquet(to("dead"))
-        path, fs = _fs(self.spark, to("postings"))
-        fs.delete(path, True)
+        avg = float(self.spark.read.parquet(to("docs")).agg(F.avg("len")).first()[0] or 1.0)
+        least, width = levels_from(span), piece_level(span, bytes_)
+        level = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in least]), lambda x: x > F.col("df")))
+        often = counts.where("n >= 16").groupBy("term").agg(F.sum("n").alias("df")).select("term", level.alias("level")).where(F.col("level") < width)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        slice_ = F.pmod(F.xxhash64(F.lit(1), "term", F.when(F.col("level").isNotNull(), F.col("piece"))), F.lit(1 + bytes_ // (self.buckets * FILE_BYTES)))
+        rows = self._spread(partials.select("term", "piece", "n", "data").join(F.broadcast(often), "term", "left"), bytes_, bucket, slice_).sortWithinPartitions("term", "piece")
+        rows = rows.withColumn("bucket", bucket).mapInArrow(_blocked(least, avg, width), "term string, level int, range long, n int, best double, avg double, ids array<bigint>, tfs array<int>, lens array<int>, positions array<array<int>>, bucket int")
+        rows.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(to("blocks"))
+        kind = "term string, level int, n int"
+        self.spark.read.schema(kind).parquet(to("blocks")).groupBy("term").agg(F.sum("n").alias("df"), F.max("level").alias("level")).write.mode("overwrite").parquet(to("terms"))
+        dead = self.spark.read.parquet(to("docs")).select("key")
+        if removed is not None:
+            dead = dead.unionByName(removed).distinct()
+        (dead if gen else dead.where("false")).write.mode("overwrite").parquet(to("dead"))
 
     def add(self, docs: DataFrame, removed: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> "Index":
-        """A generation of docs, which replace documents of equal ids; removed(key) names ids that go."""
-        gens = generations(self.spark, self.root)
-        rows = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.max(F.coalesce(text, F.lit(""))).alias("text"))
-        rows = rows.select("key", tokens("text").alias("t")).select("key", "t", F.size("t").alias("len"))
-        postings = rows.select("key", "len", F.posexplode("t").alias("pos", "term")).groupBy("term", "key").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        dead = rows.select("key")
+        """A generation of docs, which replace documents of equal ids; removed(key) names ids that go. Texts are shuffled once,
+        by ranges of ids, and their postings written once before they are shuffled to blocks."""
+        gen = (generations(self.spark, self.root) or [-1])[-1] + 1
+        rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+        span, bytes_ = _extent(rows, F.octet_length("text"))
+        rows = self._spread(rows, bytes_, "key", ranges=True).sortWithinPartitions("key", F.desc("text")).select("key", tokens("text").alias("t"))
+        at = f"{self.root}/postings/gen={gen}"
+        rows.mapInArrow(_inverted(piece_level(span, bytes_)), PARTIAL).write.mode("overwrite").option("compression", "zstd").parquet(at)
+        partials = self.spark.read.schema(PARTIAL).parquet(at)
+        docs = partials.where("term IS NULL").select(F.explode(F.arrays_zip("ids", "lens")).alias("x")).select(F.col("x.ids").alias("key"), F.col("x.lens").alias("len"))
         if removed is not None:
-            dead = dead.unionByName(removed.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL")).distinct()
-        self._write((gens or [-1])[-1] + 1, postings, rows.select("key", "len"), dead if gens else dead.where("false"))
+            removed = removed.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL")
+        partials = partials.where("term IS NOT NULL")
+        self._write(gen, partials, partials.select("term", "n"), span, bytes_, docs, removed)
+        path, fs = _fs(self.spark, at)
+        fs.delete(path, True)
         return self
 
     def _void(self) -> DataFrame:
@@ -130,10 +411,18 @@ class Index:
         return rows.select("term", "key", "tf", "len", *more)
 
     def merged(self, root: str) -> "Index":
-        """The same documents as one generation at another root, from postings alone."""
+        """The same documents as one generation at another root, from postings alone. They meet the void ids by ranges of ids,
+        a term's postings of a range in one row."""
+        docs = self.documents()
+        span, bytes_ = _extent(docs, F.lit(6) * F.col("len"))
+        level = piece_level(span, bytes_)
+        rows = self._read("blocks").select("gen", "term", F.expr("shiftleft(range, level)").alias("first"), "ids", "tfs", "lens", "positions").mapInArrow(_pieces(level), f"gen int, {PARTIAL}")
+        if len(generations(self.spark, self.root)) > 1:
+            void = self._void().groupBy(F.shiftright("key", level).alias("piece")).agg(F.collect_list(F.struct("key", "by")).alias("x"))
+            void = void.select(F.lit(0).alias("gen"), F.lit(None).cast("string").alias("term"), "piece", F.size("x").alias("n"), F.lit(None).cast("binary").alias("data"), F.col("x.key").alias("ids"), F.col("x.by").alias("lens"))
+            rows = self._spread(rows.unionByName(void), bytes_, "piece").sortWithinPartitions("piece", F.col("term").asc_nulls_first()).mapInArrow(_alive(level), PARTIAL)
         out = Index(self.spark, root, self.buckets)
-        rows = self.postings(self._read("blocks"), "positions")
-        out._write(0, rows.select("term", "key", "tf", "len", "positions"), self.documents(), self._read("dead").select("key").where("false"))
+        out._write(0, rows, self._read("terms").select("term", F.col("df").alias("n")), span, bytes_, docs)
         return out
 
     def _frequencies(self, terms: list[str]) -> dict[str, int]:

@@ -89,3 +89,28 @@ def test_generations(spark):
 def test_empty(spark):
     ix = index.Index(spark, shared_folder(spark, "ix")).add(spark.createDataFrame([], "doc_id long, text string"))
     assert ix.top_k(["a"]).count() == 0 and ix.phrase("a b").count() == 0 and ix.windows(["a"]).count() == 0
+
+
+def test_texts_and_postings_are_shuffled_once_and_packed(spark, tmp_path, monkeypatch):
+    """Not a row for each occurrence or posting: what a build shuffles is less than twice the text."""
+    shuffled = lambda: sum(x.shuffleWriteBytes() for x in spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None).iterator().__class__ and [])
+
+
+def test_rows_of_a_build_are_packed(spark, monkeypatch):
+    """What a build shuffles and writes before its blocks is a row for each term and range of ids, not for each posting, also
+    where a term has many pieces, ids are far apart or negative, and frequent terms are dealt by piece."""
+    monkeypatch.setattr(index, "PIECE_BYTES", 2000)
+    rows_, kept = corpus(5, 2000, at=-3000) + [(2**40, "the rare idiot"), (-(2**41), "the idiot"), (-3000, "zz the")], []
+    write = index.Index._write
+    monkeypatch.setattr(index.Index, "_write", lambda self, gen, partials, *a: (kept.append(partials.select("n").toPandas()["n"]), write(self, gen, partials, *a)))
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    near = df.where("abs(doc_id) < 100000")
+    for d in (df, near):
+        ix = index.Index(spark, shared_folder(spark, "ix"), buckets=2).add(d)
+        assert rows(ix.top_k(["the", "rare", "idiot"], 30)) == rows(search.search(d.groupBy("doc_id").agg({"text": "max"}).toDF("doc_id", "text"), ["the", "rare", "idiot"], 30))
+        ix.add(d.where("doc_id % 5 = 0"), d.where("doc_id % 3 = 0").select("doc_id"))
+        left = d.where("doc_id % 5 = 0 OR doc_id % 3 <> 0").groupBy("doc_id").agg({"text": "max"}).toDF("doc_id", "text")
+        one = ix.merged(shared_folder(spark, "ix"))
+        assert rows(one.top_k(["the", "rare"], 30)) == rows(ix.top_k(["the", "rare"], 30)) == rows(search.search(left, ["the", "rare"], 30))
+        assert set(rows(one.phrase("the idiot"))) == plain_phrase([tuple(r) for r in left.collect()], "the idiot")
+    assert all(len(n) < n.sum() / 2 for n in kept)
