@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import small_batches
+
 K1, B = 1.2, 0.75
 TOKEN = r"\p{L}+"
 
@@ -53,6 +55,7 @@ def normalised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             texts = [None if t is None else unicodedata.normalize("NFC", t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, text])
 
+    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {text} string")
 
 

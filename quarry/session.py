@@ -32,3 +32,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.gettempdir()}/quarry-shared-{os.getpid()}"
     return f"{at.rstrip('/')}/quarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows, and bytes, that cross to Python at once where rows are whole files.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what crosses to Python at once by bytes too, where Spark can. Spark reads both settings when a result is computed, which
+    may be after a query returned it, so they stay; smaller ones win."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", (spark.conf.get(name) if name.endswith("RecordsPerBatch") else spark.conf.get(name, str(2**31 - 2))).lower())
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, str(most))

@@ -15,6 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import BATCH_BYTES, BATCH_ROWS, small_batches
+
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """name, content, mtime of every file below path whose last part matches pattern; name is the path below `path`. Spark's
@@ -93,6 +95,7 @@ def python_nodes(sources: DataFrame) -> DataFrame:
                     rows.append((path, 0, "unreadable", None, None, None, None))
             yield pd.DataFrame(rows, columns=columns)
 
+    small_batches(sources.sparkSession)
     return sources.select("path", "source").mapInPandas(run, NODES)
 
 
@@ -126,11 +129,37 @@ def paragraphs(xml: str) -> list[str]:
     return out
 
 
+def each_row(df: DataFrame, work, schema: str) -> DataFrame:
+    """work(*values) of each row of df, as rows of schema. Rows are whole files: one is held at a time, and results are handed on
+    when there are BATCH_BYTES of them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(df.sparkSession)
+    kind, rows_, bytes_ = to_arrow_schema(StructType.fromDDL(schema)), BATCH_ROWS, BATCH_BYTES
+
+    def run(batches):
+        out, size = [], 0
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = work(*(c[i].as_py() for c in b.columns))
+                out.append(row)
+                size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+                if len(out) >= rows_ or size >= bytes_:
+                    yield pack(out)
+                    out, size = [], 0
+        if out:
+            yield pack(out)
+
+    return df.mapInArrow(run, schema)
+
+
 def docx_text(files: DataFrame) -> DataFrame:
     """name, status, text of files(name, content): paragraphs of the main part of a word-processor document, one a line.
     status is read, or skipped for what is no such document, is damaged or unpacks to more than MOST_XML bytes; content is
     never changed."""
-    import pandas as pd
 
     def text_of(content) -> str | None:
         try:
@@ -140,18 +169,16 @@ def docx_text(files: DataFrame) -> DataFrame:
         except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, KeyError, ValueError, TypeError, RuntimeError, struct.error):
             return None  # what damage to an archive raises, unknown compression and encryption (RuntimeErrors) included
 
-    def run(frames):
-        for f in frames:
-            text = [text_of(c) for c in f["content"]]
-            yield pd.DataFrame({"name": f["name"], "status": ["skipped" if t is None else "read" for t in text], "text": text})
+    def row(name, content):
+        text = text_of(content)
+        return name, "skipped" if text is None else "read", text
 
-    return files.select("name", "content").mapInPandas(run, "name string, status string, text string")
+    return each_row(files.select("name", "content"), row, "name string, status string, text string")
 
 
 def as_docx(files: DataFrame) -> DataFrame:
     """name, content of files(name, content as text, broken): a minimal word-processor document each, a paragraph a line;
     where broken, an archive without the main part."""
-    import pandas as pd
     from html import escape
 
     def document(text, broken) -> bytes:
@@ -161,8 +188,4 @@ def as_docx(files: DataFrame) -> DataFrame:
             z.writestr(zipfile.ZipInfo("word/none.xml" if broken else "word/document.xml"), f"<w:document><w:body>{lines}</w:body></w:document>")
         return out.getvalue()
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"name": f["name"], "content": list(map(document, f["content"], f["broken"]))})
-
-    return files.select("name", "content", "broken").mapInPandas(run, "name string, content binary")
+    return each_row(files.select("name", "content", "broken"), lambda name, text, broken: (name, document(text, broken)), "name string, content binary")

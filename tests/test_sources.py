@@ -107,3 +107,20 @@ def test_docx_of_other_writers(spark):
     got = {r.name: (r.status, r.text) for r in files.docx_text(spark.createDataFrame(rows, "name string, content binary")).collect()}
     assert len(got) == len(rows) and got["whole"] == ("read", "\n".join(["a\t b ", "", "", "c <d>\ne\n"] * 3))
     assert {t for s, t in got.values() if s == "skipped"} == {None} and sum(s == "skipped" for s, _ in got.values()) > 100
+
+
+def test_files_cross_to_python_by_bytes_and_one_at_a_time(spark):
+    """Long texts in one partition: no batch holds more than a few of them, going in or coming out."""
+    import pyarrow as pa
+
+    text = "x" * 2**20
+    df = spark.range(0, 40, 1, 1).selectExpr("cast(id as string) AS name", f"repeat('x', {2**20}) AS content", "false AS broken")
+    made = files.as_docx(df)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    for d in (df, made, files.docx_text(made)):
+        assert max(r.n for r in d.mapInArrow(sizes, "n long").collect()) < 8 << 20
+    assert {r.text == text for r in files.docx_text(made).collect()} == {True}
