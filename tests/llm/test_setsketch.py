@@ -169,3 +169,17 @@ def test_the_given_documents(spark, sf):
     """All links of the given table, of any similarity above the threshold."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert result(spark, rows) == brute(rows)
+
+
+def test_ids_are_packed_by_range(spark):
+    """4,000 ids next to each other are two rows, and rows are told apart by them as by a join: negative, far and null ids too."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm import setsketch
+
+    ids = spark.range(1000, 5000).unionByName(spark.createDataFrame([(-7,), (2**62,), (-7,)], "id long"))
+    some = setsketch.packed(ids)
+    assert some.count() == 4 and some.select(F.sum(F.size("low"))).first()[0] == 4002
+    docs = spark.createDataFrame([(k, "x") for k in (None, -8, -7, 0, 999, 1000, 4999, 5000, 2**62, 2**62 + 1)], "id long, text string")
+    assert {r.id for r in setsketch.named(docs, "id", some, True).collect()} == {-7, 1000, 4999, 2**62}
+    assert {r.id for r in setsketch.named(docs, "id", some, False).collect()} == {None, -8, 0, 999, 5000, 2**62 + 1}
